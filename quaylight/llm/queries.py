@@ -6,14 +6,31 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quaylight.llm import byte_bpe, media
+from quaylight.llm import byte_bpe, language, media, packing, repetition
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, sequence_tokens=2048).drop("ids")
+
+
+def op2_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = language.fit_language(docs.filter(~held_out))
+    return language.predict_language(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op9_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_text_pictures(media.text_pictures(_table(spark, sf_dir, "documents")))
 
@@ -24,7 +41,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_media_tiles, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_curve_packing, op2_language_codes, op3_suffix_repetition, op9_media_tiles, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
