@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylight.llm import byte_bpe, language, media, packing, repetition
+from quaylight.llm import byte_bpe, language, media, near_dedup, packing, repetition
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_groups(_table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+
+
 def op9_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_text_pictures(media.text_pictures(_table(spark, sf_dir, "documents")))
 
@@ -41,7 +45,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_curve_packing, op2_language_codes, op3_suffix_repetition, op9_media_tiles, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_curve_packing, op2_language_codes, op3_suffix_repetition, op5_superminhash, op9_media_tiles, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
