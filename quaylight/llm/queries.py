@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylight.llm import byte_bpe, language, media, near_dedup, packing, repetition
+from quaylight.llm import byte_bpe, chat, language, licenses, media, near_dedup, packing, repetition, substring_dedup, url_filter
+
+#: What both turns of the added conversation say.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+URL_RULES = (
+    url_filter.Rule("com/", "allow"),
+    url_filter.Rule("example.com/en/", "block"),
+    url_filter.Rule("www.example.com/en/", "allow"),
+    url_filter.Rule("net/es/", "block"),
+    url_filter.Rule("net/fr/", "block"),
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +41,29 @@ def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.chat_digests(chat.chat_windows(turns))
+
+
 def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_groups(_table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op6_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.fit_urls(url_filter.labelled_urls(spark))
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), model, URL_RULES)
+
+
+def op7_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op8_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digests(_table(spark, sf_dir, "documents"), window=20)
+
+
 def op9_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_text_pictures(media.text_pictures(_table(spark, sf_dir, "documents")))
 
@@ -44,9 +73,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_digests(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+QUERIES = (
+    op1_curve_packing, op2_language_codes, op3_suffix_repetition, op4_chat_windows, op5_superminhash, op6_url_model,
+    op7_license_sentences, op8_anchor_dedup, op9_media_tiles, op10_byte_bpe,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_curve_packing, op2_language_codes, op3_suffix_repetition, op5_superminhash, op9_media_tiles, op10_byte_bpe)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_license_sentences": licenses.scan_sql()}
