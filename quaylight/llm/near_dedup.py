@@ -5,7 +5,8 @@ are compared with the bucket's pivot, the member that meets most others.  What r
 a bucket that the pivot doesn't show.  They are found without comparing all members with each other: for a pivot ``p``
 the sets ``u`` and ``v`` differ as much as their differences from it, ``|u ^ v| = |(u ^ p) ^ (v ^ p)|``, so two linked
 sets of which one isn't linked with the pivot must share over about half of the smaller difference, and hence one of its
-rarest elements.  Members too far from the pivot for this get a pivot of their own in a next round.
+rarest elements.  Members too far from the pivot for this get a pivot of their own in a next round, as long as rounds
+halve what is left; then few are near each other, and all pairs that share one of their rarest elements are compared.
 """
 
 from __future__ import annotations
@@ -180,33 +181,58 @@ def _delta_candidates(deltas: DataFrame, percent: int) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _prefix_candidates(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: all pairs of members that may be linked: their sets share one of their rarest elements.
+
+    Linked sets share ``percent`` per cent of each, so of elements ordered from the rarest on, one of the first
+    ``n - ceil(n * percent / 100) + 1`` of either is among those of the other.
+    """
+    flat = sets.join(members.select(F.col("member").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.size("s").alias("n"), F.explode("s").alias("e"))
+    often = flat.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = flat.join(often, "e", "left").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "e"))).alias("es"))
+    rare = ranked.select("doc_id", "n", F.explode(F.expr(f"slice(es, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))")).alias("x")).filter("x.df > 1")
+    one = rare.select(F.col("x.e").alias("e"), F.col("doc_id").alias("a"), F.col("n").alias("na"))
+    two = rare.select(F.col("x.e").alias("e"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+    fits = one.join(two, "e").filter(F.col("a") < F.col("b")).filter(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na")
+    return fits.select("a", "b").distinct()
+
+
 def find_links(buckets: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """``a, b``: links that connect all linked members of each bucket.  ``buckets``: ``bucket, member``, two or more each."""
-    links, rounds, apart = [], 0, 1 - percent / 100
+    links: DataFrame | None = None
+    rounds, apart = 0, 1 - percent / 100
+
+    def check(pairs: DataFrame, name: str) -> DataFrame:
+        checked = _with_sets(pairs, sets, "a", "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("inter"))
+        return scratch.put(name, checked.filter(_linked(percent)).select("a", "b"))
+
     while True:
         rounds += 1
         sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size"))
         meets = buckets.join(sizes, "bucket").groupBy("member").agg(F.sum("size").alias("meets"))
-        pivots = buckets.join(meets, "member").groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("member")).alias("m"))).alias("best"))
-        pivots = pivots.select("bucket", (-F.col("best.m")).alias("pivot"))
-        own = scratch.put(f"own{rounds}", buckets.join(pivots, "bucket").filter("member <> pivot").select("pivot", "member").distinct())
-        found = _with_sets(own, sets, "pivot", "member").withColumns({"nb": F.size("sb"), "na": F.size("sa"), "inter": F.size(F.array_intersect("sa", "sb"))})
+        best = buckets.join(meets, "member").groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("member")).alias("m"))).alias("best"))
+        led = scratch.put(f"led{rounds}", buckets.join(best.select("bucket", (-F.col("best.m")).alias("pivot")), "bucket").filter("member <> pivot"))
+        found = _with_sets(led.select("pivot", "member").distinct(), sets, "pivot", "member")
+        found = found.withColumns({"nb": F.size("sb"), "na": F.size("sa"), "inter": F.size(F.array_intersect("sa", "sb"))})
         distance = 1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
         delta = F.when(distance <= FAR + apart, F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")))
         deltas = scratch.put(f"deltas{rounds}", found.select("pivot", "member", F.col("nb").alias("n"), F.col("na").alias("np"), _linked(percent).alias("linked"), distance.alias("distance"), delta.alias("delta")))
-        links.append(deltas.filter("linked").select(F.col("pivot").alias("a"), F.col("member").alias("b")))
         pairs = scratch.put(f"pairs{rounds}", _delta_candidates(deltas.filter(F.col("delta").isNotNull()), percent))
-        checked = _with_sets(pairs, sets, "a", "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("inter"))
-        links.append(checked.filter(_linked(percent)).select("a", "b"))
-        # members far from the pivot are linked with far ones only; each pivot's are a bucket of the next round
-        far = deltas.filter(F.col("distance") >= FAR).select(F.col("pivot").alias("bucket"), "member")
+        new = check(pairs, f"found{rounds}").unionByName(deltas.filter("linked").select(F.col("pivot").alias("a"), F.col("member").alias("b")))
+        new = scratch.put(f"new{rounds}", new)
+        links = new if links is None else links.unionByName(new)
+        # members far from their bucket's pivot are linked with far ones only: they get a pivot of their own
+        far = led.join(deltas.filter(F.col("distance") >= FAR).select("pivot", "member"), ["pivot", "member"], "left_semi").select("bucket", "member")
         several = far.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
         buckets = scratch.put(f"far{rounds}", far.join(several, "bucket", "left_semi"))
-        if buckets.isEmpty():
-            out = links[0]
-            for more in links[1:]:
-                out = out.unionByName(more)
-            return out
+        before, after = led.count(), buckets.count()
+        scratch.drop(f"led{rounds}", f"deltas{rounds}", f"pairs{rounds}", f"far{rounds - 1}")
+        if 2 * after > before:
+            # hardly any is near another: no group is left that makes elements frequent
+            pairs = _prefix_candidates(buckets.select("member").distinct(), sets, percent)
+            links, after = links.unionByName(check(pairs, "last")), 0
+        if not after:
+            return links
 
 
 def near_duplicate_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
