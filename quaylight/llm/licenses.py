@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Ends of sentences that white space follows.
-SENTENCE_END = r"([.;:!?])[ \t\r\f]+"
+SENTENCE_END = r"([.;!?])[ \t\r\f]+"
+#: Wrapped lines: the next one goes on in small letters, or both are in capitals; wide white space at its start is dropped.
+WRAPPED = (r"([a-z0-9,][ \t]*)\r?\n[ \t]*([a-z(])", r"([A-Z]{2}[,.]?[ \t]*)\r?\n[ \t]*([A-Z]{2})")
 
 #: Normal forms of licence sentences and their identifiers: fixed values.
 SENTENCES = {
@@ -28,6 +30,7 @@ SENTENCES = {
     "apache_only": "you may not use this file except in compliance with the license",
     "apache_copy": "you may obtain a copy of the license at",
     "gpl3_name": "this work is licensed under the gnu general public license version 3",
+    "gpl_notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl_free": "this program is free software",
     "gpl_terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "cc_by_nc_4": "licensed under cc by nc 4 0",
@@ -53,6 +56,7 @@ RULES = (
     LicenseRule("MIT", ("mit_name_the", "mit_grant", "mit_notice", "as_is"), "permissive"),
     LicenseRule("MIT", ("mit_grant", "mit_notice", "as_is"), "permissive"),
     LicenseRule("Apache-2.0", ("apache_file", "apache_only", "apache_copy"), "permissive"),
+    LicenseRule("GPL-3.0-or-later", ("gpl_notice",), "copyleft"),
     LicenseRule("GPL-3.0-or-later", ("gpl_free", "gpl_terms"), "copyleft"),
     LicenseRule("MIT", ("mit_grant",), "permissive"),
     LicenseRule("MIT", ("mit_name",), "permissive"),
@@ -72,7 +76,10 @@ STRICTEST = ("restricted", "copyleft", "permissive")
 
 def normal_sentences(text: Column) -> Column:
     """Sentences in normal form: lower case for A to Z, other signs than letters and digits of ASCII as one blank each run."""
-    cut = F.regexp_replace(F.coalesce(text, F.lit("")), SENTENCE_END, "$1\n")
+    cut = F.coalesce(text, F.lit(""))
+    for pattern in WRAPPED:
+        cut = F.regexp_replace(cut, pattern, "$1 $2")
+    cut = F.regexp_replace(cut, SENTENCE_END, "$1\n")
     plain = F.regexp_replace(F.translate(cut, UPPER, UPPER.lower()), "[^a-z0-9\n]+", " ")
     return F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
@@ -109,6 +116,9 @@ def scan_sql(sentences: dict[str, str] | None = None, rules: Sequence[LicenseRul
     names = ", ".join(f"'{n}'" for n in sentences)
     texts = ", ".join(f"'{s}'" for s in sentences.values())
     steps, left = [], "base"
+    whole = "coalesce(text, '')"
+    for pattern in WRAPPED:
+        whole = f"regexp_replace({whole}, '{pattern}', '\\1 \\2', 'g')"
     for k, rule in enumerate(rules):
         pattern = "".join(f";{s};" for s in rule.sentences)
         taken = ", ".join([*(f"hit{j}" for j in range(k)), f"contains(rest, '{pattern}') AS hit{k}"])
@@ -120,7 +130,7 @@ def scan_sql(sentences: dict[str, str] | None = None, rules: Sequence[LicenseRul
     return f"""
 WITH cut AS (
   SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(
-    translate(regexp_replace(coalesce(text, ''), '([.;:!?])[ \\t\\r\\f]+', '\\1\n', 'g'), '{UPPER}', '{UPPER.lower()}'),
+    translate(regexp_replace({whole}, '{SENTENCE_END}', '\\1\n', 'g'), '{UPPER}', '{UPPER.lower()}'),
     '[^a-z0-9\n]+', ' ', 'g'), '\n'), lambda s: trim(s)), lambda s: s <> '') AS s FROM documents),
 known AS (
   SELECT doc_id, len(s) AS n_sentences, list_transform(list_filter(s, lambda x: list_contains([{texts}], x)),
