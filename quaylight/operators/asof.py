@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaylight.functions.times import micros
@@ -46,7 +46,7 @@ def asof_before(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str,
     return out.select(*[F.col("__row")[c].alias(c) for c in columns], *[F.col("__tick")[c].alias(c) for c in ("tick_ts", *values)])
 
 
-def _near(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], seconds: int, offset_seconds: int) -> DataFrame:
+def _near(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], seconds: int, offset_seconds: int | Column) -> DataFrame:
     """Event rows (as ``__row``, with ``__id``) and the ticks in the neighbouring buckets of their target time."""
     size = seconds * 1_000_000
     event = events.withColumns({"__at": micros(ts) + offset_seconds * 1_000_000, "__row": F.struct(*events.columns), "__id": F.monotonically_increasing_id()})
@@ -61,22 +61,33 @@ def _pick(joined: DataFrame, columns: Sequence[str], values: Sequence[str], orde
     return best.select(*[F.col("__row")[c].alias(c) for c in columns], *[F.col("__tick")[c].alias(c) for c in ("tick_ts", *values)])
 
 
-def asof_after(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], seconds: int, offset_seconds: int = 0) -> DataFrame:
+def asof_after(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], seconds: int, offset_seconds: int | Column = 0) -> DataFrame:
     """The first tick from ``offset_seconds`` after each event on, up to ``seconds`` later, both bounds included."""
     joined = _near(events, ticks, by, ts, values, seconds, offset_seconds)
     ok = (F.col("__gap") >= 0) & (F.col("__gap") <= seconds * 1_000_000)
     return _pick(joined, events.columns, values, F.when(ok, F.struct("__gap", "__tick")))
 
 
-def asof_until(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], seconds: int, offset_seconds: int = 0) -> DataFrame:
+def asof_until(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], seconds: int, offset_seconds: int | Column = 0) -> DataFrame:
     """The last tick up to ``offset_seconds`` after each event, no more than ``seconds`` earlier, both bounds included."""
     joined = _near(events, ticks, by, ts, values, seconds, offset_seconds)
     ok = (F.col("__gap") <= 0) & (F.col("__gap") >= -seconds * 1_000_000)
     return _pick(joined, events.columns, values, F.when(ok, F.struct(-F.col("__gap"), "__tick")))
 
 
-def nearest(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], seconds: int, offset_seconds: int = 0) -> DataFrame:
+def nearest(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], seconds: int, offset_seconds: int | Column = 0) -> DataFrame:
     """The tick nearest to ``offset_seconds`` after each event within ``seconds``; of two as near, the earlier."""
     joined = _near(events, ticks, by, ts, values, seconds, offset_seconds)
     ok = F.abs("__gap") <= seconds * 1_000_000
     return _pick(joined, events.columns, values, F.when(ok, F.struct(F.abs("__gap"), "__tick_at", "__tick")))
+
+
+def ticks_before(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], seconds: int) -> DataFrame:
+    """All ticks up to ``seconds`` before each event, the event's own time left out; events without any have no row."""
+    size = seconds * 1_000_000
+    event = events.withColumns({"__at": micros(ts), "__row": F.struct(*events.columns)})
+    last = F.floor(F.col("__at") / size)
+    event = event.select(*by, "__at", "__row", F.explode(F.array(last - 1, last)).alias("__bucket"))
+    tick = ticks.select(*by, micros(ts).alias("__tick_at"), F.col(ts).alias("tick_ts"), *values).withColumn("__bucket", F.floor(F.col("__tick_at") / size))
+    joined = event.join(tick, [*by, "__bucket"]).filter((F.col("__tick_at") < F.col("__at")) & (F.col("__tick_at") >= F.col("__at") - size))
+    return joined.select(*[F.col("__row")[c].alias(c) for c in events.columns], "tick_ts", *values)

@@ -80,3 +80,110 @@ def liquidity(bars: DataFrame, last: int = 20) -> DataFrame:
     recent = bars.withColumn("__rank", rank).filter(F.col("__rank") <= last)
     out = recent.groupBy("symbol").agg(F.median(F.col("close") * F.col("n")).alias("turnover"))
     return out.withColumn("score", F.when(F.col("turnover") > 0, clamp((F.log10("turnover") - 6) / 3)))
+
+
+def features(ticks: DataFrame, as_of: str, trend_ticks: int = 20) -> DataFrame:
+    """One row of features for each symbol from ticks up to ``as_of`` (a timestamp literal, without time zone).
+
+    One aggregate reads the ticks once: last price, the close before the day, the session's open, high and low, as-of
+    prices before 1, 5 and 30 minutes and a day, and the earlier high and low.  The trend's ticks are trimmed to
+    ``trend_ticks`` for each symbol before they are shuffled.
+    """
+    now = F.lit(as_of).cast("timestamp_ntz")
+    day = F.date_trunc("day", now).cast("timestamp_ntz")
+    ticks = ticks.filter(is_finite("close") & (F.col("ts") <= now)).select("symbol", "ts", "close")
+    on = lambda f, c: f(F.when(c, F.col("close")), F.when(c, F.col("ts")))
+    today, past = F.col("ts") >= day, F.col("ts") < day
+    before = lambda minutes: F.col("ts") <= now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
+    out = ticks.groupBy("symbol").agg(
+        F.max_by("close", "ts").alias("last"), on(F.max_by, past).alias("previous_close"), on(F.min_by, today).alias("session_open"),
+        F.max(F.when(today, F.col("close"))).alias("session_high"), F.min(F.when(today, F.col("close"))).alias("session_low"),
+        F.max(F.when(past, F.col("close"))).alias("prior_high"), F.min(F.when(past, F.col("close"))).alias("prior_low"),
+        *[on(F.max_by, before(m)).alias(f"at_{m}m") for m in (1, 5, 30, 1440)],
+    )
+    rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))
+    recent = ticks.withColumn("__rank", rank).filter(F.col("__rank") <= trend_ticks)
+    out = out.join(recent.groupBy("symbol").agg(slope(F.col("close"), -F.col("__rank")).alias("slope")), "symbol")
+    unknown = F.col("session_high").isNull() | F.col("prior_high").isNull()
+    broke = F.when(unknown, "unknown").when(F.col("session_high") > F.col("prior_high"), "breakout_up").when(F.col("session_low") < F.col("prior_low"), "breakout_down").otherwise("inside")
+    trend = F.when(F.col("slope").isNull(), None).when(F.col("slope") > 0, "up").when(F.col("slope") < 0, "down").otherwise("flat")
+    return out.select(
+        "symbol", "last", "previous_close", (F.col("last") - F.col("previous_close")).alias("change"), "session_open", "session_high", "session_low",
+        ratio(F.col("last") - F.col("session_low"), F.col("session_high") - F.col("session_low")).alias("position"),
+        *[simple_return("last", f"at_{m}m").alias(f"return_{m}m") for m in (1, 5, 30, 1440)], trend.alias("trend"), broke.alias("session_break"),
+    )
+
+
+def grid(ticks: DataFrame, bars: DataFrame, recent: int = 12) -> DataFrame:
+    """``symbol, last, ago_5m, day_open, samples, vol_state``: a watch list's row for each symbol.
+
+    ``vol_state`` compares the summed ranges of the last ``recent`` bars with those of as many before: elevated from 1.5
+    on, quiet up to 0.66, unknown without both.
+    """
+    ticks = ticks.filter(is_finite("close"))
+    last = ticks.groupBy("symbol").agg(F.max("ts").alias("last_ts"))
+    near = ticks.join(F.broadcast(last), "symbol")
+    ago = F.when(F.col("ts") <= F.col("last_ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(5)), F.col("ts"))
+    day = F.when(F.col("ts") >= F.date_trunc("day", "last_ts").cast("timestamp_ntz"), F.col("ts"))
+    out = near.groupBy("symbol").agg(F.max_by("close", "ts").alias("last"), F.max_by("close", ago).alias("ago_5m"), F.min_by("close", day).alias("day_open"), F.count(day).alias("samples"))
+    rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("bucket_s")))
+    ranked = bars.withColumn("__rank", rank).filter(F.col("__rank") <= 2 * recent).withColumn("__range", F.col("high") - F.col("low"))
+    part = lambda c: F.sum(F.when(c, F.col("__range")))
+    ranges = ranked.groupBy("symbol").agg(part(F.col("__rank") <= recent).alias("new"), part(F.col("__rank") > recent).alias("old"))
+    share = ratio("new", "old")
+    state = F.when(share.isNull(), "unknown").when(share >= 1.5, "elevated").when(share <= 0.66, "quiet").otherwise("normal")
+    return out.join(ranges, "symbol", "left").select("symbol", "last", "ago_5m", "day_open", "samples", state.alias("vol_state"))
+
+
+def last_two(bars: DataFrame) -> DataFrame:
+    """``symbol, bucket_s, close, previous, change_percent`` of each symbol's last bar."""
+    w = Window.partitionBy("symbol").orderBy(F.desc("bucket_s"))
+    two = bars.select("symbol", "bucket_s", "close").withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= 2)
+    at = lambda c, k: F.max(F.when(F.col("__rank") == k, F.col(c)))
+    out = two.groupBy("symbol").agg(at("bucket_s", 1).alias("bucket_s"), at("close", 1).alias("close"), at("close", 2).alias("previous"))
+    return out.withColumn("change_percent", 100 * ratio(F.col("close") - F.col("previous"), F.abs("previous")))
+
+
+def term_structure(bars_by_name: dict[str, DataFrame]) -> DataFrame:
+    """``resolution, range_percent, symbols``: mean range of the symbols' last bars at each resolution."""
+    out = None
+    for name, bars in bars_by_name.items():
+        last = bars.groupBy("symbol").agg(F.max_by(F.struct("high", "low", "close"), "bucket_s").alias("b"))
+        part = last.select(F.lit(name).alias("resolution"), (100 * ratio(F.col("b.high") - F.col("b.low"), F.col("b.close"))).alias("x"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("resolution").agg(F.avg("x").alias("range_percent"), F.count("x").alias("symbols"))
+
+
+def rolling_correlation(values: DataFrame, a: str, b: str, window: int = 20, by: str = "symbol", ts: str = "bucket_s", value: str = "ret") -> DataFrame:
+    """``days, current, prior``: correlation over the last ``window`` aligned times and over as many before.
+
+    Null without enough times: ``window`` for the current one, twice as many for the prior one.
+    """
+    side = lambda name, to: values.filter(F.col(by) == name).select(ts, F.col(value).alias(to))
+    both = side(a, "x").join(side(b, "y"), ts).orderBy(F.desc(ts)).limit(2 * window)
+    rank = both.withColumn("__rank", F.row_number().over(Window.orderBy(F.desc(ts))))
+    now, then = F.col("__rank") <= window, F.col("__rank") > window
+    part = lambda c: pearson(F.when(c, F.col("x")), F.when(c, F.col("y")), window)
+    return rank.agg(F.count("*").alias("days"), part(now).alias("current"), part(then).alias("prior"))
+
+
+def session_returns(bars: DataFrame, sessions: tuple[int, ...] = (5, 20, 60), volatility: int = 20, keep: int = 63) -> DataFrame:
+    """Returns over numbers of sessions and the spread of the last log returns, from each symbol's ``keep`` last bars."""
+    w = Window.partitionBy("symbol").orderBy(F.desc("bucket_s"))
+    ranked = bars.filter(F.col("close") > 0).select("symbol", "bucket_s", "close").withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= keep)
+    step = F.log(F.col("close") / F.lead("close").over(w))
+    at = lambda k: F.max(F.when(F.col("__rank") == k, F.col("close")))
+    g = ranked.withColumn("__step", step).groupBy("symbol")
+    steps = F.when(F.col("__rank") <= volatility, F.col("__step"))
+    return g.agg(F.count("*").alias("bars"), *[simple_return(at(1), at(n + 1)).alias(f"return_{n}") for n in sessions], F.when(F.count(steps) >= 2, F.stddev_samp(steps)).alias("volatility"))
+
+
+def spreads(latest: DataFrame, definitions: dict[str, tuple[str, str]], key: str = "series_id", value: str = "value") -> DataFrame:
+    """``label, spread, reason``: long less short value of each definition, a short list; ``missing_data`` without both."""
+    spark = latest.sparkSession
+    wanted = spark.createDataFrame([(k, a, b) for k, (a, b) in definitions.items()], "label string, long_id string, short_id string")
+    one = latest.select(F.col(key).alias("long_id"), finite(value).alias("a"))
+    two = latest.select(F.col(key).alias("short_id"), finite(value).alias("b"))
+    both = wanted.join(one, "long_id", "left").join(two, "short_id", "left")
+    spread = F.col("a") - F.col("b")
+    return both.select("label", spread.alias("spread"), F.when(spread.isNull(), "missing_data").alias("reason"))

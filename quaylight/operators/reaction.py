@@ -38,11 +38,10 @@ def reactions(events: DataFrame, instruments: DataFrame, ticks: DataFrame, horiz
     """
     asks = events.select("event_id", "ts").crossJoin(F.broadcast(instruments.select("symbol")))
     base = asof.asof_before(asks, ticks, ["symbol"], "ts", ["close"], seconds=baseline_seconds).withColumnsRenamed({"tick_ts": "baseline_at", "close": "baseline"})
-    out = None
-    for horizon, minutes in horizons:
-        target = asof.asof_after(base, ticks, ["symbol"], "ts", ["close"], tolerance_seconds, minutes * 60).withColumnsRenamed({"tick_ts": "target_at", "close": "target"})
-        target = target.withColumn("horizon", F.lit(horizon))
-        out = target if out is None else out.unionByName(target)
+    times = events.sparkSession.createDataFrame(list(horizons), "horizon string, minutes int")
+    asked = base.crossJoin(F.broadcast(times))
+    out = asof.asof_after(asked, ticks, ["symbol"], "ts", ["close"], tolerance_seconds, F.col("minutes").cast("long") * 60)
+    out = out.withColumnsRenamed({"tick_ts": "target_at", "close": "target"}).drop("minutes")
     reason = (
         F.when(F.col("baseline").isNull(), "missing_baseline").when(F.col("target").isNull(), "missing_target")
         .when(F.col("baseline") == 0, "zero_baseline").when(F.col("target") == 0, "zero_target")
@@ -66,6 +65,40 @@ def path_states(moves: DataFrame, by: Sequence[str], order: str, move: str = "mo
     return g.select(*by, state.alias("path_state"), "up", "down")
 
 
+def session_target(ts: Column, close_hour: int = 21) -> Column:
+    """The day's close if it lies after the moment, else the next day's."""
+    close = F.date_trunc("day", ts).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(close_hour))
+    return F.when(close > ts, close).otherwise(close + F.make_dt_interval(F.lit(1)))
+
+
+#: Prices that confirm a headline: minutes from it on.
+CONFIRMATION = {"before": -30, "base": 0, "m5": 5, "m30": 30}
+
+
+def confirmation(events: DataFrame, instruments: DataFrame, ticks: DataFrame, threshold_percent: float = 0.5, tolerance_seconds: int = 900) -> DataFrame:
+    """``event_id, flags``: what prices near each event say, over all instruments, as a comma-joined list.
+
+    All prices of an event and instrument are found by one join on nearest ticks, and pivoted.
+    """
+    points = events.sparkSession.createDataFrame(list(CONFIRMATION.items()), "point string, minutes int")
+    asks = events.select("event_id", "ts").crossJoin(F.broadcast(instruments.select("symbol"))).crossJoin(F.broadcast(points))
+    found = asof.nearest(asks, ticks, ["symbol"], "ts", ["close"], tolerance_seconds, F.col("minutes").cast("long") * 60)
+    p = found.groupBy("event_id", "symbol").agg(*[F.max(F.when(F.col("point") == c, F.col("close"))).alias(c) for c in CONFIRMATION])
+    change = lambda a, b: 100 * (F.try_divide(F.col(a), F.col(b)) - 1)
+    p = p.select("event_id", change("base", "before").alias("pre"), change("m5", "base").alias("a"), change("m30", "base").alias("b"))
+    large = lambda c: F.coalesce(F.abs(c) >= threshold_percent, F.lit(False))
+    both = lambda c: F.coalesce(F.bool_or(F.col(c) >= threshold_percent), F.lit(False)) & F.coalesce(F.bool_or(F.col(c) <= -threshold_percent), F.lit(False))
+    f = p.groupBy("event_id").agg(
+        (F.count("a") + F.count("b")).alias("n"), F.bool_or(large("a") | large("b")).alias("hit"), F.bool_or(large("pre")).alias("moved"), (both("a") | both("b")).alias("apart"),
+        F.bool_or(large("a") & large("b") & F.coalesce(F.col("a") * F.col("b") < 0, F.lit(False))).alias("turned"), F.bool_or(F.col("pre").isNull() | F.col("a").isNull() | F.col("b").isNull()).alias("lacks"),
+    )
+    flags = (
+        (F.col("hit"), "confirmed_by_market"), ((F.col("n") > 0) & ~F.col("hit"), "no_material_reaction"), (F.col("moved"), "market_moved_before_headline"),
+        (F.col("apart"), "cross_asset_divergence"), (F.col("turned"), "initial_move_reversed"), ((F.col("n") == 0) | F.col("lacks"), "insufficient_market_data"),
+    )
+    return f.select("event_id", F.concat_ws(",", *[F.when(c, name) for c, name in flags]).alias("flags"))
+
+
 def _matched(prices: np.ndarray, times: np.ndarray, horizon: int) -> tuple[int, float | None]:
     """(pairs, volatility): anchors from the first sample on, each with the first sample from the horizon on.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaylight.plans import kernel  # noqa: F401
+from quaylight.plans import kernel, reactions, states  # noqa: F401
 from quaylight.plans.base import ORACLES, QUERIES, Query
 
 
@@ -17,4 +17,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["agg09_ohlcv_1h"](spark, sf_dir)
+    return QUERIES["rxn06_moves"](spark, sf_dir)
