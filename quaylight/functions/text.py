@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 #: Words that carry no topic in a headline.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "were", "with")
 
+#: Named and numbered signs of HTML that pages use; the ampersand comes last, so that nothing is resolved twice.  Fixed values.
+ENTITIES = {
+    "nbsp": " ", "#160": " ", "lt": "<", "gt": ">", "quot": '"', "#34": '"', "apos": "'", "#39": "'", "#x27": "'", "copy": "\u00a9", "reg": "\u00ae", "trade": "\u2122", "middot": "\u00b7", "bull": "\u2022",
+    "ndash": "\u2013", "mdash": "\u2014", "hellip": "\u2026", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d", "laquo": "\u00ab", "raquo": "\u00bb", "euro": "\u20ac", "pound": "\u00a3",
+    "#8211": "\u2013", "#8212": "\u2014", "#8217": "\u2019", "eacute": "\u00e9", "egrave": "\u00e8", "uuml": "\u00fc", "ouml": "\u00f6", "auml": "\u00e4", "szlig": "\u00df", "ntilde": "\u00f1", "amp": "&",
+}
+
 
 def title_tokens(text: Column) -> Column:
     """Distinct words of ``[a-z0-9]`` with two characters or more, without stop words, in order."""
@@ -55,8 +62,8 @@ def visible_text(html: Column) -> Column:
     """Text of a page: scripts, styles, comments and tags go, common entities are resolved, white space collapses."""
     bare = F.regexp_replace(html, r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>", " ")
     bare = F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
-    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(sign))
+    for entity, sign in ENTITIES.items():
+        bare = F.replace(bare, F.lit(f"&{entity};"), F.lit(sign))
     return collapse_space(bare)
 
 
