@@ -79,9 +79,33 @@ QUERIES = (
 )
 
 
+#: Words of each document in order, the runs of ``size`` of them, and what is the same or earlier.
+_WORDS_SQL = """words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i, len(ws) AS n FROM
+  (SELECT doc_id, regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)),
+runs AS (SELECT doc_id, i, n, word, count(*) OVER w AS size, array_to_string(list(word) OVER w, ' ') AS run FROM words
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {last} FOLLOWING))"""
+
+OP5_SQL = f"""WITH RECURSIVE {_WORDS_SQL.format(text=f"translate(text, '{url_filter.UPPER}', '{url_filter.UPPER.lower()}')", last=2)},
+sets AS (SELECT DISTINCT doc_id, run FROM runs WHERE size = 3 OR (n < 3 AND i = 0)), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sets a JOIN sets b ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id, d.doc_id <= coalesce(l.b, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.a = d.doc_id"""
+
+OP8_SQL = f"""WITH {_WORDS_SQL.format(text="text", last=19)},
+full_runs AS (SELECT doc_id, i, run FROM runs WHERE size = 20), firsts AS (SELECT run, min((doc_id, i)) AS place FROM full_runs GROUP BY run),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM full_runs JOIN firsts USING (run), (SELECT unnest(range(20)) AS k) WHERE (doc_id, i) > place),
+left_over AS (SELECT w.doc_id, count(*) AS n, count(g.i) AS n_removed, sha256(coalesce(string_agg(w.word, ' ' ORDER BY w.i) FILTER (g.i IS NULL), '')) AS kept
+  FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept, sha256('')) AS kept_sha256 FROM documents d LEFT JOIN left_over l ON l.doc_id = d.doc_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_license_sentences": licenses.scan_sql()}
+    return {"op5_superminhash": OP5_SQL, "op7_license_sentences": licenses.scan_sql(), "op8_anchor_dedup": OP8_SQL}
