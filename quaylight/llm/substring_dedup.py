@@ -26,6 +26,7 @@ COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14,
 LEAST_ANCHOR = 8
 
 _U = np.uint64
+_CHECK = _U(0xFFFFFFFF)
 
 
 def cover_for(window: int, least: int = LEAST_ANCHOR) -> tuple[int, np.ndarray]:
@@ -47,11 +48,51 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, new, np.repeat(sizes, sizes)
 
 
+def text_hashes(words: Words, values: np.ndarray) -> np.ndarray:
+    """64 bits for each text's sequence of words."""
+    ends = words.first
+    found = [int.from_bytes(hashlib.blake2b(values[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return np.array(found, np.int64)
+
+
+def whole_copies(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+    """``copy_id, whole``: hashes of those texts whose words are those of a document of smaller id.
+
+    All windows of such a text start earlier elsewhere, so none has to be looked for.  Two hashes of a text, of its words
+    by two mixes, tell texts apart; one of them finds a copy again among the texts of its id.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch):
+                words = Words(part.column("text"))
+                values = words.hashes()
+                some = np.flatnonzero(words.counts() >= window)
+                prints = [pa.array(text_hashes(words, v)[some]) for v in (values, mix(values ^ _CHECK))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(some)), *prints], names=["doc_id", "f1", "f2"])
+
+    prints = scratch.put("prints", docs.mapInArrow(run, "doc_id long, f1 long, f2 long"))
+    several = prints.groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).filter("least < last")
+    copies = prints.join(several, ["f1", "f2"]).filter("doc_id > least")
+    return scratch.put("copies", copies.groupBy(F.col("doc_id").alias("copy_id")).agg(F.collect_set("f1").alias("whole")))
+
+
+def is_whole_copy(words: Words, values: np.ndarray, whole: pa.Array) -> np.ndarray:
+    """True for each text whose hash is listed for its document."""
+    out = np.zeros(words.n_docs, bool)
+    listed = whole.to_pylist() if whole.null_count < len(whole) else []
+    if listed:
+        hashes = text_hashes(words, values).tolist()
+        out[:] = [x is not None and h in x for h, x in zip(hashes, listed, strict=True)]
+    return out
+
+
 def anchors(docs: DataFrame, window: int) -> DataFrame:
-    """``key, doc_id, at, known``: each anchor's hash and place, in words.
+    """``key, doc_id, at``: each anchor's hash and twice its place, in words, odd where it is known to be repeated.
 
-    Of an anchor that a step holds several times one row keeps its hash; the others are known to be repeated and get a
-    key of their own, so that no frequent passage meets in one task as often as it occurs.
+    Of an anchor that a step holds several times one row keeps its hash; the others get a key of their own, so that no
+    frequent passage meets in one task as often as it occurs.  Anchors only propose places, so 48 bits are enough; rows
+    stay in text order, in which they compress best.
     """
     period, cover = cover_for(window)
     size = window - period + 1
@@ -66,12 +107,14 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
                 at = np.arange(n) - words.first[doc]
                 some = np.flatnonzero(inside_windows(words, size) & cover[at % period] & (words.counts()[doc] >= window))
                 order, new, sizes = _runs(keys[some])
-                some = some[order]
-                key = np.where(new, keys[some], mix(keys[some] + mix(some.astype(_U) + _U(1))))
-                columns = [pa.array(key.view(np.int64)), part.column("doc_id").take(pa.array(doc[some])), pa.array(at[some].astype(np.int32)), pa.array(sizes > 1)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "at", "known"])
+                key, known = keys[some], np.zeros(len(some), bool)
+                again = order[~new]
+                key[again] = mix(key[again] + mix(some[again].astype(_U) + _U(1)))
+                known[order] = sizes > 1
+                columns = [pa.array((key >> _U(16)).view(np.int64)), part.column("doc_id").take(pa.array(doc[some])), pa.array((2 * at[some] + known).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "at"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, at int, known boolean")
+    return docs.mapInArrow(run, "key long, doc_id long, at int")
 
 
 def _listed(places: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,10 +125,12 @@ def _listed(places: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(docs: DataFrame, window: int) -> DataFrame:
-    """``h1, h2, doc_id, mark, known`` of each window around the anchors listed in ``places``.
+    """``h1, h2, doc_id, at`` of each window around the anchors listed in ``places``: 96 bits of hash and twice its start.
+
+    Texts that ``whole`` lists as copies are left out.
 
-    ``mark`` is the window's start in the high and a part of its hash in the low half.  Of equal windows in a step only
-    the earliest keeps its hash; the others are known to have an earlier one.
+    Of equal windows in a step only the earliest keeps its ``h1``; the others are known to have an earlier one, which an
+    odd ``at`` tells.  Rows stay in text order.
     """
     period, _ = cover_for(window)
 
@@ -98,55 +143,70 @@ def windows(docs: DataFrame, window: int) -> DataFrame:
                 ok = places < words.counts()[of]
                 at, begin = words.first[of[ok]] + places[ok], words.first[of[ok]]
                 near = np.zeros(len(words) + 1, bool)
+                copy = is_whole_copy(words, values, part.column("whole"))
+                at, begin = at[~copy[words.doc[at]]], begin[~copy[words.doc[at]]]
                 for back in range(period):
                     near[(at - back)[at - back >= begin]] = True
                 some = inside_windows(words, window)
                 some = np.flatnonzero(some & near[: len(some)])
                 h1, h2 = (window_hashes(values, window, k)[some] for k in (0, 1))
+                h2 = (h2 & _CHECK).astype(np.uint32)
                 doc = words.doc[some]
                 ids = part.column("doc_id").to_numpy()[doc]
                 start = some - words.first[doc]
-                mark = (start << 32) | (h1 & _U(0xFFFFFFFF)).astype(np.int64)
-                order = np.lexsort((mark, ids, h2, h1))
-                h1, h2, ids, mark = h1[order], h2[order], ids[order], mark[order]
+                order = np.lexsort((start, ids, h2, h1))
                 new = np.ones(len(order), bool)
-                new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-                head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int64)
-                known = (ids != ids[head]) | (mark != mark[head])
-                salt = mix(mark.view(_U) + mix(ids.view(_U)))
-                columns = [pa.array(np.where(known, mix(h1 + salt), h1).view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids), pa.array(mark), pa.array(known)]
-                yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc_id", "mark", "known"])
+                new[1:] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
+                head = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(new) else order
+                known = np.zeros(len(order), bool)
+                known[order] = (ids[order] != ids[head]) | (start[order] != start[head])
+                h1 = np.where(known, mix(h1 + mix(start.astype(_U) + mix(ids.view(_U)))), h1)
+                columns = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int32)), pa.array(ids), pa.array((2 * start + known).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc_id", "at"])
 
-    return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, mark long, known boolean")
+    return docs.mapInArrow(run, "h1 long, h2 int, doc_id long, at int")
 
 
 def repeated_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    """``repeat_id, marks``: the starts of each document's windows that also start earlier."""
+    """``repeat_id, marks, whole``: each document's windows that also start earlier, and its texts that are whole copies.
+
+    A mark is a start in the high and ``h2`` in the low half.
+    """
     rows = docs.filter("doc_id is not null and text is not null")
+    copies = whole_copies(rows, window, scratch)
     same = F.count("*").over(Window.partitionBy("key"))
-    twice = anchors(rows, window).withColumn("n", same).filter("known or n > 1")
-    places = scratch.put("places", twice.groupBy(F.col("doc_id").alias("repeat_id")).agg(F.collect_list("at").alias("places")))
-    found = windows(rows.join(places, F.col("doc_id") == F.col("repeat_id")).select("doc_id", "text", "places"), window)
-    place = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "mark"))
-    later = found.withColumn("place", place).filter("known or place > 1")
-    marks = scratch.put("marks", later.groupBy(F.col("doc_id").alias("repeat_id")).agg(F.collect_list("mark").alias("marks")))
-    scratch.drop("places")
+    twice = anchors(rows, window).withColumn("n", same).filter("at % 2 = 1 or n > 1")
+    places = scratch.put("places", twice.groupBy(F.col("doc_id").alias("repeat_id")).agg(F.collect_list(F.expr("at div 2").cast("int")).alias("places")))
+    places = places.join(copies, F.col("repeat_id") == F.col("copy_id"), "left")
+    scratch.release()
+    found = windows(rows.join(places, F.col("doc_id") == F.col("repeat_id")).select("doc_id", "text", "places", "whole"), window)
+    start = F.shiftright("at", 1)
+    place = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", start))
+    later = found.withColumn("place", place).filter("at % 2 = 1 or place > 1")
+    mark = F.shiftleft(start.cast("long"), 32).bitwiseOR(F.col("h2").cast("long").bitwiseAND(0xFFFFFFFF))
+    marks = scratch.put("windows", later.groupBy(F.col("doc_id").alias("repeat_id")).agg(F.collect_list(mark).alias("marks")))
+    marks = marks.join(copies, F.col("repeat_id") == F.col("copy_id"), "full_outer").select(F.coalesce("repeat_id", "copy_id").alias("repeat_id"), "marks", "whole")
+    marks = scratch.put("marks", marks)
+    scratch.drop("prints", "places", "windows", "copies")
+    scratch.release()
     return marks
 
 
-def removed_words(words: Words, marks: pa.Array, window: int) -> np.ndarray:
+def removed_words(words: Words, part: pa.RecordBatch, window: int, marks: str = "marks", whole: str = "whole") -> np.ndarray:
     """True for each word covered by a listed window; a mark of another text with the same id doesn't count."""
-    of, values = _listed(marks)
+    of, values = _listed(part.column(marks))
+    hashes = words.hashes()
+    copy = is_whole_copy(words, hashes, part.column(whole))[words.doc]
     edge = np.zeros(len(words) + 1, np.int64)
     if not len(values) or len(words) < window:
-        return np.zeros(len(words), bool)
-    start, check = values >> 32, (values & 0xFFFFFFFF).astype(_U)
+        return copy
+    start, check = values >> 32, values.view(_U) & _CHECK
     ok = start + window <= words.counts()[of]
     at, check = words.first[of[ok]] + start[ok], check[ok]
-    at = np.unique(at[window_hashes(words.hashes(), window)[at] & _U(0xFFFFFFFF) == check])
+    at = np.unique(at[window_hashes(hashes, window, 1)[at] & _CHECK == check])
     edge[at] += 1
     edge[at + window] -= 1
-    return np.cumsum(edge[:-1]) > 0
+    return copy | (np.cumsum(edge[:-1]) > 0)
 
 
 def kept_words(words: Words, removed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,9 +237,9 @@ def _cut(words: Words, removed: np.ndarray) -> list[str]:
     return [body[a:b].decode() for a, b in zip(sizes[:-1].tolist(), sizes[1:].tolist(), strict=True)]
 
 
-def _with_marks(docs: DataFrame, window: int, name: str) -> DataFrame:
+def _with_marks(docs: DataFrame, window: int, name: str, whole: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = repeated_windows(rows, window, Scratch(docs.sparkSession, "substrings")).withColumnsRenamed({"repeat_id": "__repeat_id", "marks": name})
+    marks = repeated_windows(rows, window, Scratch(docs.sparkSession, "substrings")).withColumnsRenamed({"repeat_id": "__repeat_id", "marks": name, "whole": whole})
     return docs.join(marks, F.col("doc_id").cast("long") == F.col("__repeat_id"), "left").drop("__repeat_id").withColumn(name, F.coalesce(name, F.array().cast("array<long>")))
 
 
@@ -194,14 +254,14 @@ def removal_digests(docs: DataFrame, window: int = 20) -> DataFrame:
         for batch in batches:
             for part in steps(batch):
                 words = Words(part.column("text"))
-                removed = removed_words(words, part.column("marks"), window)
+                removed = removed_words(words, part, window)
                 at, body = kept_words(words, removed)
                 digests = [hashlib.sha256(body[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 gone = np.bincount(words.doc[removed], minlength=words.n_docs).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.counts()), pa.array(gone), pa.array(digests)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _with_marks(rows, window, "marks").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_marks(rows, window, "marks", "whole").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, length: str | None = None) -> DataFrame:
@@ -209,21 +269,21 @@ def remove_repeats(docs: DataFrame, window: int = 20, length: str | None = None)
 
     All other columns and all rows stay; a text that was repeated whole becomes empty.  See ``removal_digests``.
     """
-    marks = "__repeat_marks"
+    marks, whole = "__repeat_marks", "__repeat_whole"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch):
                 words = Words(part.column("text"))
-                removed = removed_words(words, part.column(marks), window)
+                removed = removed_words(words, part, window, marks, whole)
                 place = part.schema.get_field_index("text")
                 if removed.any():
                     texts = pa.array(_cut(words, removed), part.schema.field(place).type)
                     touched = pa.array(np.bincount(words.doc[removed], minlength=words.n_docs) > 0)
                     part = part.set_column(place, "text", pc.if_else(touched, texts, part.column(place)))
-                yield part.drop_columns([marks])
+                yield part.drop_columns([marks, whole])
 
-    out = _with_marks(docs, window, marks)
+    out = _with_marks(docs, window, marks, whole)
     schema = docs.schema
     cut = out.mapInArrow(run, schema)
     return cut.withColumn(length, F.coalesce(F.length("text").cast(schema[length].dataType), length)) if length in docs.columns else cut

@@ -228,3 +228,12 @@ def test_empty_and_repeated(spark, edge):
     loose = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (None, None)], "doc_id long, text string")
     for f in (repetition.repetition_verdicts, near_dedup.near_duplicate_groups, substring_dedup.removal_digests, licenses.scan_licenses, media.text_pictures, lambda d: packing.pack(d, path, 1).filter("start = 0")):
         assert f(loose).count() == 4
+
+
+def test_copies_of_one_id(spark):
+    """Rows that share an id share places; a whole copy is told from another text of its id."""
+    long_ = " ".join(f"a{i}" for i in range(30))
+    other = " ".join(f"b{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, long_), (2, long_), (2, other), (3, other), (3, long_), (4, "  " + long_.replace(" ", "\n")), (5, long_ + " end")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.removal_digests(docs, 20).collect())
+    assert got == [(1, 30, 0), (2, 30, 0), (2, 30, 30), (3, 30, 30), (3, 30, 30), (4, 30, 30), (5, 31, 30)]
