@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,9 +38,14 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def release(self) -> None:
-        """Lets Spark delete the shuffle files of finished steps: it does when the driver's garbage is collected."""
+        """Lets Spark delete the shuffle files of finished steps.
+
+        It does when the driver's garbage is collected; what a first collection finds lets go of what a second one does.
+        """
         gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(3):
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
 
     def drop(self, *tables: str) -> None:
         jvm = self.spark.sparkContext._jvm
