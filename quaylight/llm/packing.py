@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 
 from quaylight.llm.byte_bpe import SPACE
 from quaylight.llm.scratch import Scratch
-from quaylight.llm.words import mix, steps
+from quaylight.llm.words import give_back, mix, steps
 
 #: Dimensions of the projection, and bits of each one's coordinate on the curve.
 DIMENSIONS, BITS = 4, 15
 #: Stretches the middle of the range of mean projections, where nearly all documents lie.
 STRETCH = 6.0
 #: Pieces that a Python worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Bytes of text in a step: the more, the fewer fragments are distinct.
 STEP = 4 << 20
 
@@ -57,6 +57,10 @@ class FragmentTokenizer:
         self.pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+|\n").findall
         self.known: dict[str, bytes] = {"\n": b""}
 
+    def forget(self) -> None:
+        """Drops the remembered pieces, so that a worker doesn't hold them between tasks."""
+        self.known = {"\n": b""}
+
     def _learn(self, pieces: list[str]) -> None:
         """Pieces of the pre-tokenizer: the library's ids of all in one text, cut after each word end."""
         for at in range(0, len(pieces), 8192):
@@ -87,7 +91,7 @@ class FragmentTokenizer:
 
     def _fragments(self, fragments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > REMEMBERED:
-            self.known = {"\n": b""}
+            self.forget()
         joined = pc.binary_join(pa.ListArray.from_arrays([0, len(fragments)], fragments), "\n")[0].as_py() + "\n"
         if not len(fragments) or max(joined) < "\u0100":
             return self._latin(joined if len(fragments) else "")
@@ -187,6 +191,8 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
                 columns = [pa.array(np.arange(uid, uid + len(ends))), part.column("doc_id"), pa.array(keys), pa.array(sizes + 1), bodies.cast(pa.binary())]
                 uid += len(ends)
                 yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "key", "n_tokens", "ids"])
+        tokenizer.forget()
+        give_back()
 
     return docs.mapInArrow(run, "uid long, doc_id long, key long, n_tokens long, ids binary")
 

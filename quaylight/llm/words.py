@@ -5,6 +5,7 @@ A word is a maximal run of ``[^\\x20\\x09-\\x0D]``.  The separators are ASCII, s
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -16,8 +17,11 @@ import pyarrow.compute as pc
 STEP_BYTES = 2 << 20
 #: A word longer than this gets a cryptographic hash: polynomial hashes modulo 2**64 have known collisions there.
 LONG_WORD = 64
+#: Powers that a Python worker keeps; what a longer text needs is made for it alone.
+KEPT_POWERS = STEP_BYTES + (1 << 16)
 
 _U = np.uint64
+_LIBC = ctypes.CDLL(None)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -39,19 +43,21 @@ _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) |
 
 
 class _Powers:
-    """Powers of an odd multiplier and of its inverse modulo 2**64, as far as they were needed."""
+    """Powers of an odd multiplier and of its inverse modulo 2**64; those that a usual step needs are kept."""
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, dtype=_U)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            with np.errstate(over="ignore"):
-                self.up = np.concatenate([[_U(1)], np.cumprod(np.full(size, self.base, dtype=_U), dtype=_U)])
-                self.down = np.concatenate([[_U(1)], np.cumprod(np.full(size, self.inverse, dtype=_U), dtype=_U)])
-        return self.up[:n], self.down[:n]
+        if len(self.up) >= n:
+            return self.up[:n], self.down[:n]
+        size = max(n, 1 << 16)
+        with np.errstate(over="ignore"):
+            up, down = (np.concatenate([[_U(1)], np.cumprod(np.full(size, x, dtype=_U), dtype=_U)]) for x in (self.base, self.inverse))
+        if size <= KEPT_POWERS:
+            self.up, self.down = up, down
+        return up[:n], down[:n]
 
 
 _BYTES = _Powers(0x9E3779B97F4A7C15 | 1)
@@ -75,8 +81,15 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], body
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker outlives its tasks and shares its executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts have ``limit`` bytes at most, or that hold one row."""
+    """Slices of a batch whose texts have ``limit`` bytes at most, or that hold one row; then memory is given back."""
     n = batch.num_rows
     if not n:
         return
@@ -89,6 +102,7 @@ def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES)
         to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+    give_back()
 
 
 class Words:
