@@ -16,7 +16,7 @@ REPEAT_WINDOW = 50
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without text or letters go."""
+    """Documents in a language of the corpus; those without text or letters go, and so do code, noise and other languages."""
     return language.keep_known(docs, language.fit_language(docs))
 
 

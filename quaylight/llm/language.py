@@ -2,7 +2,8 @@
 
 Each language has a codeword.  For each bit of the code a naive Bayes classifier on hashed byte n-grams tells the
 languages with that bit from those without.  The bits' losses, weighted by how well each classifier does on rows it was
-not fitted on, choose the nearest codeword; a small distance to the next one marks an ambiguous text.
+not fitted on, choose the nearest codeword; a small distance to the next one marks an ambiguous text.  Whether a text is in
+that language at all is told by the mean log probability of its n-grams there, held against texts that were left out.
 """
 
 from __future__ import annotations
@@ -30,6 +31,12 @@ BLOCK = 1 << 18
 #: Less than this between the losses of the two nearest codewords marks a text as ambiguous.
 MARGIN = 0.35
 UNDETERMINED = "und"
+#: Share of an n-gram that a language was not seen with.
+UNSEEN = 2e-6
+#: A text is in no language if its evidence lies more than FAR times as deep under its language's median as that of the
+#: lowest tenth of left-out texts; that depth grows by SHORT / sqrt(n) for a text of n n-grams.  Languages with fewer
+#: sampled rows than JUDGED reject nothing.
+FAR, SHORT, JUDGED = 30.0, 8.0, 8
 
 _U = np.uint64
 #: Letters and the bytes of longer code points as they are, all else a space.
@@ -72,6 +79,15 @@ def cells(data: np.ndarray, ends: np.ndarray, order: int, at: int, to: int) -> n
     return found
 
 
+def counted() -> np.ndarray:
+    """Whether a cell is evidence of a language: not if it holds n-grams with two blanks, which all signs turn into."""
+    blank, found = 0x20, np.ones(CELLS + 1, bool)
+    for gram in [(blank,), (blank, blank), *((int(b), blank, blank) for b in np.unique(_PLAIN)), *((blank, blank, int(b)) for b in np.unique(_PLAIN))]:
+        found[cells(np.array(gram, np.uint8), np.array([len(gram)]), len(gram), 0, 1)] = False
+    found[CELLS] = False
+    return found
+
+
 def plain(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets, data = buffers(pc.utf8_lower(texts))
     return offsets, _PLAIN[data]
@@ -100,6 +116,11 @@ class LanguageModel:
     slope: np.ndarray
     intercept: np.ndarray
     trust: np.ndarray
+    #: (languages, CELLS + 1): log probability of each cell, 0 where it is no evidence; the median of each language's texts
+    #: and the depth under it that is still in the language.
+    typical: np.ndarray
+    median: np.ndarray
+    depth: np.ndarray
 
     def logits(self, texts: pa.Array) -> np.ndarray:
         offsets, data = plain(texts)
@@ -117,13 +138,42 @@ class LanguageModel:
             sizes += np.maximum(np.diff(offsets) - order + 1, 0)
         return total / np.maximum(sizes, 1)[:, None] * self.slope + self.intercept
 
+    def above(self, texts: pa.Array, language: np.ndarray) -> np.ndarray:
+        """How far the evidence of each text for the given language is above the least that texts of it have."""
+        offsets, data = plain(texts)
+        is_counted = counted()
+        total, size = np.zeros(len(texts)), np.zeros(len(texts))
+        for order in ORDERS:
+            for at in range(0, len(data), BLOCK):
+                to = min(at + BLOCK, len(data))
+                found = cells(data, offsets[1:], order, at, to)
+                of = np.searchsorted(offsets, np.arange(at, to), "right") - 1
+                total += np.bincount(of, self.typical[language[of], found], minlength=len(texts))
+                size += np.bincount(of, is_counted[found], minlength=len(texts))
+        size = np.maximum(size, 1)
+        return total / size - self.median[language] + self.depth[language] * (1 + SHORT / np.sqrt(size))
+
+    def known(self, texts: pa.Array) -> np.ndarray:
+        """Whether each text is in a language: the nearest one, or the next if the two are close."""
+        best, _, ambiguous = self.decode(texts)
+        known = best >= 0
+        if known.any():
+            known[known] = self.above(texts.filter(pa.array(known)), best[known]) >= 0
+        again = ambiguous & ~known
+        if again.any():
+            some = texts.filter(pa.array(again))
+            known[again] = self.above(some, np.argsort(self.losses(some), axis=1)[:, 1]) >= 0
+        return known
+
+    def losses(self, texts: pa.Array) -> np.ndarray:
+        return np.logaddexp(0, -self.code[None] * self.logits(texts)[:, None, :]) @ self.trust
+
     def decode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the language, or -1; score; whether the two nearest codewords are close) of each text."""
         with_letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False).astype(bool)
         if not self.languages:
             return np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), bool)
-        logits = self.logits(texts)
-        loss = np.logaddexp(0, -self.code[None] * logits[:, None, :]) @ self.trust
+        loss = self.losses(texts)
         part = np.exp(loss.min(1, keepdims=True) - loss)
         best = loss.argmin(1)
         score = part[np.arange(len(best)), best] / part.sum(1)
@@ -144,6 +194,20 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
+def _evidence(x: np.ndarray, sizes: np.ndarray, label: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """typical, median and depth of ``n`` languages; each text is held against the other texts of its language."""
+    own = np.stack([x[label == c].sum(0, dtype=np.float64) for c in range(n)])
+    logs = lambda sums: np.log(sums / max(sums.sum(), 1e-9) + UNSEEN)
+    typical = np.zeros((n, CELLS + 1), np.float32)
+    typical[:, :CELLS] = np.where(counted()[:CELLS], np.stack([logs(r) for r in own]), 0)
+    left_out = np.array([row @ logs(np.maximum(own[c] - row, 0)) for row, c in zip(x, label, strict=True)])
+    judged = np.bincount(label, minlength=n) >= JUDGED
+    median = np.array([np.median(left_out[label == c]) for c in range(n)])
+    under = ((median[label] - left_out) / (1 + SHORT / np.sqrt(np.maximum(sizes, 1))))[judged[label]]
+    depth = FAR * max(float(np.quantile(under, 0.9)), 1e-3) if len(under) else 0.0
+    return typical, median, np.where(judged, depth, np.inf)
+
+
 def fit_language(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:
     """Fits on a sample of about ``sample_rows`` rows of each of the most frequent languages, chosen by a hash of ``key``.
 
@@ -154,7 +218,7 @@ def fit_language(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, text: str
     rows = rows.filter("text is not null and lang is not null")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
-        return LanguageModel((), codewords(0), np.zeros((CELLS + 1, 1), np.float32), np.ones(1), np.zeros(1), np.ones(1))
+        return LanguageModel((), codewords(0), np.zeros((CELLS + 1, 1), np.float32), np.ones(1), np.zeros(1), np.ones(1), np.zeros((0, CELLS + 1), np.float32), np.zeros(0), np.zeros(0))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample_rows / r["count"]))])
     place = F.abs(F.xxhash64(F.coalesce("key", F.lit("")))) % (1 << 30) / float(1 << 30)
     chosen = rows.filter(place < F.try_element_at(share, "lang"))
@@ -175,11 +239,14 @@ def fit_language(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, text: str
     for i, (some, often) in enumerate(zip(sample.column("cells"), sample.column("counts"), strict=True)):
         x[i, np.frombuffer(some.as_buffer(), "<u2")] = np.frombuffer(often.as_buffer(), "<u4")
     x, label = x[order], label[order]
+    evident = x * counted()[:CELLS]
+    sizes = evident.sum(1)
+    evident /= np.maximum(sizes, 1)[:, None]
     x /= np.maximum(x.sum(1, keepdims=True), 1)
     own = np.stack([x[label == c].sum(0) for c in range(len(languages))])
     held = np.arange(len(label)) % 4 == 0 if len(label) >= 40 else np.zeros(len(label), bool)
     fitted = np.stack([x[(label == c) & ~held].sum(0) if ((label == c) & ~held).any() else own[c] for c in range(len(languages))])
-    share_ = fitted / np.maximum(fitted.sum(1, keepdims=True), 1e-9) + 2e-6
+    share_ = fitted / np.maximum(fitted.sum(1, keepdims=True), 1e-9) + UNSEEN
     bits = code.shape[1]
     weights = np.zeros((CELLS + 1, bits), np.float32)
     slope, intercept, trust = np.ones(bits), np.zeros(bits), np.ones(bits)
@@ -193,7 +260,7 @@ def fit_language(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, text: str
         judged = held if held.any() else ~held
         wrong = ((z * slope[b] + intercept[b] > 0) != (y > 0))[judged].mean()
         trust[b] = max(0.05, 1 - 2 * wrong)
-    return LanguageModel(languages, code, weights, slope, intercept, trust / trust.mean())
+    return LanguageModel(languages, code, weights, slope, intercept, trust / trust.mean(), *_evidence(evident, sizes, label, len(languages)))
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,12 +279,13 @@ def predict_language(docs: DataFrame, model: LanguageModel, key: str = "doc_id",
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, least: float = 0.0, text: str = "text") -> DataFrame:
-    """The rows whose text has a language, by a score of ``least`` or more, with all columns as they are."""
+    """The rows whose text is in a language of the model, by a score of ``least`` or more, with all columns as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, text):
-                best, score, _ = model.decode(part.column(text))
-                yield part.filter(pa.array((best >= 0) & (score >= least)))
+                texts = part.column(text)
+                known = model.known(texts)
+                yield part.filter(pa.array(known & (model.decode(texts)[1] >= least) if least > 0 else known))
 
     return docs.mapInArrow(run, docs.schema)
