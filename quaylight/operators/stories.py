@@ -16,8 +16,8 @@ SHARES = {"title": 0.65, "entity": 0.20, "market": 0.10, "time": 0.05}
 DENIALS = ("denies report", "denied report", "report is false", "not true")
 FILING_WORDS = ("filing", "sec", "regulator", "antitrust", "lawsuit", "investigation")
 MACRO_WORDS = ("fed", "ecb", "boj", "boe", "central", "bank", "inflation", "gdp", "payrolls", "rates")
-#: Items that one call may compare with all others: they are sent to every task.
-MAX_ASKED = 100_000
+#: Parts that the items of one time bucket and token are dealt into; the asked items go to each part.
+SALTS = 4
 
 
 def pair_score(title: Column, entity: Column, market: Column, seconds_apart: Column, window_seconds: float) -> Column:
@@ -29,14 +29,16 @@ def pair_score(title: Column, entity: Column, market: Column, seconds_apart: Col
 def score_against(asked: DataFrame, items: DataFrame, window_seconds: float, least: float) -> DataFrame:
     """``a, b, score`` of each asked item with the earlier items inside the window that reach ``least``.
 
-    Both have ``id, at`` (seconds), ``tokens, entities, markets``.  ``asked`` is a stated set of bounded size; items are
-    filtered by time before anything is compared, and only pairs that share a token are.
+    Both have ``id, at`` (seconds), ``tokens, entities, markets``.  Only pairs that share a token are compared: both sides
+    meet by time bucket and token, and a pair of several shared tokens at the least of them, so neither side is broadcast.
     """
-    if asked.count() > MAX_ASKED:
-        raise ValueError(f"more than {MAX_ASKED} items: ask in several calls")
     a, b = (x.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "at", "tokens", "entities", "markets")]) for p, x in (("a", asked), ("b", items)))
+    bucket = lambda at: F.floor(at / window_seconds)
+    a = a.withColumn("__bucket", F.explode(F.sequence(bucket(F.col("a_at") - window_seconds), bucket(F.col("a_at")))))
+    a = a.withColumn("__token", F.explode(F.array_distinct("a_tokens"))).withColumn("__salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    b = b.withColumns({"__bucket": bucket(F.col("b_at")), "__salt": F.pmod(F.hash("b_id"), F.lit(SALTS))}).withColumn("__token", F.explode(F.array_distinct("b_tokens")))
     near = (F.col("b_at") <= F.col("a_at")) & (F.col("a_at") - F.col("b_at") <= window_seconds) & (F.col("a_id") != F.col("b_id"))
-    both = b.join(F.broadcast(a), near & F.arrays_overlap("a_tokens", "b_tokens"))
+    both = b.join(a, ["__bucket", "__token", "__salt"]).filter(near & (F.col("__token") == F.array_min(F.array_intersect("a_tokens", "b_tokens"))))
     score = pair_score(jaccard(F.col("a_tokens"), F.col("b_tokens")), jaccard(F.col("a_entities"), F.col("b_entities")), jaccard(F.col("a_markets"), F.col("b_markets")), F.col("a_at") - F.col("b_at"), window_seconds)
     return both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), score.alias("score")).filter(F.col("score") >= least)
 
