@@ -41,6 +41,7 @@ class FragmentTokenizer:
     across white space, and end each such piece with a token that ends in its word-end mark.  Texts are cut at blanks and
     line feeds, each distinct fragment of a step is looked up once, and fragments of Latin-1 characters, which no
     normalisation joins, are cut into the pre-tokenizer's pieces.  What is new goes to the library; pieces are remembered.
+    The file's added tokens, where a text spells them, are tokens of their own, as the library has it by default.
     """
 
     def __init__(self, path: str):
@@ -48,7 +49,10 @@ class FragmentTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added):
+            raise ValueError("an added token that isn't matched as it is spelt")
+        self.added = {t.content for t in added}
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kind = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
         mark = self.tokenizer.model.end_of_word_suffix or "</w>"
@@ -93,10 +97,10 @@ class FragmentTokenizer:
         if len(self.known) > REMEMBERED:
             self.forget()
         joined = pc.binary_join(pa.ListArray.from_arrays([0, len(fragments)], fragments), "\n")[0].as_py() + "\n"
-        if not len(fragments) or max(joined) < "\u0100":
+        if not len(fragments) or (max(joined) < "\u0100" and not any(t in joined for t in self.added)):
             return self._latin(joined if len(fragments) else "")
         split = fragments.to_pylist()
-        latin = np.array([not f or max(f) < "\u0100" for f in split])
+        latin = np.array([not f or (max(f) < "\u0100" and f not in self.added) for f in split])
         ids, sizes = self._latin("".join(f"{f}\n" for f, x in zip(split, latin, strict=True) if x))
         more_ids, more_sizes = self._others([f for f, x in zip(split, latin, strict=True) if not x])
         ids, sizes = np.concatenate([ids, more_ids]), np.concatenate([sizes, more_sizes])
@@ -105,7 +109,10 @@ class FragmentTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has); a null text has none."""
-        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        apart = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        for token in self.added:
+            apart = pc.replace_substring(apart, token, f" {token} ")
+        split = pc.split_pattern(apart, " ")
         found = split.flatten().dictionary_encode()
         flat, sizes = self._fragments(found.dictionary)
         which = found.indices.to_numpy()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -124,7 +125,6 @@ def test_packing(which, request):
     docs = request.getfixturevalue(which)
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     pieces = packing.pack(docs, path, end_id=1).collect()
     of, placed = {}, {}
     for r in pieces:
@@ -149,6 +149,23 @@ def test_packing(which, request):
     assert {r["n_tokens"] for r in packing.sequences(packing.pack(docs, path, end_id=1)).collect()} <= {1 << k for k in range(12)}
 
 
+def test_added_tokens(spark):
+    """Strings of added tokens inside words, next to each other, cut short, in capitals and beside signs that normalise."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rng = np.random.default_rng(11)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<|", "|>", "word", "don't", "'s", "é", "e\u0301", "\u0301", "ﬁ", " ", "\n", "7", "漢字", "<", ">", "|", "\u3000"]
+    texts_ = ["".join(bits[k] for k in rng.integers(0, len(bits), int(rng.integers(1, 12)))) for _ in range(3000)]
+    tokenizer = packing.FragmentTokenizer(path)
+    ids, sizes = tokenizer.encode(pa.array(texts_))
+    want = [e.ids for e in library.encode_batch(texts_, add_special_tokens=False)]
+    assert sizes.tolist() == [len(x) for x in want]
+    assert ids.tolist() == [i for x in want for i in x]
+    assert {49406, 49407} <= set(ids.tolist())
+
+
 def test_hilbert_neighbours():
     side = np.arange(8)
     points = np.stack(np.meshgrid(side, side, side), -1).reshape(-1, 3)
