@@ -24,8 +24,8 @@ ORDERS = (1, 2, 3)
 CELLS = 1 << 13
 #: Rows that are fitted on, of each language, on average; the sample is chosen by a hash of the document's id.
 SAMPLE_ROWS = 800
-#: The most frequent languages that get a codeword.
-MAX_LANGUAGES = 64
+#: Rows of all languages together: many languages share them, each with LEAST_ROWS or more.
+SAMPLE_TOTAL, LEAST_ROWS = 16_000, 20
 #: Positions of a text that one numpy step holds.
 BLOCK = 1 << 18
 #: Less than this between the losses of the two nearest codewords marks a text as ambiguous.
@@ -194,13 +194,45 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
-def _evidence(x: np.ndarray, sizes: np.ndarray, label: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """typical, median and depth of ``n`` languages; each text is held against the other texts of its language."""
-    own = np.stack([x[label == c].sum(0, dtype=np.float64) for c in range(n)])
-    logs = lambda sums: np.log(sums / max(sums.sum(), 1e-9) + UNSEEN)
+class _Sample:
+    """Sparse n-gram shares of the sampled texts: text, cell and value of each, and the texts' labels."""
+
+    def __init__(self, table: pa.Table, languages: tuple[str, ...]):
+        numbers = {x: k for k, x in enumerate(languages)}
+        label = [numbers[x] for x in table.column("lang").to_pylist()]
+        some, often = table.column("cells").to_pylist(), table.column("counts").to_pylist()
+        # the order in which tasks end must not change sums
+        order = sorted(range(len(label)), key=lambda i: (some[i], label[i], often[i]))
+        self.n, self.label = len(languages), np.array([label[i] for i in order], np.int64)
+        self.cell = np.frombuffer(b"".join(some[i] for i in order), "<u2").astype(np.int64)
+        self.count = np.frombuffer(b"".join(often[i] for i in order), "<u4").astype(np.float64)
+        self.row = np.repeat(np.arange(len(order)), [len(some[i]) // 2 for i in order])
+
+    def per_row(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, values, minlength=len(self.label))
+
+    def shares(self, values: np.ndarray) -> np.ndarray:
+        return values / np.maximum(self.per_row(values), 1)[self.row]
+
+    def per_language(self, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """(languages, CELLS) sums over the texts that ``rows`` marks."""
+        on = rows[self.row]
+        at = self.label[self.row[on]] * CELLS + self.cell[on]
+        return np.bincount(at, values[on], minlength=self.n * CELLS).reshape(self.n, CELLS)
+
+
+def _evidence(sample: _Sample) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """typical, median and depth of each language; each text is held against the other texts of its language."""
+    is_counted, label, n = counted()[:CELLS], sample.label, sample.n
+    evident = sample.count * is_counted[sample.cell]
+    sizes, x = sample.per_row(evident), sample.shares(evident)
+    own = sample.per_language(x, np.ones(len(label), bool))
+    totals, rests = own.sum(1), sample.per_row(x)
     typical = np.zeros((n, CELLS + 1), np.float32)
-    typical[:, :CELLS] = np.where(counted()[:CELLS], np.stack([logs(r) for r in own]), 0)
-    left_out = np.array([row @ logs(np.maximum(own[c] - row, 0)) for row, c in zip(x, label, strict=True)])
+    typical[:, :CELLS] = np.where(is_counted, np.log(own / np.maximum(totals, 1e-9)[:, None] + UNSEEN), 0)
+    of = label[sample.row]
+    others = np.maximum(own[of, sample.cell] - x, 0) / np.maximum(totals[of] - rests[sample.row], 1e-9)
+    left_out = sample.per_row(x * np.log(others + UNSEEN))
     judged = np.bincount(label, minlength=n) >= JUDGED
     median = np.array([np.median(left_out[label == c]) for c in range(n)])
     under = ((median[label] - left_out) / (1 + SHORT / np.sqrt(np.maximum(sizes, 1))))[judged[label]]
@@ -208,20 +240,23 @@ def _evidence(x: np.ndarray, sizes: np.ndarray, label: np.ndarray, n: int) -> tu
     return typical, median, np.where(judged, depth, np.inf)
 
 
-def fit_language(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:
-    """Fits on a sample of about ``sample_rows`` rows of each of the most frequent languages, chosen by a hash of ``key``.
+def fit_language(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_total: int = SAMPLE_TOTAL, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:
+    """Fits on a sample of about ``sample_rows`` rows of each language, fewer where all would be over ``sample_total``.
 
-    Rows without text or language are left out; without any labelled row, all texts are undetermined.  Only sparse
-    n-gram counts of the sample reach the driver.
+    The sample is chosen by a hash of ``key``; each language that it holds has a codeword.  Rows without text or language
+    are left out; without any labelled row, all texts are undetermined.  Only sparse n-gram counts of the sample reach the
+    driver.
     """
     rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).cast("string").alias("key"))
     rows = rows.filter("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return LanguageModel((), codewords(0), np.zeros((CELLS + 1, 1), np.float32), np.ones(1), np.zeros(1), np.ones(1), np.zeros((0, CELLS + 1), np.float32), np.zeros(0), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample_rows / r["count"]))])
+    each = min(sample_rows, max(LEAST_ROWS, sample_total // len(counts)))
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, share double")
     place = F.abs(F.xxhash64(F.coalesce("key", F.lit("")))) % (1 << 30) / float(1 << 30)
-    chosen = rows.filter(place < F.try_element_at(share, "lang"))
+    # one row for each language
+    chosen = rows.join(F.broadcast(shares), "lang").filter(place < F.col("share")).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,23 +264,14 @@ def fit_language(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, text: str
                 some, often = zip(*_counts(part.column("text")), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([x.astype("<u2").tobytes() for x in some], pa.binary()), pa.array([x.astype("<u4").tobytes() for x in often], pa.binary())], names=["lang", "cells", "counts"])
 
-    sample = chosen.mapInArrow(run, "lang string, cells binary, counts binary").toArrow()
-    languages = tuple(sorted(set(sample.column("lang").to_pylist())))
-    code = codewords(len(languages))
-    label = np.array([languages.index(x) for x in sample.column("lang").to_pylist()])
-    ids = sample.column("cells").to_pylist()
-    order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], label[i])))
-    x = np.zeros((len(label), CELLS), np.float32)
-    for i, (some, often) in enumerate(zip(sample.column("cells"), sample.column("counts"), strict=True)):
-        x[i, np.frombuffer(some.as_buffer(), "<u2")] = np.frombuffer(often.as_buffer(), "<u4")
-    x, label = x[order], label[order]
-    evident = x * counted()[:CELLS]
-    sizes = evident.sum(1)
-    evident /= np.maximum(sizes, 1)[:, None]
-    x /= np.maximum(x.sum(1, keepdims=True), 1)
-    own = np.stack([x[label == c].sum(0) for c in range(len(languages))])
+    table = chosen.mapInArrow(run, "lang string, cells binary, counts binary").toArrow()
+    languages = tuple(sorted(set(table.column("lang").to_pylist())))
+    sample, code = _Sample(table, languages), codewords(len(languages))
+    label, x = sample.label, sample.shares(sample.count)
     held = np.arange(len(label)) % 4 == 0 if len(label) >= 40 else np.zeros(len(label), bool)
-    fitted = np.stack([x[(label == c) & ~held].sum(0) if ((label == c) & ~held).any() else own[c] for c in range(len(languages))])
+    own, fitted = sample.per_language(x, np.ones(len(label), bool)), sample.per_language(x, ~held)
+    alone = np.bincount(label[~held], minlength=len(languages)) == 0
+    fitted[alone] = own[alone]
     share_ = fitted / np.maximum(fitted.sum(1, keepdims=True), 1e-9) + UNSEEN
     bits = code.shape[1]
     weights = np.zeros((CELLS + 1, bits), np.float32)
@@ -255,12 +281,12 @@ def fit_language(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, text: str
         if not len(up) or not len(down):
             continue
         weights[:CELLS, b] = np.log(up.mean(0)) - np.log(down.mean(0))
-        z, y = (x @ weights[:CELLS, b]).astype(np.float64), (code[label, b] == 1).astype(float)
+        z, y = sample.per_row(x * weights[sample.cell, b]), (code[label, b] == 1).astype(float)
         slope[b], intercept[b] = _calibrate(z, y)
         judged = held if held.any() else ~held
         wrong = ((z * slope[b] + intercept[b] > 0) != (y > 0))[judged].mean()
         trust[b] = max(0.05, 1 - 2 * wrong)
-    return LanguageModel(languages, code, weights, slope, intercept, trust / trust.mean(), *_evidence(evident, sizes, label, len(languages)))
+    return LanguageModel(languages, code, weights, slope, intercept, trust / trust.mean(), *_evidence(sample))
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:

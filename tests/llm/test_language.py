@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
+from quaylight.llm import language
 
 SF = "/root/testdata/sf0.001"
 OTHERS = (
@@ -26,3 +29,25 @@ def test_language_stage_drops_planted_texts(spark):
     kept = {x["doc_id"] for x in corpus_pipeline.language_stage(spark, docs.unionByName(planted.select(*docs.columns)), SF).collect()}
     assert {clean[d] for d in kept if d >= 0} == {"de", "en", "es", "fr"}
     assert kept == set(clean)
+
+
+def test_many_languages(spark):
+    """More languages than a small table has: each gets a codeword and is found again, also in rows not fitted on."""
+    r = random.Random(8)
+    made = {f"l{k:02d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 6))) for _ in range(40)] for k in range(90)}
+    rows = [(90 * i + k, " ".join(r.choice(words) for _ in range(60)), name) for k, (name, words) in enumerate(made.items()) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_language(docs.filter(f"doc_id < {90 * 25}"))
+    assert len(model.languages) == 90 and len({tuple(x) for x in model.code}) == 90
+    got = language.predict_language(docs.filter(f"doc_id >= {90 * 25}"), model).join(docs, "doc_id").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0]
+    assert got > 0.95
+
+
+def test_edges(spark):
+    rows = [(1, None, "en"), (1, "", None), (2, "same words here", "en"), (2, "same words here", "en"), (3, "12 -- 3", "de"), (None, "ein langer Text " * 9000, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in ("key", "share", "lang_pred", "score", "count")})
+    model = language.fit_language(docs)
+    got = sorted((x["doc_id"] or 0, x["lang_pred"]) for x in language.predict_language(docs, model).collect())
+    assert got == [(0, "de"), (1, "und"), (1, "und"), (2, "en"), (2, "en"), (3, "und")]
+    assert language.keep_known(docs, model).columns == docs.columns
+    assert language.predict_language(docs.limit(0), model).count() == 0 and language.keep_known(docs.limit(0), model).count() == 0
