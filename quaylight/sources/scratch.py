@@ -11,9 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder, once per session, only where it is unset."""
+    """A folder of this application in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a temporary folder, once; on a cluster, whose machines don't share one, it is
+    an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='quaylight-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/quaylight/{spark.sparkContext.applicationId}"
