@@ -1,32 +1,36 @@
-"""Near-duplicate groups by SuperMinHash, banding, exact verification and component labels.
+"""Near-duplicate groups by SuperMinHash, banding, exact verification and a distributed union-find.
 
 Equal shingle sets are one class.  The classes' SuperMinHash signatures are banded; documents that share a band's bucket
 are compared with the bucket's pivot, the member that meets most others.  What remains are links between two members of
 a bucket that the pivot doesn't show.  They are found without comparing all members with each other: for a pivot ``p``
 the sets ``u`` and ``v`` differ as much as their differences from it, ``|u ^ v| = |(u ^ p) ^ (v ^ p)|``, so two linked
 sets of which one isn't linked with the pivot must share over about half of the smaller difference, and hence one of its
-rarest elements.  Members too far from the pivot for this get a pivot of their own in a next round, as long as rounds
-halve what is left; then few are near each other, and all pairs that share one of their rarest elements are compared.
+rarest elements.  Only members in two components are compared: the links with the pivots join most of a large group, the
+links with one member for each of those elements most of the rest.  Members too far from the pivot for this get a pivot of
+their own in a next round, as long as rounds halve what is left; then few are near each other, and all pairs that share
+one of their rarest elements are compared.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaylight.llm.scratch import Scratch
+from quaylight.llm.spread import by_lots, unused
 from quaylight.llm.words import Words, distinct_shingles, mix, steps
+from quaylight.sources.scratch import Scratch
 
 #: Rows of a band, and the chance that a pair at the threshold shares no band.
 BAND_ROWS, MISS = 5, 1e-7
 #: Bytes of text in a step: each element of a small set has a row of slots.
 STEP = 1 << 20
-#: Members of a pivot that one join task gets, about.
+#: Members of a pivot, or of an element, that one join task gets, about.
 SALT_ROWS = 2000
 #: A member is far from its pivot from this Jaccard distance on.
 FAR = 0.5
@@ -122,89 +126,172 @@ def shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, s array<long>")
 
 
+def _with_set(pairs: DataFrame, sets: DataFrame, key: str, by: str, name: str) -> DataFrame:
+    """``pairs`` with the set of ``key`` as ``name``.  A frequent ``key`` is split by ``by``, each part with a copy of its set."""
+    often = pairs.groupBy(key).agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
+    salted = by_lots(pairs, often.filter("salts > 1"), [key], by, "left").withColumn("salt", F.pmod(F.xxhash64(F.lit(1), by), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    copies = sets.join(often, F.col("doc_id") == F.col(key)).select(key, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("s").alias(name))
+    return salted.join(copies, [key, "salt"]).drop("salt")
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
-    """``pairs`` with ``sa`` and ``sb``.  A frequent ``a`` is split over several tasks, each with a copy of its set."""
-    often = pairs.groupBy(a).agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    salted = pairs.join(often, a).withColumn("salt", F.pmod(F.xxhash64(b), F.col("salts")).cast("int")).drop("salts")
-    left = sets.join(often, F.col("doc_id") == F.col(a)).select(F.col(a), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("s").alias("sa"))
-    right = sets.select(F.col("doc_id").alias(b), F.col("s").alias("sb"))
-    return salted.join(right, b).join(left, [a, "salt"]).drop("salt")
+    return _with_set(_with_set(pairs, sets, b, a, "sb"), sets, a, b, "sa")
 
 
 def _linked(percent: int) -> Column:
     return 100 * F.col("inter") >= percent * (F.col("na") + F.col("nb") - F.col("inter"))
 
 
-def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", name: str = "labels") -> DataFrame:
     """``node, component``: for each node of a link the least node that it reaches.
 
-    Labels move along links and then jump to their own label's label until none changes; the rounds grow with the
-    logarithm of the longest chain of jumps.
+    A union-find forest in rounds: each node knows a parent that is no larger.  Over each link the other end's
+    grandparent, if smaller, becomes the parent of the node and of its present parent, so that roots hook onto roots, and
+    every node moves up to its grandparent.  A forest that stays as it was has one root for each component.
     """
     both = links.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(links.select(F.col(b).alias("node"), F.col(a).alias("other")))
-    both = scratch.put("links", both.distinct())
-    labels = scratch.put("labels0", both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")))
+    both = scratch.put(f"{name}_links", both.distinct())
+    forest = scratch.put(f"{name}0", both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("parent")))
     step = 0
     while True:
         step += 1
-        near = both.join(labels.withColumnsRenamed({"node": "other", "component": "theirs"}), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        moved = scratch.put(f"moved{step}", labels.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "theirs").alias("component")))
-        jumps = moved.select(F.col("node").alias("component"), F.col("component").alias("then"))
-        after = moved.join(jumps, "component", "left").select("node", "before", F.least("component", "then").alias("component"))
-        after = scratch.put(f"labels{step}", after)
-        scratch.drop(f"moved{step}", f"labels{step - 1}")
-        labels = after.select("node", "component")
-        if after.filter("component <> before").isEmpty():
-            return labels
-
-
-def _delta_candidates(deltas: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: pairs of members of a pivot that may be linked, at least one of which isn't linked with the pivot.
-
-    ``deltas``: ``pivot, member, n, np, linked, delta`` with the symmetric difference from the pivot's set.  With
-    ``c = (1 - t) / (1 + t)``, linked sets differ in ``c (|u| + |v|)`` elements at most, and ``u`` is not linked with the
-    pivot if their difference ``du`` has more than ``c (|u| + |p|)``.  Then ``du`` and ``dv`` share more than
-    ``(|dv| + c (|p| - |v|)) / 2`` elements, so one of the rarest ``|dv|`` less that many of ``dv`` must be in ``du``.
+        up = scratch.put(f"{name}_up{step}", forest.join(forest.select(F.col("node").alias("parent"), F.col("parent").alias("above")), "parent").select("node", "parent", "above"))
+        near = both.join(up.select(F.col("node").alias("other"), F.col("above").alias("least")), "other").groupBy("node").agg(F.min("least").alias("least"))
+        reached = up.join(near, "node").select("node", "parent", F.least("above", "least").alias("least"))
+        hooks = reached.select(F.explode(F.array("node", "parent")).alias("node"), "least").groupBy("node").agg(F.min("least").alias("parent"))
+        after = scratch.put(f"{name}{step}", hooks)
+        still = up.join(after.withColumnRenamed("parent", "then"), "node").filter("parent <> then or parent <> above").isEmpty()
+        scratch.drop(f"{name}{step - 1}", f"{name}_up{step}")
+        forest = after
+        if still:
+            scratch.drop(f"{name}_links")
+            return forest.select("node", F.col("parent").alias("component"))
+
+
+def _with_components(rows: DataFrame, labels: DataFrame, node: str, to: str) -> DataFrame:
+    """``rows`` with the component of ``node`` as ``to``; a node without links is one of its own."""
+    named = labels.select(F.col("node").alias(node), F.col("component").alias("found"))
+    return rows.join(named, node, "left").withColumn(to, F.coalesce("found", node)).drop("found")
+
+
+def _shared_bound(percent: int, na: str, nb: str, da: str, db: str) -> str:
+    """SQL: two sets that differ from a third one by ``da`` and ``db`` elements may be linked, by what their differences can share.
+
+    The first element that they share in a common order is the ``pa``-th of one and the ``pb``-th of the other.
+    """
+    return f"{2 * (100 + percent)} * (1 + least({da} - pa, {db} - pb)) >= {100 + percent} * ({da} + {db}) - {100 - percent} * ({na} + {nb})"
+
+
+def _salted_pairs(one: DataFrame, two: DataFrame, on: list[str], condition: str) -> DataFrame:
+    """``a, b, ca, cb``: distinct pairs of rows with equal keys that fit, and their components.
+
+    A key of ``df`` rows is split: ``one`` by salts, ``two`` by copies.
     """
-    busy = deltas.groupBy("pivot").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("apart")).filter("members > 1 and apart > 0")
-    some = deltas.join(busy.select("pivot"), "pivot", "left_semi")
-    flat = some.select("pivot", "member", "n", "np", "linked", F.size("delta").alias("nd"), F.explode("delta").alias("e"))
-    often = flat.groupBy("pivot", "e").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = flat.join(often, ["pivot", "e"], "left").groupBy("pivot", "member", "n", "np", "linked", "nd")
-    ranked = ranked.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "e"))).alias("es"))
-    prefix = F.expr(f"cast(greatest(1, nd - (nd * {100 + percent} + {100 - percent} * (np - n)) div {2 * (100 + percent)}) as int)")
-    rare = ranked.select("pivot", F.col("member").alias("b"), F.col("nd").alias("nb"), F.col("linked").alias("close"), F.explode(F.slice("es", F.lit(1), prefix)).alias("x"))
-    rare = rare.filter("x.df > 1").select("pivot", "b", "nb", "close", F.col("x.e").alias("e"))
-    apart = flat.filter(~F.col("linked")).select("pivot", "e", F.col("member").alias("a"), F.col("nd").alias("na"))
-    # of two that aren't linked with the pivot, the rarest elements of the smaller difference are enough
-    found = rare.join(apart, ["pivot", "e"]).filter("a <> b and (close or nb < na or (nb = na and b > a))")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    parts = F.ceil(F.col("df") / SALT_ROWS).cast("int")
+    left = one.withColumn("salt", F.pmod(F.xxhash64("a"), parts).cast("int")).drop("df")
+    right = two.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("df")
+    return left.join(right, [*on, "salt"]).filter(f"ca <> cb and {condition}").select("a", "b", "ca", "cb").distinct()
+
+
+def _side(elements: DataFrame, on: list[str], name: str, *more: str) -> DataFrame:
+    """Elements as one side of a pair: the columns of ``name`` and those of the key."""
+    of = {"member": name, "component": f"c{name}", "n": f"n{name}", "nd": f"d{name}", "place": f"p{name}", "apart": f"apart_{name}"}
+    return elements.select(*on, "df", *[F.col(x).alias(y) for x, y in of.items()], *more)
+
+
+def _mixed(elements: DataFrame, on: list[str]) -> DataFrame:
+    """The elements whose members are in several components, with how many members have them."""
+    often = elements.groupBy(*on).agg(F.count("*").alias("df"), (F.min("component") != F.max("component")).alias("mixed")).filter("df > 1")
+    return elements.join(often, on)
+
+
+def _in_order(elements: DataFrame, by: list[str], size: str) -> DataFrame:
+    """Each row's ``place`` in its set of ``size`` elements, from the rarest on; what no other member has comes first."""
+    sets = elements.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("df", "e", "mixed"))).alias("es"))
+    placed = sets.select(*by, (F.col(size) - F.size("es") + 1).alias("alone"), F.posexplode("es").alias("i", "x"))
+    return placed.filter("x.mixed").select(*by, (F.col("alone") + F.col("i")).alias("place"), F.col("x.e").alias("e"), F.col("x.df").alias("df"))
+
+
+def _delta_elements(deltas: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """Elements that several members of a pivot differ by, where some member is not in the pivot's component.
+
+    ``deltas``: ``round, pivot, member, n, np, linked, delta`` with the symmetric difference from the pivot's set.  A
+    result row is an element of a member's difference.  Elements whose members are all in one component are left out.
+    """
+    by = ["round", "pivot"]
+    loose = _with_components(deltas.filter("not linked").select(*by).distinct(), labels, "pivot", "home")
+    some = _with_components(by_lots(deltas, loose, by, "member"), labels, "member", "component")
+    some = scratch.put("loose", some.withColumn("apart", F.col("component") != F.col("home")).drop("linked"))
+    busy = some.filter("apart").select(*by).distinct()
+    flat = by_lots(some, busy, by, "member").select(*by, "member", "n", "np", "home", "component", "apart", F.size("delta").alias("nd"), F.explode("delta").alias("e"))
+    flat = scratch.put("elements", flat)
+    return _in_order(_mixed(flat, [*by, "e"]), [*by, "member", "n", "np", "home", "component", "apart", "nd"], "nd")
+
+
+def _merged(elements: DataFrame, merged: DataFrame) -> DataFrame:
+    """Elements by the components that links between components have made; those of one component only are left out."""
+    for name in ("home", "component"):
+        elements = _with_components(elements.withColumnRenamed(name, "node"), merged, "node", name).drop("node")
+    elements = elements.withColumn("apart", F.col("component") != F.col("home"))
+    return _mixed(elements.drop("df"), ["round", "pivot", "e"]).filter("mixed").drop("mixed")
+
+
+def _delta_candidates(elements: DataFrame, percent: int) -> DataFrame:
+    """``a, b, ca, cb``: pairs of a pivot's members in two components that may be linked.
+
+    One of the two, ``a``, is not in the pivot's component and so not linked with it.  With ``c = (1 - t) / (1 + t)``,
+    linked sets differ in ``c (|a| + |b|)`` elements at most, and ``a`` differs from the pivot ``p`` by ``da``, more than
+    ``c (|a| + |p|)`` elements.  Then ``da`` and ``db`` share more than ``(|db| + c (|p| - |b|)) / 2`` elements, so one of
+    the rarest ``|db|`` less that many of ``db`` must be in ``da``; and from their first common element on, both must have
+    enough left.
+    """
+    on = ["round", "pivot", "e"]
+    prefix = f"greatest(1, nd - (nd * {100 + percent} + {100 - percent} * (np - n)) div {2 * (100 + percent)})"
+    rare, apart = _side(elements.filter(f"place <= {prefix}"), on, "b"), _side(elements.filter("apart"), on, "a")
+    # of two that aren't in the pivot's component, the rarest elements of the smaller difference are enough
+    return _salted_pairs(apart, rare, on, f"(not apart_b or db < da or (db = da and b > a)) and {_shared_bound(percent, 'na', 'nb', 'da', 'db')}")
+
+
+def _hub_candidates(elements: DataFrame, percent: int) -> DataFrame:
+    """``a, b, ca, cb``: of each element's members one, apart from the pivot's component, with each that may be linked with it.
+
+    No more pairs than elements, though they show most links between members that no pivot shows.
+    """
+    on = ["round", "pivot", "e"]
+    hub = elements.filter("apart").groupBy(*on, "df").agg(F.min_by(F.struct("member", "component", "n", "nd", "place", "apart"), F.xxhash64("member")).alias("hub")).select(*on, "df", "hub.*")
+    return _salted_pairs(_side(elements, on, "a"), _side(hub, on, "b"), on, _shared_bound(percent, "na", "nb", "da", "db"))
 
 
 def _prefix_candidates(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: all pairs of members that may be linked: their sets share one of their rarest elements.
+    """``a, b, ca, cb``: all pairs of members in two components that may be linked: they share one of their rarest elements.
 
-    Linked sets share ``percent`` per cent of each, so of elements ordered from the rarest on, one of the first
-    ``n - ceil(n * percent / 100) + 1`` of either is among those of the other.
+    ``members``: ``doc_id, component``.  Linked sets share ``percent`` per cent of each, so of elements ordered from the
+    rarest on, one of the first ``n - ceil(n * percent / 100) + 1`` of either is among those of the other, and from the
+    first common one on both must have enough left.
+    """
+    flat = sets.join(members, "doc_id").select(F.col("doc_id").alias("member"), "component", F.lit(True).alias("apart"), F.size("s").alias("n"), F.size("s").alias("nd"), F.explode("s").alias("e"))
+    placed = _in_order(_mixed(flat, ["e"]), ["member", "component", "apart", "n", "nd"], "n")
+    rare = placed.filter(f"place <= n - ({percent} * n + 99) div 100 + 1")
+    lengths = f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na"
+    return _salted_pairs(_side(rare, ["e"], "a"), _side(rare, ["e"], "b"), ["e"], f"a < b and {lengths} and {_shared_bound(percent, 'na', 'nb', 'na', 'nb')}")
+
+
+def linked_members(buckets: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """``node, component`` of all linked members of the buckets.  ``buckets``: ``bucket, member``, two or more each.
+
+    First each bucket's members are held against its pivot.  The links found make components, and only pairs of members
+    in two components are looked for afterwards: by hubs, then all that are left.
     """
-    flat = sets.join(members.select(F.col("member").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.size("s").alias("n"), F.explode("s").alias("e"))
-    often = flat.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = flat.join(often, "e", "left").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "e"))).alias("es"))
-    rare = ranked.select("doc_id", "n", F.explode(F.expr(f"slice(es, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))")).alias("x")).filter("x.df > 1")
-    one = rare.select(F.col("x.e").alias("e"), F.col("doc_id").alias("a"), F.col("n").alias("na"))
-    two = rare.select(F.col("x.e").alias("e"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    fits = one.join(two, "e").filter(F.col("a") < F.col("b")).filter(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na")
-    return fits.select("a", "b").distinct()
-
-
-def find_links(buckets: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """``a, b``: links that connect all linked members of each bucket.  ``buckets``: ``bucket, member``, two or more each."""
-    links: DataFrame | None = None
     rounds, apart = 0, 1 - percent / 100
+    stars: list[DataFrame] = []
+    all_deltas: list[DataFrame] = []
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
-        checked = _with_sets(pairs, sets, "a", "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("inter"))
-        return scratch.put(name, checked.filter(_linked(percent)).select("a", "b"))
+        pairs = scratch.put(f"{name}_pairs", pairs)
+        checked = _with_sets(pairs, sets, "a", "b").select("ca", "cb", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("inter"))
+        found = scratch.put(name, checked.filter(_linked(percent)).select("ca", "cb").distinct())
+        scratch.drop(f"{name}_pairs")
+        return found
 
     while True:
         rounds += 1
@@ -216,23 +303,33 @@ def find_links(buckets: DataFrame, sets: DataFrame, percent: int, scratch: Scrat
         found = found.withColumns({"nb": F.size("sb"), "na": F.size("sa"), "inter": F.size(F.array_intersect("sa", "sb"))})
         distance = 1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
         delta = F.when(distance <= FAR + apart, F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")))
-        deltas = scratch.put(f"deltas{rounds}", found.select("pivot", "member", F.col("nb").alias("n"), F.col("na").alias("np"), _linked(percent).alias("linked"), distance.alias("distance"), delta.alias("delta")))
-        pairs = scratch.put(f"pairs{rounds}", _delta_candidates(deltas.filter(F.col("delta").isNotNull()), percent))
-        new = check(pairs, f"found{rounds}").unionByName(deltas.filter("linked").select(F.col("pivot").alias("a"), F.col("member").alias("b")))
-        new = scratch.put(f"new{rounds}", new)
-        links = new if links is None else links.unionByName(new)
+        deltas = scratch.put(f"deltas{rounds}", found.select(F.lit(rounds).alias("round"), "pivot", "member", F.col("nb").alias("n"), F.col("na").alias("np"), _linked(percent).alias("linked"), distance.alias("distance"), delta.alias("delta")))
+        stars.append(deltas.filter("linked").select("pivot", "member"))
+        all_deltas.append(deltas.filter("delta is not null").drop("distance"))
         # members far from their bucket's pivot are linked with far ones only: they get a pivot of their own
         far = led.join(deltas.filter(F.col("distance") >= FAR).select("pivot", "member"), ["pivot", "member"], "left_semi").select("bucket", "member")
         several = far.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
         buckets = scratch.put(f"far{rounds}", far.join(several, "bucket", "left_semi"))
         before, after = led.count(), buckets.count()
-        scratch.drop(f"led{rounds}", f"deltas{rounds}", f"pairs{rounds}", f"far{rounds - 1}")
-        if 2 * after > before:
-            # hardly any is near another: no group is left that makes elements frequent
-            pairs = _prefix_candidates(buckets.select("member").distinct(), sets, percent)
-            links, after = links.unionByName(check(pairs, "last")), 0
-        if not after:
-            return links
+        scratch.drop(f"led{rounds}", f"far{rounds - 1}")
+        if 2 * after > before or not after:
+            break
+    labels = components(reduce(DataFrame.unionByName, stars), scratch, "pivot", "member", "stars")
+    elements = scratch.put("mixed", _delta_elements(reduce(DataFrame.unionByName, all_deltas), labels, scratch))
+    more = check(_hub_candidates(elements, percent), "hubs")
+    if not more.isEmpty():
+        elements = _merged(elements, components(more, scratch, "ca", "cb", "hubbed"))
+    more = more.unionByName(check(_delta_candidates(elements, percent), "deltas"))
+    if after:
+        # hardly any is near another: no group is left that makes elements frequent
+        members = _with_components(buckets.select(F.col("member").alias("doc_id")).distinct(), labels, "doc_id", "component")
+        more = more.unionByName(check(_prefix_candidates(members, sets, percent), "rest"))
+    scratch.drop("mixed", "loose", "elements", *(f"deltas{k + 1}" for k in range(rounds)))
+    if more.isEmpty():
+        return labels
+    merged = components(more, scratch, "ca", "cb", "merged")
+    alone = merged.join(labels, "node", "left_anti")
+    return _with_components(labels.select(F.col("node").alias("member"), F.col("component").alias("of")), merged, "of", "component").select(F.col("member").alias("node"), "component").unionByName(alone)
 
 
 def near_duplicate_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,7 +354,7 @@ def near_duplicate_groups(docs: DataFrame, shingle_words: int = 5, percent: int
     buckets = scratch.put("buckets", members.join(several, "bucket", "left_semi"))
     wanted = buckets.select(F.col("member").alias("doc_id")).distinct()
     sets = scratch.put("sets", shingle_sets(rows.join(wanted, "doc_id", "left_semi"), shingle_words))
-    labels = components(find_links(buckets, sets, percent, scratch), scratch)
+    labels = linked_members(buckets, sets, percent, scratch)
     equal = classes.filter("rep <> last").select(*print_, "rep")
     out = known.select("doc_id", *print_).join(equal, print_, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
@@ -267,5 +364,6 @@ def near_duplicate_groups(docs: DataFrame, shingle_words: int = 5, percent: int
 def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stand for their group, with all columns; of repeated rows with one ``doc_id``, all stay."""
     groups = near_duplicate_groups(docs, shingle_words, percent)
-    gone = groups.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    name = unused("gone", docs.columns)
+    gone = groups.filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")

@@ -17,8 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaylight.llm.scratch import Scratch
+from quaylight.llm.spread import by_lots, unused
 from quaylight.llm.words import Words, inside_windows, mix, steps, window_hashes
+from quaylight.sources.scratch import Scratch
 
 #: Perfect difference sets by period: fixed values.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -73,7 +74,7 @@ def whole_copies(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
 
     prints = scratch.put("prints", docs.mapInArrow(run, "doc_id long, f1 long, f2 long"))
     several = prints.groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).filter("least < last")
-    copies = prints.join(several, ["f1", "f2"]).filter("doc_id > least")
+    copies = by_lots(prints, several, ["f1", "f2"], "doc_id").filter("doc_id > least")
     return scratch.put("copies", copies.groupBy(F.col("doc_id").alias("copy_id")).agg(F.collect_set("f1").alias("whole")))
 
 
@@ -239,8 +240,9 @@ def _cut(words: Words, removed: np.ndarray) -> list[str]:
 
 def _with_marks(docs: DataFrame, window: int, name: str, whole: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = repeated_windows(rows, window, Scratch(docs.sparkSession, "substrings")).withColumnsRenamed({"repeat_id": "__repeat_id", "marks": name, "whole": whole})
-    return docs.join(marks, F.col("doc_id").cast("long") == F.col("__repeat_id"), "left").drop("__repeat_id").withColumn(name, F.coalesce(name, F.array().cast("array<long>")))
+    key = unused("repeat_id", docs.columns)
+    marks = repeated_windows(rows, window, Scratch(docs.sparkSession, "substrings")).withColumnsRenamed({"repeat_id": key, "marks": name, "whole": whole})
+    return docs.join(marks, F.col("doc_id").cast("long") == F.col(key), "left").drop(key).withColumn(name, F.coalesce(name, F.array().cast("array<long>")))
 
 
 def removal_digests(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -269,7 +271,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, length: str | None = None)
 
     All other columns and all rows stay; a text that was repeated whole becomes empty.  See ``removal_digests``.
     """
-    marks, whole = "__repeat_marks", "__repeat_whole"
+    marks, whole = unused("repeat_marks", docs.columns), unused("repeat_whole", docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

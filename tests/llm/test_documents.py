@@ -32,7 +32,7 @@ def rows(df, key="doc_id"):
 @pytest.fixture(scope="module")
 def edge(spark):
     docs = spark.createDataFrame(EDGE, "doc_id long, text string, lang string")
-    clashes = ["key", "ids", "n", "uid", "bucket", "places", "marks", "rep", "component", "s", "score", "at", "total", "part", "h1"]
+    clashes = ["repeat_id", "Repeat_Marks", "repeat_whole", "__repeat_id", "__repeat_marks", "gone", "__gone", "lot", "salt", "node", "key", "ids", "n", "uid", "bucket", "places", "marks", "rep", "component", "s", "score", "at", "total", "part", "h1"]
     return docs.withColumns({c: F.lit("clash") for c in clashes}).cache()
 
 
@@ -88,6 +88,75 @@ def test_near_duplicates_in_one_large_group(spark):
     assert got == plain.groups(made, 3, 85)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_in_mixed_groups(spark, seed):
+    """Groups whose members mostly aren't linked with any pivot: chains, families of one text and lists of shared changes."""
+    rng = np.random.default_rng(seed)
+    made: list[tuple[int, str]] = []
+    for g in range(4):
+        base = [f"g{g}v{i}" for i in range(60)]
+        families = [[f"f{g}_{k}_{i}" if rng.random() < 0.2 else w for i, w in enumerate(base)] for k in range(12)]
+        for w in families:
+            for _ in range(8):
+                w = list(w)
+                for _ in range(int(rng.integers(0, 3))):
+                    w[int(rng.integers(0, 60))] = f"n{rng.integers(0, 6)}"
+                made.append((len(made), " ".join(w[: int(rng.integers(50, 61))])))
+    order = rng.permutation(len(made))
+    made = [(int(d), made[k][1]) for k, d in enumerate(order)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    got = {d: (r["n_shingles"], r["component_id"]) for d, r in rows(near_dedup.near_duplicate_groups(docs, 2, 80)).items()}
+    assert got == plain.groups(made, 2, 80)
+
+
+def test_components(spark, tmp_path):
+    """A long path, a star, a ring and a pair under shuffled names; a path takes few rounds."""
+    from quaylight.sources.scratch import Scratch
+
+    names = np.random.default_rng(4).permutation(6000).tolist()
+    path = [(names[i], names[i + 1]) for i in range(3999)]
+    star = [(names[4000], names[4000 + i]) for i in range(1, 900)]
+    ring = [(names[5000 + i], names[5000 + (i + 1) % 500]) for i in range(500)]
+    links = spark.createDataFrame([*path, *star, *ring, (names[5998], names[5999]), (names[5999], names[5998])], "a long, b long")
+    scratch = Scratch(spark, "components")
+    written: list[str] = []
+    put = scratch.put
+    scratch.put = lambda name, df: written.append(name) or put(name, df)
+    got = {r["node"]: r["component"] for r in near_dedup.components(links, scratch).collect()}
+    for part in (names[:4000], names[4000:4900], names[5000:5500], names[5998:]):
+        assert {got[x] for x in part} == {min(part)}
+    assert len(got) == 4000 + 900 + 500 + 2
+    assert sum("up" in x for x in written) <= 2 + np.log2(4000)
+
+
+def test_superminhash():
+    """Against a plain version of one set at a time; estimates lie closer to the truth than independent hashes would."""
+    size, mask = 64, (1 << 64) - 1
+
+    def one(elements):
+        out = [mask] * size
+        for e in elements:
+            order = list(range(size))
+            for j in range(size):
+                r = int(near_dedup.mix(np.array([(e + (j + 1) * 0x9E3779B97F4A7C15) & mask], np.uint64))[0])
+                k = j + (r >> 40) % (size - j)
+                order[j], order[k] = order[k], order[j]
+                out[order[j]] = min(out[order[j]], (j << 40) | (r & ((1 << 40) - 1)))
+        return out
+
+    rng = np.random.default_rng(6)
+    hashes = rng.integers(0, 1 << 64, 90, dtype=np.uint64)
+    docs = np.repeat([0, 1, 2, 3], [1, 7, 0, 82])
+    got = near_dedup.superminhash(docs, hashes, 4, size)
+    assert [r.tolist() for r in got] == [one(hashes[docs == d].tolist()) for d in range(4)]
+    errors = []
+    for _ in range(300):
+        h = rng.integers(0, 1 << 64, 90, dtype=np.uint64)
+        a, b = near_dedup.superminhash(np.repeat([0, 1], 60), np.concatenate([h[:60], h[30:]]), 2, size)
+        errors.append((a == b).mean() - 1 / 3)
+    assert abs(np.mean(errors)) < 0.015 and np.var(errors) < 0.9 * (1 / 3) * (2 / 3) / size
+
+
 @pytest.mark.parametrize("which", ["edge", "table"])
 @pytest.mark.parametrize("window", [5, 20, 50])
 def test_substrings(which, window, request):
