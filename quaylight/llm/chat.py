@@ -18,14 +18,19 @@ from pyspark.sql import functions as F
 #: Control strings of this template and of others in use, each with the place of its backslash; fixed values.
 CONTROL = r"(<)(\||/?s>|</?SYS>>)|(\[)(/?INST\])"
 END = "<|end|>\n"
+#: What counts as a token: up to six letters of a word, a digit, or up to three other signs; white space is free.
+TOKEN = r"\p{L}{1,6}|\p{N}|[^\s\p{L}\p{N}]{1,3}"
 
 
 @dataclass(frozen=True)
 class Budget:
-    #: Tokens of a window, of which so many may repeat earlier turns; a token is taken as ``chars_per_token`` characters.
+    #: Tokens of a window, of which so many may repeat earlier turns; see TOKEN.
     window: int = 1024
     history: int = 256
-    chars_per_token: int = 4
+
+
+def tokens(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(TOKEN))
 
 
 def escape(text: Column) -> Column:
@@ -46,7 +51,9 @@ def chat_windows(turns: DataFrame, budget: Budget | None = None) -> DataFrame:
     ``turns`` has ``conv_id, turn, role, text``; other columns are left out.  ``loss_spans`` are (start, size) in code
     points of ``text``; the first ``repeated_turns`` turns of it repeat earlier windows.  Turns are ordered by ``turn``,
     then role and text; repeated rows are turns of their own.  A null text or role is empty; null ids are one
-    conversation.  Turns are never cut: a window is ``over_budget`` where single turns of over half its room force it.
+    conversation.  Turns are never cut: a window is ``over_budget`` where single turns of over half its room force it, or a
+    system turn of over three quarters of the room, beside which spans have a quarter.  A turn is copied to those windows
+    that repeat it, and to no others.
     """
     budget = budget or Budget()
     room = max(1, budget.window - budget.history)
@@ -54,21 +61,21 @@ def chat_windows(turns: DataFrame, budget: Budget | None = None) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     whole = Window.partitionBy("conv_id")
     rows = rows.select("conv_id", "role", F.row_number().over(order).alias("i"), F.concat(F.lit("<|"), escape_role(F.col("role")), F.lit("|>")).alias("head"), escape(F.col("text")).alias("body"))
-    size = F.ceil((F.length("head") + F.length("body") + len(END)) / budget.chars_per_token)
+    size = tokens(F.col("head")) + tokens(F.col("body")) + tokens(F.lit(END))
     rows = rows.withColumn("is_system", (F.col("i") == 1) & (F.col("role") == "system")).withColumn("size", size)
     # the system turn is in each window: it takes room, not a place in the prefix sums
     rows = rows.withColumn("system", F.max(F.when(F.col("is_system"), F.col("size")).otherwise(0)).over(whole)).withColumn("size", F.when(F.col("is_system"), 0).otherwise(F.col("size")))
     rows = rows.withColumn("before", F.sum("size").over(whole.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    left = F.greatest(F.lit(1), F.lit(room) - F.col("system"))
+    left = F.greatest(F.lit(-(-room // 4)), F.lit(room) - F.col("system"))
     stride = F.greatest(F.lit(1), F.ceil(left / 2), left - F.max("size").over(whole))
     rows = rows.withColumn("stride", stride).withColumn("span", F.floor(F.col("before") / F.col("stride")))
-    # a turn is also offered as history to the next spans that may begin soon enough after it
-    last = F.greatest(F.col("span"), F.floor((F.col("before") + budget.history) / F.col("stride")))
-    spans = F.when(F.col("is_system"), F.array("span")).otherwise(F.sequence("span", last))
-    placed = rows.withColumn("at", F.explode(spans)).withColumn("new", F.col("at") == F.col("span"))
+    # a turn is also history of the next spans with turns of their own that begin soon enough after it
+    reached = F.collect_set("span").over(whole.orderBy("before").rangeBetween(0, budget.history))
+    spans = F.when(F.col("is_system"), F.array("span")).otherwise(F.filter(reached, lambda s: s >= F.col("span")))
+    rows = rows.withColumn("spans", spans)
+    placed = rows.withColumn("at", F.explode("spans")).withColumn("new", F.col("at") == F.col("span"))
     own = F.struct("i", "before", "size", "new", "is_system", (F.col("role") == "assistant").alias("target"), "head", "body")
     windows = placed.groupBy("conv_id", F.col("at").alias("window_id")).agg(F.array_sort(F.collect_list(own)).alias("all"), F.min(F.when(F.col("new"), F.col("before"))).alias("begin"), F.max("system").alias("system"))
-    windows = windows.filter(F.col("begin").isNotNull())
     windows = windows.withColumn("turns", F.filter("all", lambda t: t["new"] | (F.col("begin") - t["before"] <= budget.history)))
     first = rows.filter("is_system").select(F.col("conv_id").alias("system_conv"), F.concat("head", "body", F.lit(END)).alias("system_text"))
     windows = windows.join(first, F.col("conv_id").eqNullSafe(F.col("system_conv")), "left")
@@ -86,8 +93,7 @@ def chat_windows(turns: DataFrame, budget: Budget | None = None) -> DataFrame:
         return F.struct((state["at"] + F.length(t["head"]) + F.length(t["body"]) + len(END)).alias("at"), found.alias("found"))
 
     windows = windows.withColumn("loss_spans", F.aggregate("turns", begin, step, lambda s: s["found"]))
-    tokens = F.aggregate("turns", F.col("system").cast("long"), lambda a, t: a + t["size"])
-    windows = windows.withColumn("tokens", tokens)
+    windows = windows.withColumn("tokens", F.aggregate("turns", F.col("system").cast("long"), lambda a, t: a + t["size"]))
     return windows.select("conv_id", "window_id", "text", "loss_spans", "repeated_turns", "tokens", (F.col("tokens") > budget.window).alias("over_budget"))
 
 

@@ -64,8 +64,8 @@ def _netpbm_header(data: bytes, fields: int) -> tuple[list[int], int]:
     return numbers, at + 1
 
 
-def read_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as (rows, columns) or (rows, columns, 3); samples keep their depth, bits become 0 (white) and 1."""
+def _netpbm(data: bytes) -> tuple[np.ndarray, int]:
+    """Samples and the file's maximum."""
     kind = data[:2]
     if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
         raise ValueError("no Netpbm magic")
@@ -77,18 +77,31 @@ def read_netpbm(data: bytes) -> np.ndarray:
         raise ValueError("size or maximum out of range")
     shape = (rows, columns, 3) if colour else (rows, columns)
     count = rows * columns * (3 if colour else 1)
+    line = -(-columns // 8)
+    stored = {b"P4": rows * line, b"P5": count * (1 + (most > 255)), b"P6": count * (1 + (most > 255))}.get(kind, count)
+    if stored > len(data) - at + (kind not in (b"P4", b"P5", b"P6")):
+        raise ValueError("samples cut short")
     kind_of = np.uint8 if most < 256 else np.uint16
     if kind == b"P4":
-        line = -(-columns // 8)
-        packed = np.frombuffer(data, np.uint8, rows * line, at).reshape(rows, line)
-        return np.unpackbits(packed, axis=1)[:, :columns]
+        return np.unpackbits(np.frombuffer(data, np.uint8, stored, at).reshape(rows, line), axis=1)[:, :columns], 1
     if kind in (b"P5", b"P6"):
-        return np.frombuffer(data, np.uint8 if most < 256 else ">u2", count, at).astype(kind_of).reshape(shape)
-    body = b"\n".join(x.split(b"#")[0] for x in data[at - 1 :].split(b"\n"))
-    values = [c - 48 for c in body if c in b"01"] if bits else [int(x) for x in body.split()]
-    if len(values) < count:
-        raise ValueError("samples cut short")
-    return np.array(values[:count], kind_of).reshape(shape)
+        samples = np.frombuffer(data, np.uint8 if most < 256 else ">u2", count, at).astype(kind_of)
+    else:
+        body = b"\n".join(x.split(b"#")[0] for x in data[at - 1 :].split(b"\n"))
+        values = [c - 48 for c in body if c in b"01"] if bits else [int(x) for x in body.split()]
+        if len(values) < count:
+            raise ValueError("samples cut short")
+        if not all(0 <= x <= most for x in values[:count]):
+            raise ValueError("a sample over the maximum")
+        samples = np.array(values[:count], kind_of)
+    if samples.max() > most:
+        raise ValueError("a sample over the maximum")
+    return samples.reshape(shape), most
+
+
+def read_netpbm(data: bytes) -> np.ndarray:
+    """P1 to P6 as (rows, columns) or (rows, columns, 3); samples keep their depth, bits are 0 (white) and 1 (black)."""
+    return _netpbm(data)[0]
 
 
 def read_bmp(data: bytes) -> np.ndarray:
@@ -101,19 +114,28 @@ def read_bmp(data: bytes) -> np.ndarray:
         raise ValueError("this BMP form is not supported")
     down, rows = rows < 0, abs(rows)
     line = -(-columns * depth // 32) * 4
+    if at < 0 or header < 40 or at + rows * line > len(data):
+        raise ValueError("samples cut short")
     body = np.frombuffer(data, np.uint8, rows * line, at).reshape(rows, line)[:, : columns * depth // 8]
     body = body if down else body[::-1]
     if depth > 8:
         return np.ascontiguousarray(body.reshape(rows, columns, depth // 8)[:, :, 2::-1])
     used = number(46) or 256
+    if not 0 < used <= 256 or 14 + header + 4 * used > len(data) or int(body.max()) >= used:
+        raise ValueError("a sample outside the palette")
     table = np.frombuffer(data, np.uint8, 4 * used, 14 + header).reshape(used, 4)[:, 2::-1]
     if used == 256 and (table == np.arange(256)[:, None]).all():
         return np.ascontiguousarray(body)
     return table[body]
 
 
-def read_media(data: bytes) -> np.ndarray:
-    return read_bmp(data) if data[:2] == b"BM" else read_netpbm(data)
+def read_media(data: bytes) -> tuple[np.ndarray, int]:
+    """Brightness of each sample, and that of white: the maximum that the file states.  ValueError if it can't be read."""
+    if data[:2] == b"BM":
+        return read_bmp(data), 255
+    samples, most = _netpbm(data)
+    # a set bit is ink
+    return (1 - samples if data[:2] in (b"P1", b"P4") else samples), most
 
 
 def area_resize(pixels: np.ndarray, rows: int, columns: int) -> np.ndarray:
@@ -140,9 +162,8 @@ def difference_hash(pixels: np.ndarray) -> int:
     return int.from_bytes(np.packbits(tile[:, :-1] > tile[:, 1:] + 1e-9).tobytes(), "big")
 
 
-def npy_tile(pixels: np.ndarray, rows: int, columns: int) -> bytes:
-    """NPY file of the picture resized to (rows, columns) 8-bit samples."""
-    most = 1 if pixels.size and pixels.max() <= 1 and pixels.dtype == np.uint8 else np.iinfo(pixels.dtype).max
+def npy_tile(pixels: np.ndarray, rows: int, columns: int, most: int = 255) -> bytes:
+    """NPY file of the picture resized to (rows, columns) 8-bit samples; ``most`` becomes 255."""
     tile = np.rint(area_resize(pixels, rows, columns) * (255 / most)).clip(0, 255).astype(np.uint8)
     out = io.BytesIO()
     np.save(out, tile, allow_pickle=False)
@@ -168,8 +189,8 @@ def media_tiles(df: DataFrame, column: str = "media", rows: int = 32, columns: i
                     if data is None:
                         found.append((None,) * 5)
                         continue
-                    pixels = read_media(bytes(data))
-                    found.append((npy_tile(pixels, rows, columns), f"{difference_hash(pixels):016x}", *pixels.shape[:2], None))
+                    pixels, most = read_media(bytes(data))
+                    found.append((npy_tile(pixels, rows, columns, most), f"{difference_hash(pixels):016x}", *pixels.shape[:2], None))
                 except ValueError as e:
                     found.append((None, None, None, None, str(e)))
             kinds = (pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.string())
@@ -207,10 +228,14 @@ def text_pictures(docs: DataFrame) -> DataFrame:
 
 
 def read_text_pictures(pictures: DataFrame) -> DataFrame:
-    """Digests of what the stored pictures decode to; ``feature`` is the difference hash."""
+    """Digests of what the stored pictures decode to; ``feature`` is the difference hash, ``tile`` an NPY file of 32 by 32.
+
+    ``pictures`` is what ``text_pictures`` gives: no picture is null, and that of an empty text is one black row.  Repeated
+    rows give repeated rows, an empty table none.
+    """
     schema = (
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-        "media_sha256 string, feature string, tile_sha256 string"
+        "media_sha256 string, feature string, tile_sha256 string, tile binary"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,9 +249,9 @@ def read_text_pictures(pictures: DataFrame) -> DataFrame:
                 tile = npy_tile(pixels, 32, 32)
                 rows.append((
                     doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), stored.size,
-                    hashlib.sha256(stored).hexdigest(), f"{difference_hash(pixels):016x}", hashlib.sha256(tile).hexdigest(),
+                    hashlib.sha256(stored).hexdigest(), f"{difference_hash(pixels):016x}", hashlib.sha256(tile).hexdigest(), tile,
                 ))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
     return pictures.mapInArrow(run, schema)

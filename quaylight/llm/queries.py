@@ -42,7 +42,8 @@ def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    more = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(CONTROL_TEXT).alias("text"))
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return chat.chat_digests(chat.chat_windows(turns))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import zlib
 
 import numpy as np
@@ -253,6 +254,13 @@ def test_media(which, request):
         assert media.read_netpbm(bytes(stored[d]["media"])).tobytes() == payload
         want = {"n_bytes": len(raw), "payload_bytes": len(payload), "payload_sha256": plain.sha(payload), "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(stored[d]["media"]), "media_sha256": plain.sha(bytes(stored[d]["media"]))}
         assert {k: got[d][k] for k in want} == want
+        cells = direct_means(np.frombuffer(payload, np.uint8).reshape(-1, 64), 8, 9) if len(payload) < 20_000 else None
+        if cells is not None:
+            clear = np.abs(cells[:, :-1] - cells[:, 1:] - 1e-9) > 1e-7
+            bits = np.unpackbits(np.frombuffer(bytes.fromhex(got[d]["feature"]), np.uint8)).reshape(8, 8)
+            assert (bits == (cells[:, :-1] > cells[:, 1:] + 1e-9))[clear].all()
+            assert (np.abs(np.load(io.BytesIO(got[d]["tile"])) - direct_means(np.frombuffer(payload, np.uint8).reshape(-1, 64), 32, 32)) <= 0.5 + 1e-6).all()
+        assert got[d]["tile_sha256"] == plain.sha(bytes(got[d]["tile"]))
 
 
 def test_pictures_round_trip(spark):
@@ -272,6 +280,50 @@ def test_pictures_round_trip(spark):
     assert got[2]["tile"] is None and got[2]["media_error"] is None and got[3]["media_error"]
 
 
+def direct_means(pixels, rows, columns):
+    """Area means sample by sample: each cell's overlap with each sample."""
+    height, width = pixels.shape[:2]
+    over = lambda size, cells: np.array([[max(0.0, min(i + 1, (c + 1) * size / cells) - max(i, c * size / cells)) for i in range(size)] for c in range(cells)])
+    a, b = over(height, rows), over(width, columns)
+    return np.einsum("ri,ij...,cj->rc...", a, pixels.astype(float), b) * (rows * columns) / (height * width)
+
+
+def test_tiles(spark, tmp_path):
+    """White is 255 whatever the file's maximum, ink is dark, and broken files give a reason; tiles are read again as NPY."""
+    rng = np.random.default_rng(2)
+    grey = rng.integers(0, 256, (21, 10), dtype=np.uint8)
+    media_ = {
+        "white of 9": b"P2\n2 2\n9\n9 9 9 9\n", "all ink": b"P1\n2 2\n1111", "no ink": b"P4\n8 1\n\x00", "dark": b"P5\n2 1\n255\n\x00\x01", "deep": b"P5\n1 1\n65535\n\xff\xff", "grey": media.write_pgm(grey),
+        "over": b"P2\n1 1\n255\n300\n", "below": b"P2\n1 1\n255\n-4\n", "over stored": b"P5\n1 1\n9\n\x0a", "huge": b"P5\n99999999999 99999999999\n255\n\x00", "short": b"P6\n3 3\n255\nab", "empty": b"",
+        "palette": media.write_bmp(grey)[:46] + (4).to_bytes(4, "little") + media.write_bmp(grey)[50:],
+    }
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in media_.items()], "name string, media binary")
+    media.write_tiles(media.media_tiles(df, rows=3, columns=4), str(tmp_path / "tiles"))
+    got = rows(spark.read.parquet(str(tmp_path / "tiles")), "name")
+    tile = lambda name: np.load(io.BytesIO(got[name]["tile"]))
+    assert (tile("white of 9") == 255).all() and (tile("all ink") == 0).all() and (tile("no ink") == 255).all() and tile("dark").max() <= 1 and (tile("deep") == 255).all()
+    assert (np.abs(tile("grey") - direct_means(grey, 3, 4)) <= 0.5 + 1e-9).all()
+    for name in ("over", "below", "over stored", "huge", "short", "empty", "palette"):
+        assert got[name]["tile"] is None and got[name]["media_error"], name
+    cells = direct_means(grey, 8, 9)
+    bits = "".join("1" if a > b + 1e-9 else "0" for r in cells for a, b in zip(r, r[1:], strict=False))
+    assert got["grey"]["dhash"] == f"{int(bits, 2):016x}"
+
+
+def test_broken_media():
+    """Changed and cut files either decode or raise ValueError."""
+    rng = np.random.default_rng(9)
+    whole = [media.write_bmp(rng.integers(0, 256, (5, 6), dtype=np.uint8)), media.write_bmp(rng.integers(0, 256, (5, 6, 3), dtype=np.uint8)), b"P2\n3 2\n20\n1 2 3 4 5 6\n", b"P1\n3 2\n101010\n", b"P4\n9 2\nabcd", media.write_pgm(np.ones((4, 4), np.uint8))]
+    for _ in range(4000):
+        data = bytearray(whole[rng.integers(0, len(whole))])
+        for _ in range(int(rng.integers(1, 5))):
+            data[int(rng.integers(0, min(60, len(data))))] = int(rng.integers(0, 256))
+        try:
+            media.npy_tile(*media.read_media(bytes(data[: int(rng.integers(0, len(data) + 1))]))[:1], 4, 4)
+        except ValueError:
+            pass
+
+
 def test_language(spark, edge):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op2_language_codes(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang", "text"), "doc_id").collect()

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 import pytest
+import regex
 from tests.llm import plain
 
 from quaylight.llm import chat, queries, url_filter
@@ -58,6 +59,29 @@ def test_chat(spark, budget):
     assert chat.chat_windows(df.limit(0), budget).count() == 0
 
 
+@pytest.mark.parametrize("size", [100, 2900, 3200, 20_000])
+def test_chat_copies_turns_only_to_windows_that_repeat_them(spark, size):
+    """Each window holds the system turn, its own turns and as many turns before as the history allows; against plain Python."""
+    budget = chat.Budget()
+    turns = [(1, 0, "system", "s " * size), *((1, k, ("user", "assistant")[k % 2], f"turn number {k} says so") for k in range(1, 80))]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    count = lambda x: len(regex.findall(chat.TOKEN, x))
+    sizes = [count(f"<|{r}|>") + count(x) + count("<|end|>") for _, _, r, x in turns]
+    left = max(-(-768 // 4), 768 - sizes[0])
+    stride = max(1, -(-left // 2), left - max(sizes[1:]))
+    before, spans, total = {}, defaultdict(list), 0
+    for k, n in enumerate(sizes[1:], 1):
+        before[k] = total
+        spans[total // stride].append(k)
+        total += n
+    want = {s: (sum(1 for k in before if k < own[0] and before[own[0]] - before[k] <= budget.history), len(own)) for s, own in spans.items()}
+    got = chat.read_windows(chat.chat_windows(df, budget)).collect()
+    first = min(want)
+    assert {r["window_id"]: len(r["turns"]) - (r["window_id"] == first) for r in got} == {s: own for s, (_, own) in want.items()}
+    assert {r["window_id"]: r["repeated_turns"] - (r["window_id"] != first) for r in got} == {s: old for s, (old, _) in want.items()}
+    assert len(got) <= 25
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?y#z", "https://www.example.com/en", "http://example.com/en/", "http://a.net/fr/q#x/y", "a://b://c/d", "x://net/es/", "http://xnet/es/", "http://foo.com/", "http://foo.com?x/", "http://É.com/é", "line\n://h/p\nq?r"]
     df = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id long, url string, rule string")
