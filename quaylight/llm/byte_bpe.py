@@ -24,7 +24,7 @@ from quaylight.llm.words import steps
 LONG_PIECE = 512
 #: Cells of a matrix at most; a bucket with more rows is encoded in parts.
 MATRIX_CELLS = 1 << 20
-#: Pieces that a Python worker remembers.
+#: Pieces that a Python worker remembers; long ones are not kept.
 REMEMBERED = 400_000
 #: White space of the Unicode property, which ``\s`` means in the ranks' pattern.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -190,7 +190,11 @@ class ByteBpe:
             fresh = {p for pieces in found for p in pieces}
         new = list(fresh)
         known.update(zip(new, self.encode_pieces([p.encode() for p in new]), strict=True))
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in found]
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in found]
+        for p in new:
+            if len(p) > LONG_PIECE:
+                del known[p]
+        return out
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of a sequence of ids."""
