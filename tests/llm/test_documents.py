@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import textwrap
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -359,6 +361,43 @@ def test_licenses(spark):
     assert got[8] == ("GPL-3.0-or-later", "copyleft")
 
 
+NOTICES = {
+    "MIT": 'MIT License\n\nCopyright (c) 2020 Me\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "BSD-3-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+}
+
+
+def test_wrapped_notices(spark):
+    """Full notices at several line widths, plain and in comments, between lines of code and prose."""
+    want, made = {}, []
+    for name, notice in NOTICES.items():
+        for width in (30, 57, 72, 400):
+            wrapped = ["\n".join(textwrap.wrap(p, width, break_on_hyphens=False, break_long_words=False)) for p in notice.split("\n\n")]
+            body = "\n\n".join(wrapped)
+            for style in ("{}", "# {}", " * {}", "// {}", "-- {}"):
+                lines = "\n".join(style.format(x).rstrip() for x in body.split("\n"))
+                text = {" * {}": f"/*\n{lines}\n */\nint main;", "{}": f"Some prose\n\n{lines}\n\nMore of it."}.get(style, f"{lines}\n\nimport x")
+                want[len(made)] = name
+                made.append((len(made), text))
+    docs = spark.createDataFrame(made, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("s", "ids", "left", "hit0")})
+    got = {d: r["licenses"] for d, r in rows(licenses.scan_licenses(docs)).items()}
+    assert {d: (x, made[d][1]) for d, x in got.items() if x != want[d]} == {}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [*made, (-1, None), (-2, ""), (-3, "\n\n\n"), (-4, "x " * 200_000 + "\nAll rights reserved")])
+    sql = {r[0]: r for r in con.sql(f"SELECT doc_id, licenses, n_sentences, n_known FROM ({licenses.scan_sql()})").fetchall()}
+    assert {d: x[1] for d, x in sql.items() if d >= 0} == got
+    edge = spark.createDataFrame([(-1, None), (-2, ""), (-3, "\n\n\n"), (-4, "x " * 200_000 + "\nAll rights reserved"), (-4, "x " * 200_000 + "\nAll rights reserved")], "doc_id long, text string")
+    assert {(r["doc_id"], r["licenses"], r["n_sentences"], r["n_known"]) for r in licenses.scan_licenses(edge).collect()} == {x for d, x in sql.items() if d < 0}
+
+
 def test_empty_and_repeated(spark, edge):
     path = public_tokenizers.path("word_bpe_49k.json")
     for f in (repetition.repetition_verdicts, near_dedup.near_duplicate_groups, substring_dedup.removal_digests, licenses.scan_licenses, media.text_pictures, lambda d: packing.pack(d, path, 1)):
