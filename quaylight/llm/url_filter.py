@@ -18,10 +18,48 @@ ORDERS, CELLS = (3, 4, 5), 1 << 14
 RIDGE, STEPS = 1e-3, 400
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Words behind the small labelled table, and the shapes of its URLs.
-BLOCKED_WORDS = ("casino", "poker", "jackpot", "betting", "slots", "xxx", "porn", "adult-cams", "escort", "viagra", "cheap-pills", "payday-loan", "crack-download", "keygen", "warez", "torrent", "clickbait", "free-money", "get-rich", "replica-watches")
-ALLOWED_WORDS = ("library", "university", "museum", "science", "history", "news", "weather", "recipes", "travel-guide", "documentation", "tutorial", "journal", "archive", "garden", "health-service", "school", "council", "maps", "music-theory", "mathematics")
-SHAPES = ("https://{w}.test/", "http://www.{w}.test/index.html", "https://blog.test/{w}/2021", "https://m.site.test/en/{w}?page=2", "http://{w}-online.test/de/1234")
+#: The small labelled table: URLs to block and to allow, with paths in four languages.  Some allowed ones speak of what
+#: blocked ones sell, and some blocked ones look like shops, news or schools.
+BLOCKED = """
+www.casino-royal-spins.com/en/slots/welcome-bonus  play-casinos-online.net/jackpot?ref=12  pokerstakes24.com/en/freerolls  de.spielautomaten-kasino.com/bonus/freispiele  fr.casino-enligne-gratuit.com/machines-a-sous
+tragaperras-gratis.es/casino/giros-gratis  bet-winner365.com/live/betting-odds  sportwetten-tipps24.de/quoten/bonus  parissportifs-cotes.fr/bonus-pari  apuestas-deportivas-hoy.com/bono-bienvenida
+lottowin-daily.biz/claim-prize  luckyspin.club/win/free-money  slotmachine777.xyz/spin  mega-jackpots.top/en/play-now  roulette-blackjack.live/table/7
+hotxxxvideos.net/watch/8812  freeporntube.xxx/category/amateur  sexcams-live.com/en/chat/adult  nackte-girls-cam.de/livecams  videos-porno-gratuit.fr/amateur/sexe
+porno-gratis-xxx.com/videos/maduras  adultdating-tonight.com/hookup/nearby  escort-city-girls.com/madrid/independent  nude-pics-daily.net/gallery/44  erotikchat24.de/livesex
+cheap-viagra-pills.com/order-now?no-prescription=1  buycialisonline.net/generic/tadalafil  potenzmittel-rezeptfrei.de/bestellen  pharmacie-sansordonnance.com/viagra-pas-cher  pastillas-sin-receta.com/comprar-viagra
+diet-pills-miracle.com/lose-weight-fast  weightloss-keto-gummies.shop/buy  steroids4sale.biz/anabolic/order  cheapmeds-rx.top/xanax-no-prescription  male-enhancement-pro.net/enlarge
+crackedsoftware-download.net/keygen/office  warez-zone.to/full-crack/photoshop  serialkeys-free.info/activator/windows  torrentz-movies.cc/download/1080p-rip  filme-stream-kostenlos.to/torrent
+telecharger-crack-gratuit.com/logiciel/keygen  descargar-crack-full.net/serial/activador  apk-mod-unlimited.com/hack/coins  freegames-hack.club/cheats/generator  nulledscripts.cc/themes/download
+get-rich-quick-crypto.com/earn/daily-profit  bitcoin-doubler.biz/invest/1000x  forex-signals-guaranteed.net/profit  make-money-fast-home.com/secret-method  geld-verdienen-schnell.de/krypto-trick
+gagner-argent-facile.com/methode-secrete  ganar-dinero-rapido.com/desde-casa  payday-loans-instant.com/apply/no-credit-check  kredit-ohne-schufa24.de/sofort  prestamos-rapidos-ya.com/sin-aval
+replica-watches-luxury.com/rolex/cheap  fakeid-maker.cc/order/passport  louisvuitton-outlet-cheap.shop/bags/sale90  cheapjerseys-wholesale.top/nfl  essay-writers-cheap.com/buy-essay/order
+click-here-prize.info/survey/winner  youwontbelieve-this.buzz/shocking-trick  doctors-hate-her.click/one-weird-trick  free-iphone-giveaway.win/claim  verify-account-login.top/secure/paypal-update
+hot-singles-area.com/meet/tonight  clickbait-celebs.buzz/shocking/photos-17  viral-shock.club/you-wont-believe/9  seo-backlinks-cheap.biz/buy-links  instant-followers.shop/buy/likes
+"""
+ALLOWED = """
+www.city-library.org/en/opening-hours  library.state-university.edu/catalogue/search?q=poetry  stadtbibliothek.musterstadt.de/ausleihe/formulare  bibliotheque.ville.fr/horaires/enfants  biblioteca.ayuntamiento.es/catalogo/libros
+museum-of-history.org/exhibitions/roman-glass  naturkundemuseum.de/ausstellung/dinosaurier  musee-beaux-arts.fr/collections/peinture  museo-nacional.es/visita/entradas  www.science-daily-notes.org/physics/article-2231
+news.regional-post.com/2021/05/council-budget  nachrichten.zeitung.de/politik/bundestag-debatte  journal.lemidi.fr/culture/cinema/critique  noticias.diario.es/deportes/futbol/resultado  weather.coast-service.gov/forecast/tides
+wetterdienst.de/vorhersage/morgen  meteo.fr/previsions/semaine  tiempo.es/prevision/manana  docs.python-packages.org/tutorial/install  developer.webdocs.org/reference/javascript/array
+wiki.linuxusers.de/dokumentation/paketverwaltung  forum.gardeners.org/thread/tomatoes-88  rezepte.kochen.de/suppe/kartoffelsuppe  recettes-cuisine.fr/dessert/tarte-aux-pommes  recetas-cocina.es/sopa/gazpacho
+travel.guidebook.com/europe/lisbon/walking-tour  reisen.berge.de/wandern/alpen  voyage-bretagne.fr/randonnee/cote  viajes-andalucia.es/rutas/sierra  maps.openroads.org/route/cycling
+school-district12.k12.us/calendar/holidays  grundschule-am-park.de/termine/elternabend  ecole-primaire.fr/cantine/menu  colegio-sanjose.es/horario/clases  mathematics.lectures.edu/algebra/groups/notes
+music-theory-lessons.com/harmony/chords  orchester.de/konzerte/programm  conservatoire.fr/auditions/piano  escuela-musica.es/cursos/guitarra  arxiv-mirror.org/abs/2101.00001
+health-service.gov/vaccination/appointments  krankenhaus.de/abteilung/innere-medizin  hopital.fr/consultation/rendez-vous  hospital.es/urgencias/informacion  pharmacy-board.gov/prescription/safety
+gambling-addiction-help.org/support/helpline  casino-history-museum.org/exhibits/monte-carlo  suchtberatung.de/gluecksspiel/hilfe  jeu-responsable.fr/aide/joueurs  ludopatia-ayuda.es/informacion/familias
+sex-education.school-health.org/teens/faq  sexualaufklaerung.de/unterricht/material  drug-information.gov/sildenafil/side-effects  poker-probability.math-notes.edu/lecture/combinatorics  lottery-commission.gov/annual-report
+software-archive.org/download/open-source/releases  torrents.linux-distribution.org/iso/release  crack-propagation.materials.edu/fatigue/paper  keygen.crypto-docs.org/manual/ssh  consumer-protection.gov/payday-loan/advice
+verbraucherzentrale.de/kredit/ratgeber  bank-of-town.com/mortgage/rates  economics.university.edu/bitcoin/working-paper  watchmakers-guild.org/repair/escapement  essays.literature-review.org/montaigne/on-books
+farmers-market.org/stalls/honey  baumarkt.de/garten/rasenmaeher  boulangerie-dupain.fr/pains/seigle  ferreteria.es/herramientas/taladro  bookshop-corner.com/fiction/new-releases
+blog.harbourview.org/en/12  m.stonebridge.net/de/155.html  northfield.org/fr/105?page=2  www.riverside.net/es/98#top  meadowlane.org/en/176  hilltop-weavers.net/en/33.html  oakwood.org/de/8?utm_source=feed  blog.fernbrook.net/fr/41  thistle.org/es/133  westmoor.net/en/book/9
+football-club.org/fixtures/season  chess-federation.org/ratings/juniors  tierheim.de/hunde/vermittlung  refuge-animaux.fr/chats/adoption  parque-natural.es/aves/observacion
+"""
+
+
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """``url, blocked``: the small table to fit on, each URL in two forms."""
+    rows = [(f"{head}{url}", kind) for kind, urls in ((1, BLOCKED), (0, ALLOWED)) for url in urls.split() for head in ("https://", "http://m.")]
+    return spark.createDataFrame(rows, "url string, blocked int")
 
 
 @dataclass(frozen=True)
@@ -60,12 +98,6 @@ def matched_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.lit(None).cast("string") if fits is None else fits
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """``url, blocked``: a small table to fit on."""
-    rows = [(s.format(w=w), kind) for kind, words in ((1, BLOCKED_WORDS), (0, ALLOWED_WORDS)) for w in words for s in SHAPES]
-    return spark.createDataFrame(rows, "url string, blocked int")
-
-
 def _cells(texts: pa.Array, base: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, cell) of all n-grams of texts, each taken with a mark before and behind it."""
     offsets, data = buffers(texts)

@@ -7,6 +7,7 @@ from collections import defaultdict
 import corpus_pipeline
 import pytest
 import regex
+from pyspark.sql import functions as F
 from tests.llm import plain
 
 from quaylight.llm import chat, queries, url_filter
@@ -96,9 +97,28 @@ def test_urls(spark):
         best = max(fits, key=lambda x: len(x.rule), default=None)
         assert (r["host"], r["path"], r["rule"]) == (host, path, best and best.rule)
         assert r["verdict"] == (best.verdict if best else "block" if r["score"] >= 0.5 else "allow")
-    test = spark.createDataFrame([("https://www.city-library.test/opening", 0), ("http://online-casino-bonus.test/slots", 1), ("https://poker.site.test/jackpot", 1), ("https://history.museum.test/", 0)], "url string, y int")
-    hosts = url_filter.judge_urls(test, model, (), key="y").collect()
-    assert all((r["verdict"] == "block") == bool(r["y"]) for r in hosts)
+
+
+HELD_OUT = {
+    1: "https://vegas-casinospins.example/free-slots https://www.superbet.example/odds/live http://jackpotpalace.example/bonus https://kasino-bonus.example/freispiele https://pornhubby.example/xxx/video7 http://livesexchat.example/cams https://buy-viagra-now.example/no-prescription https://pills-cheap.example/order https://fullcrack-keygens.example/download/serial http://warezdownload.example/crack https://free-bitcoin-profit.example/earn https://loan-instant-payday.example/apply https://replica-bags-cheap.example/sale http://claim-your-prize.example/winner https://casino-gratuit.example/bonus-sans-depot https://apuestas-bono.example/casino",
+    0: "https://university-press.example/catalogue/history http://stadtmuseum.example/ausstellung/kunst https://www.village-school.example/calendar/term https://meteorology.example/forecast/weekend https://cuisine-maison.example/recettes/soupe http://libros.example/biblioteca/novelas https://botanical-garden.example/visit/opening-hours https://docs.compiler.example/reference/manual https://council.example/planning/minutes https://physics.example/lectures/notes https://wandern.example/berge/routen https://orchestra.example/concerts/season http://hospital-info.example/consultation https://gambling-help.example/support/families https://linux-users.example/forum/install https://atlas.example/maps/rivers",
+}
+
+
+def test_urls_of_unseen_words(spark):
+    """Hosts and paths that the labelled table doesn't hold; most are judged right, of both kinds."""
+    known = {u for table in (url_filter.BLOCKED, url_filter.ALLOWED) for u in table.split()}
+    rows = [(u, kind) for kind, urls in HELD_OUT.items() for u in urls.split()]
+    assert not {u.split("://")[1] for u, _ in rows} & known
+    model = url_filter.fit_urls(url_filter.labelled_urls(spark))
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "url string, y int"), model, (), key="y").collect()
+    for kind, verdict in ((1, "block"), (0, "allow")):
+        assert sum(r["verdict"] == verdict for r in got if r["y"] == kind) >= 14, [(r["host"], r["score"]) for r in got if r["y"] == kind]
+    train = url_filter.judge_urls(url_filter.labelled_urls(spark).withColumnRenamed("blocked", "y"), model, (), key="y").collect()
+    assert sum((r["verdict"] == "block") == bool(r["y"]) for r in train) > 0.97 * len(train)
+    assert url_filter.fit_urls(url_filter.labelled_urls(spark).limit(0)).intercept == 0
+    clash = spark.createDataFrame([("http://a.com/x", 1, "c"), ("http://a.com/x", 1, "c"), (None, None, "c"), ("http://" + "a" * 100_000 + "/", 2, "c")], "url string, page_id long, host string").withColumns({c: F.lit("clash") for c in ("key", "rule", "score", "verdict")})
+    assert url_filter.judge_urls(clash, model, queries.URL_RULES).count() == 4 and url_filter.judge_urls(clash.limit(0), model, queries.URL_RULES).count() == 0
 
 
 def test_pipeline(spark, tmp_path):
