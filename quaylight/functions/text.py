@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no topic in a headline.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "were", "with")
+#: Words that carry no topic in a headline; fixed values.
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "will", "with", "after", "before", "says", "said", "update")
 
 #: Named and numbered signs of HTML that pages use; the ampersand comes last, so that nothing is resolved twice.  Fixed values.
 ENTITIES = {

@@ -112,6 +112,16 @@ def opposed(theses: DataFrame) -> DataFrame:
     return theses.join(other, ["subject", "horizon", "direction"], "left_semi").select("thesis_id")
 
 
+#: Gates that a thesis passes by itself; the last one, opposition, takes another thesis.
+OWN_GATES = ("status_ok", "score_ok", "scenarios_ok", "risks_ok", "evidence_ok", "falsification_ok", "actionability_ok")
+
+
+def order() -> list[Column]:
+    """Best theses first: by whether there is an opportunity, eligibility, then six measures; unknown ones last."""
+    measures = ("expected_value", "opportunity", "confidence", "catalyst", "neglect", "last_evaluated")
+    return [(F.col("opportunity") > 0).desc_nulls_last(), F.col("eligible").desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in measures], F.asc("thesis_id")]
+
+
 def rank(theses: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
     """The first thesis of each subject, direction and horizon, by the given order; the best ``limit`` with their ``place``."""
     first = Window.partitionBy("subject", "direction", "horizon").orderBy(*order)

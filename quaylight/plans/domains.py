@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaylight.functions.numeric import percent_change, ratio
@@ -100,11 +102,14 @@ def ths07_opportunity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 THESES_SQL = """t AS (SELECT c_custkey AS thesis_id, CASE WHEN c_custkey % 5 = 0 THEN 'c:' || lower(c_name) ELSE 's:s' || (c_custkey // 3) END AS subject, CASE WHEN c_custkey % 2 = 0 THEN 'long' ELSE 'short' END AS direction,
-  CASE WHEN c_custkey % 7 < 5 THEN 'near' ELSE 'far' END AS horizon, CASE WHEN c_custkey % 13 <> 0 THEN c_acctbal END AS expected_value, c_mktsegment <> 'MACHINERY' AS status_ok, coalesce(c_acctbal > 0, false) AS score_ok FROM customer),
+  CASE WHEN c_custkey % 7 < 5 THEN 'near' ELSE 'far' END AS horizon, CASE WHEN c_custkey % 13 <> 0 THEN round(c_acctbal / 10) END AS expected_value, CASE WHEN c_custkey % 37 <> 0 THEN round(c_acctbal / 100) END AS opportunity,
+  CASE WHEN c_custkey % 19 <> 0 THEN (c_custkey % 17) / 17.0 END AS confidence, (c_custkey % 7) / 7.0 AS catalyst, CASE WHEN c_custkey % 23 <> 0 THEN (c_custkey % 11) / 11.0 END AS neglect,
+  (SELECT max(o_orderdate) FROM orders WHERE o_custkey = c_custkey) AS last_evaluated, c_mktsegment <> 'MACHINERY' AS status_ok, coalesce(round(c_acctbal / 100) > 0 AND c_custkey % 37 <> 0, false) AS score_ok, c_custkey % 6 <> 0 AS actionability_ok FROM customer),
 g AS (SELECT t.*, EXISTS (SELECT 1 FROM orders WHERE o_custkey = thesis_id AND o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') HAVING count(DISTINCT o_orderpriority) = 3) AS scenarios_ok,
+  EXISTS (SELECT 1 FROM orders WHERE o_custkey = thesis_id AND o_orderpriority = '4-NOT SPECIFIED') AS risks_ok,
   EXISTS (SELECT 1 FROM orders WHERE o_custkey = thesis_id AND o_orderkey % 9 <> 0 AND o_orderkey % 10 > 2) AS evidence_ok,
   coalesce((SELECT arg_max(o_orderstatus, (o_orderdate, o_orderkey)) FROM orders WHERE o_custkey = thesis_id) <> 'F', false) AS falsification_ok FROM t),
-e AS (SELECT *, status_ok AND score_ok AND scenarios_ok AND evidence_ok AND falsification_ok AS base FROM g),
+e AS (SELECT *, status_ok AND score_ok AND scenarios_ok AND risks_ok AND evidence_ok AND falsification_ok AND actionability_ok AS base FROM g),
 o AS (SELECT *, EXISTS (SELECT 1 FROM e b WHERE b.thesis_id <> e.thesis_id AND b.base AND b.horizon = e.horizon AND b.subject = e.subject AND b.direction <> e.direction) AS opposition_ok FROM e)"""
 
 
@@ -113,35 +118,34 @@ def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     t = table(spark, sf_dir, "customer").select(
         k.alias("thesis_id"), F.when(k % 5 != 0, F.concat(F.lit("S"), F.floor(k / 3).cast("string"))).alias("symbol"), F.col("c_name").alias("company"), F.when(k % 2 == 0, "long").otherwise("short").alias("direction"),
-        F.when(k % 7 < 5, "near").otherwise("far").alias("horizon"), F.when(k % 13 != 0, F.col("c_acctbal")).alias("expected_value"), (F.col("c_mktsegment") != "MACHINERY").alias("status_ok"), (F.col("c_acctbal") > 0).alias("score_ok"),
-    ).withColumn("subject", theses.subject_key())
+        F.when(k % 7 < 5, "near").otherwise("far").alias("horizon"), F.when(k % 13 != 0, F.round(F.col("c_acctbal") / 10)).alias("expected_value"), F.when(k % 37 != 0, F.round(F.col("c_acctbal") / 100)).alias("opportunity"),
+        F.when(k % 19 != 0, (k % 17) / 17.0).alias("confidence"), ((k % 7) / 7.0).alias("catalyst"), F.when(k % 23 != 0, (k % 11) / 11.0).alias("neglect"), (F.col("c_mktsegment") != "MACHINERY").alias("status_ok"), (k % 6 != 0).alias("actionability_ok"),
+    ).withColumns({"subject": theses.subject_key(), "score_ok": F.col("opportunity") > 0})
     p = F.col("o_orderpriority")
     facts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("thesis_id")).agg(
-        (F.countDistinct(F.when(p.isin("1-URGENT", "2-HIGH", "3-MEDIUM"), p)) == 3).alias("scenarios_ok"), F.bool_or((F.col("o_orderkey") % 9 != 0) & (F.col("o_orderkey") % 10 > 2)).alias("evidence_ok"),
+        (F.countDistinct(F.when(p.isin("1-URGENT", "2-HIGH", "3-MEDIUM"), p)) == 3).alias("scenarios_ok"), F.bool_or(p == "4-NOT SPECIFIED").alias("risks_ok"), F.max("o_orderdate").alias("last_evaluated"), F.bool_or((F.col("o_orderkey") % 9 != 0) & (F.col("o_orderkey") % 10 > 2)).alias("evidence_ok"),
         (F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")) != "F").alias("falsification_ok"),
     )
-    gates = ["status_ok", "score_ok", "scenarios_ok", "evidence_ok", "falsification_ok"]
-    t = t.join(facts, "thesis_id", "left").withColumns({g: F.coalesce(g, F.lit(False)) for g in gates})
-    ok = F.lit(True)
-    for g in gates:
-        ok = ok & F.col(g)
-    t = t.withColumn("eligible", ok)
+    t = t.join(facts, "thesis_id", "left").withColumns({g: F.coalesce(g, F.lit(False)) for g in theses.OWN_GATES})
+    t = t.withColumn("eligible", reduce(Column.__and__, [F.col(g) for g in theses.OWN_GATES]))
     facing = theses.opposed(t).withColumn("opposition_ok", F.lit(True))
     return t.join(facing, "thesis_id", "left").withColumn("opposition_ok", F.coalesce("opposition_ok", F.lit(False)))
 
 
-@query(f"WITH {THESES_SQL} SELECT thesis_id, status_ok, score_ok, scenarios_ok, evidence_ok, falsification_ok, opposition_ok, base AND opposition_ok AS eligible FROM o")
+@query(f"WITH {THESES_SQL} SELECT thesis_id, status_ok, score_ok, scenarios_ok, risks_ok, evidence_ok, falsification_ok, actionability_ok, opposition_ok, base AND opposition_ok AS eligible FROM o")
 def ths08_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = gated(spark, sf_dir)
-    return g.select("thesis_id", "status_ok", "score_ok", "scenarios_ok", "evidence_ok", "falsification_ok", "opposition_ok", (F.col("eligible") & F.col("opposition_ok")).alias("eligible"))
+    return g.select("thesis_id", *theses.OWN_GATES, "opposition_ok", (F.col("eligible") & F.col("opposition_ok")).alias("eligible"))
+
+
+_RANK_SQL = "(opportunity > 0) DESC NULLS LAST, (base AND opposition_ok) DESC NULLS LAST, expected_value DESC NULLS LAST, opportunity DESC NULLS LAST, confidence DESC NULLS LAST, catalyst DESC NULLS LAST, neglect DESC NULLS LAST, last_evaluated DESC NULLS LAST, thesis_id"
 
 
-@query(f"""WITH {THESES_SQL}, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject, direction, horizon ORDER BY score_ok DESC, (base AND opposition_ok) DESC, expected_value DESC NULLS LAST, thesis_id) AS rn FROM o) WHERE rn = 1)
-SELECT thesis_id, subject, direction, horizon, row_number() OVER (ORDER BY score_ok DESC, (base AND opposition_ok) DESC, expected_value DESC NULLS LAST, thesis_id) AS place FROM c ORDER BY place LIMIT 50""")
+@query(f"""WITH {THESES_SQL}, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject, direction, horizon ORDER BY {_RANK_SQL}) AS rn FROM o) WHERE rn = 1)
+SELECT thesis_id, subject, direction, horizon, row_number() OVER (ORDER BY {_RANK_SQL}) AS place FROM c ORDER BY place LIMIT 50""")
 def ths08_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = [F.desc("score_ok"), F.desc("eligible"), F.col("expected_value").desc_nulls_last(), F.asc("thesis_id")]
     t = gated(spark, sf_dir).withColumn("eligible", F.col("eligible") & F.col("opposition_ok"))
-    return theses.rank(t, order, 50).select("thesis_id", "subject", "direction", "horizon", "place")
+    return theses.rank(t, theses.order(), 50).select("thesis_id", "subject", "direction", "horizon", "place")
 
 
 @query("""SELECT c_mktsegment AS group_name, count(*) AS theses, count(*) FILTER (c_acctbal > 5000) AS strong, round(avg(c_acctbal), 6) AS mean_value, max(c_acctbal) AS best FROM customer GROUP BY 1""")

@@ -83,11 +83,10 @@ def rxn08_path_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reaction.path_states(m, ["event_id", "symbol"], "minutes")
 
 
-@query(f"""WITH {ASKS_SQL}, s AS (SELECT a.event_id, a.symbol, epoch_us(t.ts) // 900000000 AS slot, t.ts, t.close FROM asks a JOIN ticks t ON t.symbol = a.symbol AND t.ts < a.ts AND t.ts >= a.ts - INTERVAL 3 HOUR
-  WHERE a.event_id % 10 = 0)
+@query(f"""WITH {ASKS_SQL}, s AS (SELECT a.event_id, a.symbol, epoch_us(t.ts) // 900000000 AS slot, t.ts, t.close FROM asks a JOIN ticks t ON t.symbol = a.symbol AND t.ts < a.ts AND t.ts >= a.ts - INTERVAL 3 HOUR)
 SELECT event_id, symbol, slot * 900 AS slot_s, arg_max(close, ts) AS close FROM s GROUP BY ALL""")
 def rxn09_bucket_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asks = events(spark, sf_dir).filter("event_id % 10 = 0").crossJoin(F.broadcast(instruments(spark)))
+    asks = events(spark, sf_dir).crossJoin(F.broadcast(instruments(spark)))
     s = asof.ticks_before(asks, ticks(spark, sf_dir).select("symbol", "ts", "close"), ["symbol"], "ts", ["close"], 3 * 3600)
     return s.groupBy("event_id", "symbol", bucket("tick_ts", 900).alias("slot_s")).agg(F.max_by("close", "tick_ts").alias("close"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaylight.functions import text
+from quaylight.operators import stories
 from quaylight.plans.base import TICKS_SQL, query
 from quaylight.sources.scratch import Scratch
 from quaylight.sources.sinks import Table
@@ -49,5 +50,9 @@ def stm09_last_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stm10_cluster_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stories in keyed state: order decides, so there is no SQL form; a test holds it to the batch operator."""
     docs = streams.stream(spark, f"{sf_dir}/documents.parquet").filter("text is not null")
-    items = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") * 3600.0).alias("at"), text.title_tokens(F.substring("text", 1, 80)).alias("tokens"), "source", F.coalesce("lang", F.lit("")).alias("block"))
-    return streams.run_into(streams.cluster_stories(items, ["block"], 259200.0 * 40, 0.3), Scratch(spark, "stm10"), "clusters")
+    title = F.substring_index("text", "\n", 1)
+    items = docs.select(
+        F.col("doc_id").alias("id"), (F.col("doc_id") * 3600.0).alias("at"), text.title_tokens(title).alias("tokens"), "source", stories.is_denial(title).alias("denial"),
+        F.array("source").alias("entities"), F.array_compact(F.array("lang")).alias("markets"), F.coalesce("lang", F.lit("")).alias("block"),
+    )
+    return streams.run_into(streams.cluster_stories(items, ["block"], 259200.0, 0.55), Scratch(spark, "stm10"), "clusters")

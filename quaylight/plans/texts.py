@@ -11,13 +11,13 @@ from quaylight.operators import keys, stories
 from quaylight.plans.base import query, table
 
 STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
-#: A title is the first 80 characters of a document; its time, an hour for each number.
-TITLES_SQL = f"""titles AS (SELECT doc_id AS id, source, lang, substring(text, 1, 80) AS title, doc_id * 3600 AS at FROM documents WHERE text IS NOT NULL),
+#: A title is the whole first line of a document; its time, an hour for each number.
+TITLES_SQL = f"""titles AS (SELECT doc_id AS id, source, lang, string_split(text, chr(10))[1] AS title, doc_id * 3600 AS at FROM documents WHERE text IS NOT NULL),
 tok AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN ({STOP}))) AS tokens FROM titles)"""
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), "source", "lang", F.substring("text", 1, 80).alias("title"), (F.col("doc_id") * 3600).alias("at"))
+    d = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), "source", "lang", F.substring_index("text", "\n", 1).alias("title"), (F.col("doc_id") * 3600).alias("at"))
     return d.withColumn("tokens", text.title_tokens(F.col("title")))
 
 
@@ -26,42 +26,48 @@ def fn12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles(spark, sf_dir).select("id", F.array_join(F.array_sort("tokens"), " ").alias("tokens"), F.size("tokens").alias("n"))
 
 
+WINDOW = 259200.0
 SCORES_SQL = TITLES_SQL + """, j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.tokens, b.tokens)) AS shared, len(list_distinct(list_concat(a.tokens, b.tokens))) AS whole, a.at - b.at AS apart, a.source = b.source AS same, a.lang = b.lang AS tongue
-  FROM tok a JOIN tok b ON a.id % 20 = 0 AND a.id <> b.id AND b.at <= a.at AND a.at - b.at <= 259200 AND list_has_any(a.tokens, b.tokens)),
+  FROM tok a JOIN tok b ON a.id <> b.id AND b.at <= a.at AND a.at - b.at <= 259200 AND list_has_any(a.tokens, b.tokens)),
 scores AS (SELECT a, b, round(0.65 * shared / whole + CASE WHEN same THEN 0.2 ELSE 0 END + CASE WHEN coalesce(tongue, false) THEN 0.1 ELSE 0 END + 0.05 * greatest(0, 1 - apart / 259200), 8) AS score FROM j)"""
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def story_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = titles(spark, sf_dir).withColumns({"entities": F.array("source"), "markets": F.array_compact(F.array("lang"))})
-    return stories.score_against(t.filter("id % 20 = 0"), t, 259200.0, 0.0)
+    return t.withColumns({"at": F.col("at").cast("double"), "denial": stories.is_denial(F.col("title")), "block": F.coalesce("lang", F.lit(""))})
 
 
-@query(f"WITH {SCORES_SQL} SELECT * FROM scores")
+@query(f"WITH {SCORES_SQL} SELECT * FROM scores WHERE a % 100 = 0")
 def sty01_pair_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).withColumn("score", F.round("score", 8))
+    t = story_items(spark, sf_dir)
+    return stories.score_against(t.filter("id % 100 = 0"), t, WINDOW, 0.0).withColumn("score", F.round("score", 8))
 
 
-@query(f"WITH {SCORES_SQL} SELECT a, arg_min(b, (-score, b)) AS b, max(score) AS score FROM scores WHERE score >= 0.3 GROUP BY a")
+@query(f"WITH {SCORES_SQL} SELECT a, arg_min(b, (-score, b)) AS b, max(score) AS score FROM scores WHERE score >= 0.55 GROUP BY a")
 def sty02_best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(spark, sf_dir).withColumn("score", F.round("score", 8)).filter("score >= 0.3")
+    """The best story of three days for each item; a pair that reaches the threshold shares a word, as all else gives 0.35."""
+    t = story_items(spark, sf_dir)
+    s = stories.score_against(t, t, WINDOW, 0.5).withColumn("score", F.round("score", 8)).filter("score >= 0.55")
     return s.groupBy("a").agg(F.min_by("b", F.struct(-F.col("score"), "b")).alias("b"), F.max("score").alias("score"))
 
 
 @query()
 def sty02_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stories by order of arrival, in blocks of a source and language: each item depends on those before it."""
-    return stories.cluster_blocks(titles(spark, sf_dir).withColumn("at", F.col("at").cast("double")), ["lang", "source"], 259200.0 * 40, 0.3)
+    """Stories of all sources by order of arrival, a language at a time: each item depends on those before it."""
+    return stories.cluster_blocks(story_items(spark, sf_dir), ["block"], WINDOW, 0.55)
 
 
 _LANE_SQL = ", ".join(f"'{w}'" for w in stories.FILING_WORDS), ", ".join(f"'{w}'" for w in stories.MACRO_WORDS)
 
 
-@query(f"""WITH {TITLES_SQL}, c AS (SELECT *, (id % 10) / 10.0 AS confidence, id % 4 AS sources, (id % 7) / 7.0 AS importance FROM tok)
-SELECT id, CASE WHEN confidence < 0.55 OR sources <= 1 THEN 'low_confidence' WHEN list_has_any(tokens, [{_LANE_SQL[0]}]) THEN 'filings_regulators' WHEN list_has_any(tokens, [{_LANE_SQL[1]}]) THEN 'macro_central_banks'
-  WHEN importance >= 0.75 THEN 'market_moving' ELSE 'developing' END AS lane, contains(array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' '), 'not true') AS denial FROM c""")
+@query(f"""WITH {TITLES_SQL}, c AS (SELECT *, (id % 10) / 10.0 AS confidence, id % 4 AS sources, (id % 7) / 7.0 AS importance, CASE WHEN id % 11 = 0 THEN ['denied', 'sec'] WHEN id % 6 = 0 THEN ['rates'] ELSE [] END AS tags FROM tok)
+SELECT id, CASE WHEN confidence < 0.55 OR sources <= 1 THEN 'low_confidence' WHEN list_has_any(tokens || tags, [{_LANE_SQL[0]}]) THEN 'filings_regulators' WHEN list_has_any(tokens || tags, [{_LANE_SQL[1]}]) THEN 'macro_central_banks'
+  WHEN coalesce(source IN ('src1', 'src2'), false) THEN 'watchlist_related' WHEN importance >= 0.75 THEN 'market_moving' ELSE 'developing' END AS lane, contains(array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' '), 'not true') OR list_contains(tags, 'denied') AS denial FROM c""")
 def sty03_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("id")
-    return titles(spark, sf_dir).select(k, stories.lane(F.col("tokens"), (k % 10) / 10.0, k % 4, (k % 7) / 7.0).alias("lane"), stories.is_denial(F.col("title")).alias("denial"))
+    tags = F.when(k % 11 == 0, F.array(F.lit("denied"), F.lit("sec"))).when(k % 6 == 0, F.array(F.lit("rates"))).otherwise(F.array().cast("array<string>"))
+    watched = F.coalesce(F.col("source").isin("src1", "src2"), F.lit(False))
+    return titles(spark, sf_dir).select(k, stories.lane(F.col("tokens"), tags, watched, (k % 10) / 10.0, k % 4, (k % 7) / 7.0).alias("lane"), stories.is_denial(F.col("title"), tags).alias("denial"))
 
 
 @query(f"""WITH {TITLES_SQL} SELECT id, sha256('{{"date":"2024-01-01","tokens":[' || array_to_string(list_transform(list_slice(list_sort(tokens), 1, 16), lambda w: '"' || w || '"'), ',') || ']}}') AS story_key FROM tok""")
@@ -77,10 +83,10 @@ def dup01_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stories.prefer_primary(r, "h", "prim", "doc_id", "source").select("doc_id", "source", "aliases")
 
 
-@query("""WITH f AS (SELECT md5(substring(text, 1, 80)) AS item, doc_id, source FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND doc_id >= 20)
+@query("""WITH f AS (SELECT md5(text) AS item, doc_id, source FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)
 SELECT item, max(doc_id) AS doc_id, arg_max(source, doc_id) AS source FROM f GROUP BY item""")
 def dup02_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "documents").filter("text is not null and source is not null and doc_id >= 20").select(F.md5(F.substring("text", 1, 80)).alias("item"), "doc_id", "source")
+    f = table(spark, sf_dir, "documents").filter("text is not null and source is not null").select(F.md5("text").alias("item"), "doc_id", "source")
     return f.groupBy("item").agg(F.max("doc_id").alias("doc_id"), F.max_by("source", "doc_id").alias("source"))
 
 
@@ -99,22 +105,33 @@ def res03_acceleration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.join(m, "key").groupBy("key").agg(F.count("*").alias("mentions"), late.alias("acceleration"))
 
 
-EDGES_SQL = "edges AS (SELECT DISTINCT l_suppkey AS f, l_partkey % 500 + 1 AS t FROM lineitem WHERE l_orderkey % 50 = 0)"
+#: A link is a line of the largest quantity; the starts are the suppliers with the largest balances.
+EDGES_SQL = "edges AS (SELECT DISTINCT l_suppkey AS f, l_partkey % 500 + 1 AS t FROM lineitem WHERE l_quantity >= 50)"
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, p(path, last, depth) AS (SELECT '|' || s || '|' || t || '|', t, 1 FROM (SELECT DISTINCT f AS s FROM edges WHERE f % 25 = 1) JOIN edges ON f = s WHERE t <> s
+@query(f"""WITH RECURSIVE {EDGES_SQL}, p(path, last, depth) AS (SELECT '|' || s || '|' || t || '|', t, 1 FROM (SELECT DISTINCT f AS s FROM edges JOIN supplier ON s_suppkey = f WHERE s_acctbal > 9000) JOIN edges ON f = s WHERE t <> s
   UNION ALL SELECT path || t || '|', t, depth + 1 FROM p JOIN edges ON f = last WHERE depth < 3 AND NOT contains(path, '|' || t || '|'))
 SELECT replace(trim(path, '|'), '|', '>') AS path, depth FROM p""")
 def res06_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0").select(F.col("l_suppkey").alias("from_node"), (F.col("l_partkey") % 500 + 1).alias("to_node")).distinct()
-    return stories.paths(e, e.filter("from_node % 25 = 1").select(F.col("from_node").alias("node")).distinct(), 3)
+    e = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50").select(F.col("l_suppkey").alias("from_node"), (F.col("l_partkey") % 500 + 1).alias("to_node")).distinct()
+    starts = table(spark, sf_dir, "supplier").filter("s_acctbal > 9000").select(F.col("s_suppkey").alias("node"))
+    return stories.paths(e, starts, 3)
 
 
-@query("""SELECT o_custkey, count(*) AS evidence, count(DISTINCT o_orderpriority) AS sources, CASE WHEN date_diff('day', max(o_orderdate)::DATE, DATE '1998-08-01') > 90 THEN 'dormant'
-  WHEN count(*) FILTER (o_orderstatus = 'P') * 2 > count(*) THEN 'contested' WHEN count(*) >= 5 AND count(DISTINCT o_orderpriority) >= 3 THEN 'established' WHEN count(*) >= 3 AND count(DISTINCT o_orderpriority) >= 2 THEN 'developing' ELSE 'emerging' END AS state FROM orders GROUP BY 1""")
+@query("""WITH g AS (SELECT o_custkey, count(*) AS evidence, count(DISTINCT o_orderpriority) AS sources, date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) AS persistence,
+  count(DISTINCT date_trunc('month', o_orderdate)) AS snapshots, bool_or(o_orderstatus = 'P') AND bool_or(o_totalprice > 150000) AND bool_or(o_orderstatus = 'F') AND bool_or(o_orderpriority = '1-URGENT') AS complete,
+  greatest(0, date_diff('day', max(o_orderdate)::DATE, DATE '1998-08-01')) AS quiet FROM orders GROUP BY 1)
+SELECT o_custkey, evidence, sources, CASE WHEN o_custkey % 29 = 0 OR quiet >= 120 THEN 'archived' WHEN quiet >= 45 THEN 'weakening' WHEN evidence >= 10 AND snapshots >= 3 AND complete THEN 'mature'
+  WHEN evidence >= 6 AND sources >= 2 AND complete THEN 'research_ready' WHEN evidence >= 5 AND sources >= 2 AND persistence >= 7 THEN 'corroborated' WHEN evidence >= 3 THEN 'forming' ELSE 'candidate' END AS state FROM g""")
 def res07_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("evidence"), F.countDistinct("o_orderpriority").alias("sources"), F.count_if(F.col("o_orderstatus") == "P").alias("no"), F.datediff(F.lit("1998-08-01"), F.to_date(F.max("o_orderdate"))).alias("quiet"))
-    return g.select("o_custkey", "evidence", "sources", stories.next_lifecycle(F.col("evidence"), F.col("sources"), F.col("no"), F.col("quiet")).alias("state"))
+    day, status = F.to_date("o_orderdate"), F.col("o_orderstatus")
+    complete = F.bool_or(status == "P") & F.bool_or(F.col("o_totalprice") > 150000) & F.bool_or(status == "F") & F.bool_or(F.col("o_orderpriority") == "1-URGENT")
+    g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.count("*").alias("evidence"), F.countDistinct("o_orderpriority").alias("sources"), F.datediff(F.max(day), F.min(day)).alias("persistence"), F.countDistinct(F.trunc(day, "month")).alias("snapshots"),
+        complete.alias("complete"), F.greatest(F.lit(0), F.datediff(F.lit("1998-08-01"), F.max(day))).alias("quiet"),
+    )
+    current = F.when(F.col("o_custkey") % 29 == 0, "archived").otherwise("candidate")
+    return g.select("o_custkey", "evidence", "sources", stories.next_lifecycle(current, *[F.col(c) for c in ("evidence", "sources", "persistence", "snapshots", "complete", "quiet")]).alias("state"))
 
 
 @query("""SELECT l_orderkey, median(l_quantity) AS overall, min(l_quantity) AS lowest, arg_min(l_linenumber, (l_quantity, l_linenumber)) AS weakest, median(l_quantity) >= 20 AND min(l_quantity) >= 5 AS passed FROM lineitem GROUP BY 1""")

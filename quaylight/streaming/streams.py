@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quaylight.operators import keys
-from quaylight.operators.stories import Clusters
+from quaylight.operators import keys, stories
 from quaylight.sources.scratch import Scratch
 from quaylight.sources.sinks import Table
 
@@ -69,19 +68,20 @@ def keep_last(df: DataFrame, table: Table, by: Sequence[str], ts: str, state: st
 def cluster_stories(items: DataFrame, block: Sequence[str], window_seconds: float, threshold: float) -> DataFrame:
     """``id, cluster, contribution, score``: items join stories of their block; state holds the stories inside the window.
 
-    ``items``: ``id, at, tokens, source`` and the block's columns.  Within a batch items are taken by (at, id).
+    ``items``: the columns of ``stories.ITEM`` and the block's.  Within a batch items are taken by (at, id).
     """
-    state_type = "ids array<long>, seen array<double>, tokens array<string>, sources array<string>"
+    sets = ("tokens", "sources", "entities", "markets")
+    state_type = "ids array<long>, seen array<double>, " + ", ".join(f"{x} array<array<string>>" for x in sets)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stories = []
+        live = []
         if state.exists:
-            stories = [{"id": int(i), "seen": float(s), "tokens": frozenset(t.split(" ")), "sources": set(x.split("\t"))} for i, s, t, x in zip(*state.get, strict=True)]
-        clusters = Clusters(window_seconds, threshold, stories)
+            live = [{"id": int(i), "seen": float(s), **{x: (set if x == "sources" else frozenset)(v) for x, v in zip(sets, of, strict=True)}} for i, s, *of in zip(*state.get, strict=True)]
+        clusters = stories.Clusters(window_seconds, threshold, live)
         rows = pd.concat(list(frames)).sort_values(["at", "id"])
-        out = [(r.id, *clusters.add(int(r.id), float(r.at), frozenset(r.tokens), r.source)) for r in rows.itertuples(index=False)]
+        out = [stories.add_item(clusters, r) for r in rows.itertuples(index=False)]
         now = clusters.stories
-        state.update(([s["id"] for s in now], [s["seen"] for s in now], [" ".join(sorted(s["tokens"])) for s in now], ["\t".join(sorted(s["sources"])) for s in now]))
+        state.update(([s["id"] for s in now], [s["seen"] for s in now], *([sorted(s[x]) for s in now] for x in sets)))
         yield pd.DataFrame(out, columns=["id", "cluster", "contribution", "score"])
 
     return items.groupBy(*block).applyInPandasWithState(run, "id long, cluster long, contribution string, score double", state_type, "append", GroupStateTimeout.NoTimeout)

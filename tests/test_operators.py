@@ -207,3 +207,44 @@ def test_clusters_follow_arrival():
     assert f(2, 10.0, "fed cuts rates", "x")[:2] == (1, "repeated_coverage")
     assert f(3, 20.0, "fed cuts rates", "y")[:2] == (1, "cross_source_confirmation")
     assert f(4, 200.0, "fed cuts rates", "y")[:2] == (4, "origin")
+
+
+def test_clusters_against_a_plain_loop():
+    """Random items in order of arrival; scores, ties, the hundred stories seen last and what each item adds, from scratch."""
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(14)]
+    made, at = [], 0.0
+    for k in range(400):
+        at += float(rng.integers(0, 3))
+        some = lambda n: frozenset(str(x) for x in rng.choice(words, int(rng.integers(0, n)), replace=False))
+        made.append((k, at, some(6) or frozenset(["w0"]), f"s{rng.integers(0, 3)}", bool(rng.random() < 0.1), some(2), some(2)))
+    live: list[dict] = []
+    want = []
+    share = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    for k, now, tokens, source, denial, entities, markets in made:
+        scored = []
+        for s in sorted((s for s in live if now - s["seen"] <= 30), key=lambda s: (s["seen"], s["id"]), reverse=True)[:100]:
+            total = 0.65 * share(tokens, s["tokens"]) + 0.20 * share(entities, s["entities"]) + 0.10 * share(markets, s["markets"]) + 0.05 * (1 - (now - s["seen"]) / 30)
+            scored.append((-round(total, 9), str(s["id"]), s))
+        best = min(scored, key=lambda x: x[:2], default=None)
+        if best is None or -best[0] < 0.55:
+            live.append({"id": k, "seen": now, "tokens": tokens, "sources": {source}, "entities": set(entities), "markets": set(markets)})
+            want.append((k, k, "origin"))
+            continue
+        s = best[2]
+        if denial:
+            kind = "contradiction"
+        elif source not in s["sources"]:
+            kind = "cross_source_confirmation"
+        elif len(tokens - s["tokens"]) >= 0.25 * len(tokens | s["tokens"]) or entities - s["entities"] or markets - s["markets"]:
+            kind = "material_update"
+        else:
+            kind = "repeated_coverage"
+        s["seen"] = now
+        s["sources"].add(source)
+        s["entities"] |= entities
+        s["markets"] |= markets
+        want.append((k, s["id"], kind))
+    c = stories.Clusters(30.0, 0.55)
+    assert [(m[0], *c.add(*m)[:2]) for m in made] == want
+    assert len({x[2] for x in want}) == 5

@@ -99,7 +99,7 @@ def test_tables(spark, tmp_path):
 
 def test_stream_equals_batch(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text is not null")
-    items = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") * 3600.0).alias("at"), text.title_tokens(F.substring("text", 1, 80)).alias("tokens"), "source", F.coalesce("lang", F.lit("")).alias("block"))
+    items = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") * 3600.0).alias("at"), text.title_tokens(F.substring_index("text", "\n", 1)).alias("tokens"), "source", (F.col("doc_id") % 17 == 0).alias("denial"), F.array("source").alias("entities"), F.array_compact(F.array("lang")).alias("markets"), F.coalesce("lang", F.lit("")).alias("block"))
     for k, (a, b) in enumerate(((0, 80), (80, 150), (150, 10**9))):
         items.filter(f"id >= {a} and id < {b}").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     (tmp_path / "flat").mkdir()
