@@ -16,70 +16,65 @@ from quaylight.functions.times import micros
 DAY = 86_400
 
 
-def asof_before(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], strict: bool = True, seconds: int | None = None, bucket_seconds: int = DAY) -> DataFrame:
-    """``events`` with the ``values`` and time (``tick_ts``) of the last tick before each (or at it, if not ``strict``).
+def _last_tick(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], seconds: int | None, offset_seconds: int | Column = 0, strict: bool = False, forward: bool = False, least: bool = False, bucket_seconds: int = DAY) -> DataFrame:
+    """Event rows with the last tick up to each one's time plus the offset, or, ``forward``, with the first from there on.
 
-    ``seconds`` bounds the tick's age, the bound included.  Without a tick the added columns are null.  Of ticks at one
-    time the one with the greatest values counts.
+    Looking forward is looking back along time run backwards.  Of ticks at one time the one with the greatest values
+    counts, or the ``least``.
     """
-    by, size = list(by), bucket_seconds * 1_000_000
+    by, size, sign = list(by), bucket_seconds * 1_000_000, -1 if forward else 1
     picked = F.struct(F.col(ts).alias("tick_ts"), *values)
-    tick = ticks.select(*by, F.col(ts), micros(ts).alias("__at"), picked.alias("__tick"))
-    tick = tick.groupBy(*by, "__at").agg(F.max("__tick").alias("__tick")).withColumn("__bucket", F.floor(F.col("__at") / size))
+    tick = ticks.select(*by, (micros(ts) * sign).alias("__at"), picked.alias("__tick"))
+    tick = tick.groupBy(*by, "__at").agg((F.min if least else F.max)("__tick").alias("__tick")).withColumn("__bucket", F.floor(F.col("__at") / size))
     columns = events.columns
-    event = events.withColumns({"__at": micros(ts), "__row": F.struct(*columns)}).withColumn("__bucket", F.floor(F.col("__at") / size))
+    event = events.withColumns({"__at": (micros(ts) + offset_seconds * 1_000_000) * sign, "__row": F.struct(*columns)}).withColumn("__bucket", F.floor(F.col("__at") / size))
     # at one time, a tick counts for the event only if it may be as late as the event
     both = tick.select(*by, "__bucket", "__at", "__tick", F.lit(1 if strict else 0).alias("__side"), F.lit(None).cast(event.schema["__row"].dataType).alias("__row"))
     both = both.unionByName(event.select(*by, "__bucket", "__at", F.lit(None).cast(tick.schema["__tick"].dataType).alias("__tick"), F.lit(0 if strict else 1).alias("__side"), "__row"))
     w = Window.partitionBy(*by, "__bucket").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("__tick", F.last("__tick", ignorenulls=True).over(w)).filter(F.col("__row").isNotNull())
     # the last tick of each bucket, and for each bucket with events the last one before it
-    last = tick.groupBy(*by, "__bucket").agg(F.max("__tick").alias("__tick"))
+    last = tick.groupBy(*by, "__bucket").agg(F.max_by("__tick", "__at").alias("__tick"))
     ends = last.withColumn("__asks", F.lit(False)).unionByName(event.select(*by, "__bucket").distinct().withColumns({"__tick": F.lit(None).cast(tick.schema["__tick"].dataType), "__asks": F.lit(True)}))
     earlier = Window.partitionBy(*by).orderBy("__bucket").rangeBetween(Window.unboundedPreceding, -1)
     carried = ends.withColumn("__carried", F.last("__tick", ignorenulls=True).over(earlier)).filter("__asks").select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate([*by, "__bucket"])], "__carried")
     on = [F.col(c).eqNullSafe(F.col(f"__c{i}")) for i, c in enumerate([*by, "__bucket"])]
     out = found.join(carried, on, "left").withColumn("__tick", F.coalesce("__tick", "__carried"))
     if seconds is not None:
-        old = F.col("__at") - F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', __tick.tick_ts)") > seconds * 1_000_000
-        out = out.withColumn("__tick", F.when(~old, F.col("__tick")))
+        age = F.col("__at") - F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', __tick.tick_ts)") * sign
+        out = out.withColumn("__tick", F.when(age <= seconds * 1_000_000, F.col("__tick")))
     return out.select(*[F.col("__row")[c].alias(c) for c in columns], *[F.col("__tick")[c].alias(c) for c in ("tick_ts", *values)])
 
 
-def _near(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], seconds: int, offset_seconds: int | Column) -> DataFrame:
-    """Event rows (as ``__row``, with ``__id``) and the ticks in the neighbouring buckets of their target time."""
-    size = seconds * 1_000_000
-    event = events.withColumns({"__at": micros(ts) + offset_seconds * 1_000_000, "__row": F.struct(*events.columns), "__id": F.monotonically_increasing_id()})
-    low = F.floor(F.col("__at") / size)
-    event = event.select(*by, "__at", "__row", "__id", F.explode(F.array(low - 1, low, low + 1)).alias("__bucket"))
-    tick = ticks.select(*by, micros(ts).alias("__tick_at"), F.struct(F.col(ts).alias("tick_ts"), *values).alias("__tick")).withColumn("__bucket", F.floor(F.col("__tick_at") / size))
-    return event.join(tick, [*by, "__bucket"], "left").withColumn("__gap", F.col("__tick_at") - F.col("__at"))
-
+def asof_before(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], strict: bool = True, seconds: int | None = None, bucket_seconds: int = DAY) -> DataFrame:
+    """``events`` with the ``values`` and time (``tick_ts``) of the last tick before each (or at it, if not ``strict``).
 
-def _pick(joined: DataFrame, columns: Sequence[str], values: Sequence[str], order) -> DataFrame:
-    best = joined.groupBy("__id").agg(F.first("__row").alias("__row"), F.min_by("__tick", order).alias("__tick"))
-    return best.select(*[F.col("__row")[c].alias(c) for c in columns], *[F.col("__tick")[c].alias(c) for c in ("tick_ts", *values)])
+    ``seconds`` bounds the tick's age, the bound included.  Without a tick the added columns are null.  Of ticks at one
+    time the one with the greatest values counts.
+    """
+    return _last_tick(events, ticks, by, ts, values, seconds, strict=strict, bucket_seconds=bucket_seconds)
 
 
 def asof_after(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], seconds: int, offset_seconds: int | Column = 0) -> DataFrame:
     """The first tick from ``offset_seconds`` after each event on, up to ``seconds`` later, both bounds included."""
-    joined = _near(events, ticks, by, ts, values, seconds, offset_seconds)
-    ok = (F.col("__gap") >= 0) & (F.col("__gap") <= seconds * 1_000_000)
-    return _pick(joined, events.columns, values, F.when(ok, F.struct("__gap", "__tick")))
+    return _last_tick(events, ticks, by, ts, values, seconds, offset_seconds, forward=True, least=True)
 
 
 def asof_until(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], seconds: int, offset_seconds: int | Column = 0) -> DataFrame:
     """The last tick up to ``offset_seconds`` after each event, no more than ``seconds`` earlier, both bounds included."""
-    joined = _near(events, ticks, by, ts, values, seconds, offset_seconds)
-    ok = (F.col("__gap") <= 0) & (F.col("__gap") >= -seconds * 1_000_000)
-    return _pick(joined, events.columns, values, F.when(ok, F.struct(-F.col("__gap"), "__tick")))
+    return _last_tick(events, ticks, by, ts, values, seconds, offset_seconds, least=True)
 
 
 def nearest(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], seconds: int, offset_seconds: int | Column = 0) -> DataFrame:
     """The tick nearest to ``offset_seconds`` after each event within ``seconds``; of two as near, the earlier."""
-    joined = _near(events, ticks, by, ts, values, seconds, offset_seconds)
-    ok = F.abs("__gap") <= seconds * 1_000_000
-    return _pick(joined, events.columns, values, F.when(ok, F.struct(F.abs("__gap"), "__tick_at", "__tick")))
+    columns, added = events.columns, ("tick_ts", *values)
+    before = _last_tick(events, ticks, by, ts, values, seconds, offset_seconds, least=True)
+    before = before.select(*columns, F.struct(*added).alias("__before"))
+    both = _last_tick(before, ticks, by, ts, values, seconds, offset_seconds, forward=True, least=True).withColumn("__after", F.struct(*added))
+    at = micros(ts) + offset_seconds * 1_000_000
+    gap = lambda t: F.abs(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {t}.tick_ts)") - at)
+    earlier = F.col("__before.tick_ts").isNotNull() & (F.col("__after.tick_ts").isNull() | (gap("__before") <= gap("__after")))
+    return both.withColumn("__tick", F.when(earlier, F.col("__before")).otherwise(F.col("__after"))).select(*columns, *[F.col("__tick")[c].alias(c) for c in added])
 
 
 def ticks_before(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], seconds: int) -> DataFrame:

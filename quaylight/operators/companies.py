@@ -103,3 +103,45 @@ def annual_facts(facts: DataFrame, concepts: Sequence[str], units: Sequence[str]
     w = Window.partitionBy("company").orderBy(F.desc("period_end"))
     two = once.withColumn("__rank", F.row_number().over(w)).withColumn("prior", F.lead("value").over(w))
     return two.filter("__rank = 1").drop("__rank")
+
+
+def ratios(m: dict[str, Column]) -> dict[str, Column]:
+    """Ratios of a company's metrics by name; a missing or zero denominator gives null.
+
+    Prices over something take a positive one; a price, value or result of zero counts as missing.
+    """
+    over = lambda a, b: F.when(m[b] != 0, m[a] / m[b])
+    some = lambda c: F.when(c != 0, c)
+    price, shares = some(m["price"]), some(m["shares"])
+    cap = F.coalesce(m["market_cap"], price * shares)
+    value = cap + some(m["net_debt"])
+    per = lambda a, b: F.when((a != 0) & (b > 0), a / b)
+    return {
+        "roe": over("net_income", "equity"), "roa": over("net_income", "assets"), "debt_to_equity": over("debt", "equity"), "current_ratio": over("current_assets", "current_liabilities"),
+        "fcf_conversion": over("fcf", "net_income"), "net_margin_pct": over("net_income", "revenue") * 100, "pe": F.coalesce(per(price, m["eps"]), F.when(~F.coalesce((price != 0) & (m["eps"] > 0), F.lit(False)), per(cap, m["net_income"]))),
+        "pfcf": per(cap, m["fcf"]), "ev_ebitda": per(value, m["ebitda"]), "ev_revenue": per(value, m["revenue"]),
+    }
+
+
+def signals(m: dict[str, Column], strength: dict[str, Column], guidance: Column) -> dict[str, Column]:
+    """The eleven rule signals of a report.  ``m``: metrics and, as ``prior_``, those before; ``strength``: how a report speaks of a topic."""
+    change = lambda x: F.when(m[f"prior_{x}"] != 0, (m[x] - m[f"prior_{x}"]) / F.abs(m[f"prior_{x}"]) * 100)
+    steps = lambda c, high: F.when(c.isNull(), 0).when(c >= high, 2).when(c > 0, 1).when(c < -10, -2).otherwise(-1)
+    revenue, inventory, backlog = change("revenue"), change("inventory"), change("backlog")
+    margin, before = m["fcf_margin"], m["prior_fcf_margin"]
+    gross, gross_before = m["gross_margin"], m["prior_gross_margin"]
+    grown = (m["fcf"] != 0) & (m["prior_fcf"] != 0) & (m["fcf"] > m["prior_fcf"])
+    said = lambda x, usual: F.when(strength[x] == "strong", 2).when(strength[x].isin("present", "moderate", "high", "raised"), usual).otherwise(0)
+    return {
+        "revenue": steps(revenue, 10), "capex": steps(change("capex"), 15), "fcf": F.when(margin > before, 2).when(grown, 1).when(margin < before, -2).otherwise(0),
+        "gross_margin_delta": F.when((gross >= 60) | (gross > gross_before), 1).when(gross < gross_before, -1).otherwise(0),
+        "inventory_vs_revenue": F.when(inventory > revenue + 10, -2).when(inventory <= revenue, 1).otherwise(0), "backlog": F.when(backlog > 0, 1).when(backlog < 0, -1).otherwise(0),
+        "ai_demand": said("ai_demand", 2), "data_centre_demand": said("data_centre_demand", 1), "supply_constraints": said("supply_constraints", 1), "pricing_power": said("pricing_power", 1),
+        "guidance_direction": F.when(guidance == "up", 2).when(guidance == "down", -2).otherwise(0),
+    }
+
+
+def stage(score: Column, comparable: Column, analyses: Column, news: Column, pe: Column) -> Column:
+    """Stage of a company by its score of 0 to 10; the high ones take comparable figures, maturity a history and a price."""
+    base = F.when(score < 2, "monitor").when((score < 5) | ~comparable, "forming").when(score < 8, "confirmed").otherwise("accelerating")
+    return F.when(base.isin("confirmed", "accelerating") & (analyses >= 2) & (news >= 3) & F.coalesce(pe >= 25, F.lit(False)), "mature").otherwise(base)

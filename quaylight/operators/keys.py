@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,3 +78,27 @@ def as_known(df: DataFrame, cutoff: Column, event: str, *available: str) -> Data
 def retain(df: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
     """Rows of the last ``days`` days."""
     return df.filter(F.col(ts) >= now - F.make_dt_interval(F.lit(days)))
+
+
+def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, shares: Mapping[str, float], slices: int = 1024) -> DataFrame:
+    """``by`` and one column for each named share: exact percentiles, interpolated between neighbours; nulls don't count.
+
+    Equal values are counted first.  The counts of ``slices`` even parts of each group's range tell in which part a rank
+    lies; only the values of those parts are put in order, so that no task orders a whole group.
+    """
+    by = list(by)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    groups = counts.groupBy(*by).agg(F.sum("__n").alias("__total"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    part = F.least(F.lit(slices - 1), F.floor(F.try_divide(F.col("__v") - F.col("__low"), F.col("__high") - F.col("__low")) * slices))
+    placed = counts.join(F.broadcast(groups) if not by else groups, by).withColumn("__part", F.coalesce(part, F.lit(0))).select(*by, "__part", "__v", "__n")
+    sums = placed.groupBy(*by, "__part").agg(F.sum("__n").alias("__n"))
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = lambda p: (F.col("__total") - 1) * F.lit(float(p))
+    wanted = groups.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), place(p).alias("at"), r(place(p)).cast("long").alias("rank"), F.lit(k).alias("side")) for n, p in shares.items() for k, r in enumerate((F.floor, F.ceil))])).alias("__w"))
+    found = wanted.join(sums, by).filter("__w.rank >= __before and __w.rank < __before + __n").select(*by, "__w", "__part", "__before")
+    some = placed.join(found.select(*by, "__part").distinct(), [*by, "__part"], "left_semi")
+    some = some.withColumn("__to", F.sum("__n").over(Window.partitionBy(*by, "__part").orderBy("__v")))
+    hit = found.join(some, [*by, "__part"]).filter("__w.rank < __before + __to and __w.rank >= __before + __to - __n")
+    ends = hit.groupBy(*by, F.col("__w.name").alias("__name")).agg(F.max(F.when(F.col("__w.side") == 0, F.col("__v"))).alias("__a"), F.max(F.when(F.col("__w.side") == 1, F.col("__v"))).alias("__b"), F.max("__w.at").alias("__at"))
+    between = F.col("__a") + (F.col("__b") - F.col("__a")) * (F.col("__at") - F.floor("__at"))
+    return ends.groupBy(*by).agg(*[F.max(F.when(F.col("__name") == n, between)).alias(n) for n in shares])

@@ -88,3 +88,15 @@ def bands(value: Column, cuts: Sequence[tuple[float, str]], last: str) -> Column
     for bound, name in reversed(cuts):
         out = F.when(value < bound, name).otherwise(out)
     return F.when(value.isNotNull(), out)
+
+
+def statements(series: DataFrame, by: list[str], at: str, value: str, still: float) -> DataFrame:
+    """``by, at, statement``: each observation in words against the one before it; less than ``still`` is no move."""
+    w = Window.partitionBy(*by).orderBy(at)
+    before, since, now = F.lag(value).over(w), F.lag(at).over(w), F.col(value)
+    whole = lambda c: F.round(c).cast("long").cast("string")
+    held = F.concat(F.lit(" held at "), whole(now), F.lit(" versus "), whole(before), F.lit(" over the prior observation"))
+    moved = F.concat(F.when(now > before, " rose ").otherwise(" fell "), whole(F.abs(now - before)), F.lit(" over the prior observation to "), whole(now), F.lit(" from "), whole(before))
+    said = F.when(before.isNull(), " has no prior observation").when(F.abs(now - before) < still, held).otherwise(moved)
+    span = F.coalesce(F.concat(F.lit(" ("), since.cast("string"), F.lit(" to "), F.col(at).cast("string"), F.lit(")")), F.lit(""))
+    return series.select(*by, at, F.concat(*by, said, span, F.lit(".")).alias("statement"))

@@ -122,7 +122,7 @@ def grid(ticks: DataFrame, bars: DataFrame, recent: int = 12) -> DataFrame:
     """
     ticks = ticks.filter(is_finite("close"))
     last = ticks.groupBy("symbol").agg(F.max("ts").alias("last_ts"))
-    near = ticks.join(F.broadcast(last), "symbol")
+    near = ticks.join(last, "symbol")
     ago = F.when(F.col("ts") <= F.col("last_ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(5)), F.col("ts"))
     day = F.when(F.col("ts") >= F.date_trunc("day", "last_ts").cast("timestamp_ntz"), F.col("ts"))
     out = near.groupBy("symbol").agg(F.max_by("close", "ts").alias("last"), F.max_by("close", ago).alias("ago_5m"), F.min_by("close", day).alias("day_open"), F.count(day).alias("samples"))

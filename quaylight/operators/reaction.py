@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaylight.functions.numeric import percent_change
@@ -194,3 +194,16 @@ def sessions(spark: SparkSession, first: dt.date, last: dt.date) -> DataFrame:
         rows.append((venue, day, open_, close, close - open_, before))
         before += close - open_
     return spark.createDataFrame(rows, "venue string, day date, open_minute int, close_minute int, minutes int, minutes_before long")
+
+
+def session_close_after(calendar: DataFrame, rows: DataFrame, ts: str) -> DataFrame:
+    """``rows`` with ``target``: the first close of the venue after the moment; null beyond the calendar.
+
+    Each day of the calendar gets its own close and that of the next session, so rows look up one bounded table by day.
+    """
+    days = calendar.select("day", (F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("close_minute"))).alias("close"))
+    span = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day")).join(days, "day", "left")
+    later = Window.orderBy("day").rowsBetween(1, Window.unboundedFollowing)
+    table = span.select("day", "close", F.min("close").over(later).alias("next_close"))
+    asked = rows.withColumn("day", F.to_date(ts)).join(F.broadcast(table), "day", "left")
+    return asked.withColumn("target", F.when(F.col("close") > F.col(ts), F.col("close")).otherwise(F.col("next_close"))).drop("day", "close", "next_close")

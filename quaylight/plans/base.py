@@ -50,6 +50,10 @@ CHAIN_SQL = """chain AS (SELECT p_brand AS symbol, p_partkey AS contract, p_reta
   CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_partkey % 1000 END AS volume FROM part),
 spot AS (SELECT symbol, round(avg(strike), 4) AS spot FROM chain GROUP BY symbol)"""
 
+#: Weekdays on which the venue stays closed in the months of the events, for the SQL side; the operator derives them by rule.
+CALENDAR_SQL = """days AS (SELECT day::DATE AS day, isodow(day) < 6 AND day NOT IN (DATE '2023-12-25', DATE '2024-01-01', DATE '2024-01-15', DATE '2024-02-19') AS open FROM range(DATE '2023-12-01', DATE '2024-03-02', INTERVAL 1 DAY) t(day)),
+calendar AS (SELECT day, open, coalesce(sum(CASE WHEN open THEN 390 ELSE 0 END) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM days)"""
+
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"), "user_id", "props")

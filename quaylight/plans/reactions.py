@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quaylight.functions.times import business_days, bucket, micros, week_window
 from quaylight.operators import asof, reaction
-from quaylight.plans.base import TICKS_SQL, query, table, ticks
+from quaylight.plans.base import CALENDAR_SQL, TICKS_SQL, query, table, ticks
 
 INSTRUMENTS = ("click", "view")
 HORIZONS_SQL = "(VALUES " + ", ".join(f"('{n}', {m})" for n, m in reaction.HORIZONS) + ") h(horizon, minutes)"
@@ -111,9 +111,10 @@ def rxn12_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.filter(F.col("target_at").isNull() & due).select("event_id", "symbol", "horizon")
 
 
-@query()
+@query(f"""WITH {CALENDAR_SQL}, e AS (SELECT event_id, ts, ts::DATE AS day FROM events WHERE event_type = 'signup')
+SELECT event_id, e.day, CASE WHEN open THEN greatest(0, 960 - greatest(hour(ts) * 60 + minute(ts), 570)) ELSE 0 END AS minutes_left, coalesce(open, false) AS trading_day FROM e LEFT JOIN calendar c ON c.day = e.day""")
 def rxn13_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trading minutes from each event to its session's close; the calendar's rules have no SQL form."""
+    """Trading minutes from each event to its session's close."""
     calendar = reaction.sessions(spark, dt.date(2023, 12, 1), dt.date(2024, 3, 1))
     e = events(spark, sf_dir).withColumn("day", F.to_date("ts")).join(F.broadcast(calendar), "day", "left")
     minute = F.hour("ts") * 60 + F.minute("ts")

@@ -82,7 +82,8 @@ def agg08_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1""")
 def agg14_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    p = keys.exact_percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    return p.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("""WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS turn FROM documents) SELECT doc_id, turn FROM r ORDER BY turn, lang NULLS FIRST, source NULLS FIRST, doc_id LIMIT 40""")
@@ -275,14 +276,6 @@ def mac13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("series_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("rn", part.alias("p"))))["p"], ","), 256).alias("fingerprint"))
 
 
-@query("""SELECT s_suppkey, round(s_acctbal / nullif(s_nationkey, 0), 6) AS ratio_a, CASE WHEN s_acctbal > 5000 THEN 2 WHEN s_acctbal > 0 THEN 1 ELSE 0 END + CASE WHEN s_nationkey < 10 THEN 3 ELSE 0 END AS score,
-  CASE WHEN CASE WHEN s_acctbal > 5000 THEN 2 WHEN s_acctbal > 0 THEN 1 ELSE 0 END + CASE WHEN s_nationkey < 10 THEN 3 ELSE 0 END >= 4 THEN 'strong' ELSE 'watch' END AS stage FROM supplier""")
-def inv05_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, n = F.col("s_acctbal"), F.col("s_nationkey")
-    score = F.when(b > 5000, 2).when(b > 0, 1).otherwise(0) + F.when(n < 10, 3).otherwise(0)
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(ratio(b, n), 6).alias("ratio_a"), score.alias("score"), F.when(score >= 4, "strong").otherwise("watch").alias("stage"))
-
-
 @query("""WITH d AS (SELECT source, doc_id // 50 AS day, count(*) AS reports, count(DISTINCT lang) AS langs, round(avg(n_chars), 4) AS score FROM documents GROUP BY ALL) SELECT source, day, reports, langs, score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY day DESC) AS rn FROM d) WHERE rn <= 48""")
 def inv09_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").groupBy("source", F.expr("doc_id div 50").alias("day")).agg(F.count("*").alias("reports"), F.countDistinct("lang").alias("langs"), F.round(F.avg("n_chars"), 4).alias("score"))

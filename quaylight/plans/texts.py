@@ -161,7 +161,8 @@ def src15_page_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(F.col("page_id").cast("string"), 256).alias("id_hash"), F.trim(F.regexp_replace("url", "#.*$", "")).alias("no_fragment"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '\1', 'g') AS u FROM pages), b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(u, '&{2,}', '&', 'g'), '\?&', '?', 'g'), '[?&/]+$', '') AS u FROM a)
+SELECT page_id, lower(regexp_extract(u, '^([a-zA-Z]+://[^/?]*)', 1)) || substring(u, length(regexp_extract(u, '^([a-zA-Z]+://[^/?]*)', 1)) + 1) AS url FROM b""")
 def src15_canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.canonical_url(F.col("url")).alias("url"))
 
