@@ -81,11 +81,13 @@ def win10_distinct_on(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT o_custkey, o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_custkey, o_orderpriority
   ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders)
-SELECT o_custkey, round(sum(o_totalprice * pow(0.5, rn - 1)), 1) AS mass, count(*) AS n FROM r GROUP BY o_custkey""")
+SELECT o_custkey, round(sum(round(o_totalprice * 100) * pow(2.0, 21 - rn)) / 104857600, 1) AS mass, count(*) AS n FROM r GROUP BY o_custkey""")
 def win11_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("o_custkey", "o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
     r = table(spark, sf_dir, "orders").withColumn("rn", F.row_number().over(w))
-    return r.groupBy("o_custkey").agg(F.round(F.sum(F.col("o_totalprice") * F.pow(F.lit(0.5), F.col("rn") - 1)), 1).alias("mass"), F.count("*").alias("n"))
+    # whole numbers of cents times powers of two: their sum is the same in any order
+    cents = F.sum(F.round(F.col("o_totalprice") * 100) * F.pow(F.lit(2.0), 21 - F.col("rn")))
+    return r.groupBy("o_custkey").agg(F.round(cents / 104857600, 1).alias("mass"), F.count("*").alias("n"))
 
 
 def _signups(spark: SparkSession, sf_dir: str) -> DataFrame:
