@@ -43,9 +43,25 @@ def numeric_tokens(text: Column) -> Column:
 
 
 def redact_secrets(text: Column) -> Column:
-    """Passwords in URLs and values of named secrets become ``***``."""
-    text = F.regexp_replace(text, r"(://[^:/@ ]+):[^@/ ]+@", "$1:***@")
-    return F.regexp_replace(text, r"(?i)\b(api[_-]?key|token|password|secret)([=:])[^ &]+", "$1$2***")
+    """White space collapses; passwords in URLs and values of named secrets become ``[REDACTED]``.  The names are fixed values."""
+    text = F.regexp_replace(collapse_space(text), r"(://[^:/@\s]+:)[^@\s]+@", "$1[REDACTED]@")
+    return F.regexp_replace(text, r"(?i)\b(password|passwd|pwd|token|api[_-]?key|secret)(\s*[=:]\s*)[^\s,;]+", "$1$2[REDACTED]")
+
+
+def mail_or_iso_time(text: Column) -> Column:
+    """A time as mail headers (with or without the day's name) or ISO 8601 write it, in UTC; without a zone it is UTC; else null."""
+    zone = F.regexp_replace(F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", ""), r"(GMT|UTC|UT|Z)$", "+0000")
+    mail = [F.try_to_timestamp(zone, F.lit(f"d MMM yyyy HH:mm{s} Z")) for s in (":ss", "")]
+    iso = F.when(F.trim(text).rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.trim(text)))
+    return F.coalesce(*mail, iso)
+
+
+def loose_number(text: Column) -> Column:
+    """A number as tables print it: ``$``, commas and a per cent sign go, brackets negate; ``N/A``, ``--`` and non-finite ones are null."""
+    bare = F.rtrim(F.regexp_replace(F.trim(text), "[$,]", ""), F.lit("%"))
+    inner = F.regexp_extract(bare, r"^\((.*)\)$", 1)
+    number = F.when(inner != "", -inner.try_cast("double")).otherwise(bare.try_cast("double"))
+    return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
 
 
 def canonical_url(url: Column) -> Column:

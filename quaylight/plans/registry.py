@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaylight.plans import desk, domains, kernel, reactions, relations, states, streams, texts  # noqa: F401
+from quaylight.plans import desk, domains, evidence, files, kernel, reactions, relations, states, streams, texts  # noqa: F401
 from quaylight.plans.base import ORACLES, QUERIES, Query
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaylight.functions.numeric import ratio
-from quaylight.functions.text import canonical_url, visible_text
+from quaylight.functions.text import canonical_url, loose_number, mail_or_iso_time, visible_text
 from quaylight.operators.options import occ_symbol
 
 
@@ -24,17 +24,19 @@ def macro_csv(spark: SparkSession, path: str, series_id: str, date: str, value:
     return out.filter("observed_at is not null and value is not null")
 
 
-def macro_vintages(spark: SparkSession, path: str, series_id: str, date: str = "date") -> DataFrame:
+def macro_vintages(spark: SparkSession, path: str, series_id: str | None, date: str = "date") -> DataFrame:
     """``series_id, observed_at, vintage, value, is_revision`` of JSON rows with a column for each vintage.
 
     A point stands for a missing value.  A vintage's column ends in its date (``NAME_20240131``); the second known value
-    of an observation and later ones that differ from the one before are revisions.
+    of an observation and later ones that differ from the one before are revisions.  Without a ``series_id`` the rows
+    have a column of that name.
     """
     rows = spark.read.json(path)
-    names = [c for c in rows.columns if c != date]
-    long = rows.select(F.col(date).alias("observed_at"), *[F.col(c).cast("string").alias(c) for c in names]).unpivot(["observed_at"], names, "name", "text")
+    names = [c for c in rows.columns if c not in (date, "series_id")]
+    name = F.lit(series_id) if series_id is not None else F.col("series_id")
+    long = rows.select(name.alias("series_id"), F.col(date).alias("observed_at"), *[F.col(c).cast("string").alias(c) for c in names]).unpivot(["series_id", "observed_at"], names, "name", "text")
     vintage = F.try_to_date(F.regexp_extract("name", r"(\d{8})$", 1), "yyyyMMdd")
-    known = long.select(F.lit(series_id).alias("series_id"), F.to_date("observed_at").alias("observed_at"), vintage.alias("vintage"), F.nullif("text", F.lit(".")).try_cast("double").alias("value")).filter("value is not null")
+    known = long.select("series_id", F.to_date("observed_at").alias("observed_at"), vintage.alias("vintage"), F.nullif("text", F.lit(".")).try_cast("double").alias("value")).filter("value is not null")
     from quaylight.operators.keys import versions
 
     found = versions(known, ["series_id", "observed_at"], "vintage", "value")
@@ -152,12 +154,52 @@ def feed_items(spark: SparkSession, path: str, kind: str) -> DataFrame:
         rows = rows.withColumn("title", F.col("`news:news`.`news:title`"))
     else:
         raise ValueError(f"unknown kind of feed: {kind}")
-    mail = F.regexp_replace(F.regexp_replace(F.trim(at), "^[A-Za-z]{3}, *", ""), "(GMT|UTC|Z)$", "+0000")
-    when = F.coalesce(F.try_to_timestamp(at), F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")))
+    when = mail_or_iso_time(at)
     url = canonical_url(link)
     return rows.select(F.sha2(url, 256).alias("id"), F.trim("title").alias("title"), url.alias("url"), when.alias("published_at"), visible_text(summary).alias("summary"))
 
 
+_ROW = "struct<positions:string,holders:string,shares:string>"
+_SECTION = f"struct<rows:array<{_ROW}>>"
+_FIELD = "struct<value:string>"
+_TYPED = "struct<label:string,holders:double,shares:double>"
+HOLDINGS = (
+    f"struct<data:struct<ownershipSummary:struct<SharesOutstandingPCT:{_FIELD},ShareoutstandingTotal:{_FIELD},TotalHoldingsValue:{_FIELD}>,activePositions:{_SECTION},newSoldOutPositions:{_SECTION},"
+    "holdingsTransactions:struct<table:struct<rows:array<struct<ownerName:string,date:string,sharesHeld:string,sharesChange:string,sharesChangePCT:string,marketValue:string>>>>>>"
+)
+
+
+def holdings(payloads: DataFrame, keep: Sequence[str], json: str = "payload") -> DataFrame:
+    """``keep..., ownership_percent, shares_millions, value_millions, active, changed`` of payloads of institutional holdings.
+
+    ``active`` and ``changed`` are lists of ``label, holders, shares``; rows without a label or without any number go.
+    """
+    data = payloads.select(*keep, F.from_json(json, HOLDINGS)["data"].alias("d"))
+    summary = lambda c: loose_number(F.col(f"d.ownershipSummary.{c}.value"))
+
+    def rows(section: str) -> Column:
+        typed = F.transform(F.col(f"d.{section}.rows"), lambda r: F.struct(F.replace(F.lower(F.trim(r["positions"])), F.lit(" "), F.lit("_")).alias("label"), loose_number(r["holders"]).alias("holders"), loose_number(r["shares"]).alias("shares")))
+        return F.coalesce(F.filter(typed, lambda r: (r["label"] != "") & F.coalesce(r["holders"], r["shares"]).isNotNull()), F.array().cast(f"array<{_TYPED}>"))
+
+    return data.select(*keep, summary("SharesOutstandingPCT").alias("ownership_percent"), summary("ShareoutstandingTotal").alias("shares_millions"), summary("TotalHoldingsValue").alias("value_millions"), rows("activePositions").alias("active"), rows("newSoldOutPositions").alias("changed"))
+
+
+def top_holders(payloads: DataFrame, keep: Sequence[str], json: str = "payload", most: int = 10) -> DataFrame:
+    """``keep..., place, holder, reported, shares_held, shares_change, change_percent, value``: the first ``most`` rows that name a holder."""
+    rows = payloads.select(*keep, F.posexplode(F.slice(F.from_json(json, HOLDINGS)["data"]["holdingsTransactions"]["table"]["rows"], 1, most)).alias("place", "r"))
+    numbers = {"sharesHeld": "shares_held", "sharesChange": "shares_change", "sharesChangePCT": "change_percent", "marketValue": "value"}
+    out = rows.select(*keep, "place", F.trim("r.ownerName").alias("holder"), F.nullif(F.trim("r.date"), F.lit("")).alias("reported"), *[loose_number(F.col(f"r.{a}")).alias(b) for a, b in numbers.items()])
+    return out.filter("holder <> ''")
+
+
+def short_interest(payloads: DataFrame, keep: Sequence[str], json: str = "payload", most: int = 24) -> DataFrame:
+    """``keep..., settled, shares, daily_volume, days_to_cover`` of the first ``most`` rows of payloads; rows without a date go."""
+    schema = "struct<data:struct<shortInterestTable:struct<rows:array<struct<settlementDate:string,interest:string,avgDailyShareVolume:string,daysToCover:string>>>>>"
+    rows = payloads.select(*keep, F.explode(F.slice(F.from_json(json, schema)["data"]["shortInterestTable"]["rows"], 1, most)).alias("r"))
+    out = rows.select(*keep, F.try_to_date(F.trim("r.settlementDate"), "MM/dd/yyyy").alias("settled"), *[loose_number(F.col(f"r.{a}")).alias(b) for a, b in (("interest", "shares"), ("avgDailyShareVolume", "daily_volume"), ("daysToCover", "days_to_cover"))])
+    return out.filter("settled is not null")
+
+
 def relevant(items: DataFrame, sections: Sequence[str], keywords: Sequence[str]) -> DataFrame:
     """Items whose URL has one of the sections or whose title one of the keywords as a word."""
     by_section = F.lit(False)

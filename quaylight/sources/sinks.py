@@ -81,16 +81,70 @@ class Table:
         self.write(ended.unionByName(changed))
 
 
-def write_together(batches: Mapping[str, tuple[Table, DataFrame]], schemas: Mapping[str, str]) -> None:
-    """All batches are checked and staged before the first is committed; a wrong schema writes nothing."""
-    for name, (_, df) in batches.items():
+class Manifest:
+    """Several tables in one folder, changed together: one row names the version of each, so readers see all or none.
+
+    One writer at a time.  Staged files of a batch whose row was never written are read by nobody.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._names = Table(spark, f"{self.folder}/manifest")
+
+    def _current(self) -> dict[str, str]:
+        """Folder by table: one row for each table."""
+        rows = self._names.read()
+        return {} if rows is None else {r["name"]: r["folder"] for r in rows.collect()}
+
+    def read(self, name: str) -> DataFrame | None:
+        folder = self._current().get(name)
+        return None if folder is None else self.spark.read.parquet(folder)
+
+    def write(self, batches: Mapping[str, DataFrame], schemas: Mapping[str, str]) -> None:
+        """All batches are checked and staged before the one commit; a wrong schema writes nothing.  Other tables stay."""
+        check_schemas(batches, schemas)
+        now = self._current()
+        for name, df in batches.items():
+            table = Table(self.spark, f"{self.folder}/{name}")
+            now[name] = f"{table.folder}/{table.stage(df)}"
+        self._names.write(self.spark.createDataFrame(sorted(now.items()), "name string, folder string").coalesce(1))
+
+
+def check_schemas(batches: Mapping[str, DataFrame], schemas: Mapping[str, str]) -> None:
+    for name, df in batches.items():
         if name in schemas and df.schema.simpleString() != df.sparkSession.createDataFrame([], schemas[name]).schema.simpleString():
             raise ValueError(f"{name}: {df.schema.simpleString()} isn't {schemas[name]}")
+
+
+def write_together(batches: Mapping[str, tuple[Table, DataFrame]], schemas: Mapping[str, str]) -> None:
+    """Batches for tables with commits of their own: all are checked and staged before the first commit.
+
+    A writer lost between commits leaves the rest undone; ``Manifest`` commits all by one row.
+    """
+    check_schemas({name: df for name, (_, df) in batches.items()}, schemas)
     staged = [(table, table.stage(df)) for table, df in batches.values()]
     for table, name in staged:
         table.commit(name)
 
 
+def merge_json(spark: SparkSession, folder: str, items: DataFrame, by: str, order: str) -> DataFrame:
+    """Merges items into a table of JSON rows: of each key the row latest by ``order`` stays, of equal ones the new one.
+
+    Items without a key are left out.  Readers see the old rows or the new ones, never a part.
+    """
+    names = Table(spark, f"{folder.rstrip('/')}/manifest")
+    last = names.read()
+    fresh = items.filter(F.col(by).isNotNull() & (F.col(by).cast("string") != "")).withColumn("__new", F.lit(1))
+    if last is not None:
+        old = spark.read.schema(items.schema).json(last.first()["folder"])
+        fresh = old.withColumn("__new", F.lit(0)).unionByName(fresh)
+    kept = keys.latest_by(fresh, [by], [F.col(order).desc_nulls_last(), F.col("__new").desc()]).drop("__new")
+    target = f"{folder.rstrip('/')}/rows-{uuid.uuid4().hex[:12]}"
+    kept.write.option("ignoreNullFields", "false").json(target)
+    names.write(spark.createDataFrame([(target,)], "folder string").coalesce(1))
+    return spark.read.schema(items.schema).json(target)
+
+
 def scrub(df: DataFrame, ts: str, cutoff: str, columns: Sequence[str]) -> DataFrame:
     """Named columns become null in rows that ended before the cutoff."""
     old = F.col(ts) < F.lit(cutoff).cast("timestamp_ntz")

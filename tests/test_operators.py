@@ -120,7 +120,7 @@ def test_numeric(spark):
 
 def test_text(spark):
     assert one(spark, text.canonical_url(F.lit("HTTPS://Ex.COM/A/?utm_source=x&id=2&ref=3#top"))) == "https://ex.com/A/?id=2"
-    assert one(spark, text.redact_secrets(F.lit("http://me:pw@h/x token=abc&b=1"))) == "http://me:***@h/x token=***&b=1"
+    assert one(spark, text.redact_secrets(F.lit("http://me:pw@h/x\n token: abc,b  API-key=q;"))) == "http://me:[REDACTED]@h/x token: [REDACTED],b API-key=[REDACTED];"
     assert one(spark, text.title_tokens(F.lit("The Fed, the ECB and a 25bp cut: FED!"))) == ["fed", "ecb", "25bp", "cut"]
     assert one(spark, text.jaccard(F.array(F.lit("a")), F.array().cast("array<string>"))) == 0.0
 
