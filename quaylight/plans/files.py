@@ -135,3 +135,32 @@ def fn22_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, form in enumerate(forms):
         raw = F.when(F.col("event_id") % 5 == k, F.date_format("ts", form)).otherwise(raw)
     return table(spark, sf_dir, "events").select("event_id", text.mail_or_iso_time(raw).cast("timestamp_ntz").alias("at"))
+
+
+@query("""SELECT s_suppkey AS company, 'k' || k AS concept, u AS unit, DATE '2023-01-01' AS period_start, DATE '2023-12-31' AS period_end, DATE '2024-02-01' + k::INT AS filed, CASE WHEN u = 'USD' THEN s_acctbal / 1000000 WHEN u = 'shares' THEN s_suppkey::DOUBLE / 1000000 ELSE 1.25 END AS value,
+  CASE u WHEN 'USD' THEN 'USDm' WHEN 'shares' THEN 'million shares' ELSE 'USD/share' END AS scaled_unit FROM supplier, (SELECT unnest(range(3)) AS k, unnest(['USD', 'shares', 'USD/shares']) AS u)""")
+def src20_company_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payload of tagged facts for each supplier; facts of a segment, of other filings or without a number don't count."""
+    k = F.col("s_suppkey")
+    fact = lambda n, value, segment=None, accession=F.lit("f1"): F.struct(F.lit("2023-01-01").alias("start"), F.lit("2023-12-31").alias("end"), value.cast("string").alias("val"), accession.alias("accn"), F.lit(f"2024-02-0{n + 1}").alias("filed"), F.lit(segment).cast("string").alias("segment"))
+    facts = [("USD", F.col("s_acctbal")), ("shares", k), ("USD/shares", F.lit(1.25))]
+    entries = lambda n, v: F.array(fact(n, v), fact(n, v, "north"), fact(n, F.lit("x")), fact(n, v, None, F.lit("f0")))
+    concepts = F.create_map(*[x for n, (unit, v) in enumerate(facts) for x in (F.lit(f"k{n}"), F.struct(F.create_map(F.lit(unit), entries(n, v)).alias("units")))])
+    payload = F.to_json(F.struct(F.struct(concepts.alias("us-gaap")).alias("facts")))
+    return readers.company_facts(table(spark, sf_dir, "supplier").select(k.alias("company"), F.lit("f1").alias("filing_id"), payload.alias("payload")), ["company"])
+
+
+@query("""SELECT 'P' || (l_partkey % 30) AS issuer, l_shipdate::DATE AS day, count(DISTINCT 'S' || l_suppkey) AS owners, count(DISTINCT l_orderkey) AS filings, coalesce(sum(l_quantity) FILTER (l_linenumber % 3 = 0), 0) AS bought, coalesce(sum(l_quantity) FILTER (l_linenumber % 3 = 1), 0) AS sold,
+  count(*) FILTER (l_linenumber % 3 = 2) AS other, coalesce(sum(l_quantity * 2) FILTER (l_linenumber % 3 = 0), 0) - coalesce(sum(l_quantity * 2) FILTER (l_linenumber % 3 = 1), 0) AS net_value,
+  coalesce(sum(l_quantity) FILTER (l_linenumber % 3 = 0), 0) - coalesce(sum(l_quantity) FILTER (l_linenumber % 3 = 1), 0) AS net FROM lineitem GROUP BY ALL""")
+def src09_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ownership documents in XML, one for each line of an order: bought, sold or granted."""
+    n = F.col("l_linenumber") % 3
+    value = lambda c, name: F.struct(c.cast("string").alias("value")).alias(name)
+    amounts = F.struct(value(F.col("l_quantity"), "transactionShares"), value(F.lit(2), "transactionPricePerShare"), value(F.when(n == 1, "D").otherwise("A"), "transactionAcquiredDisposedCode"))
+    trade = F.struct(value(F.date_format("l_shipdate", "yyyy-MM-dd"), "transactionDate"), F.struct(F.when(n == 0, "P").when(n == 1, "S").otherwise("M").alias("transactionCode")).alias("transactionCoding"), amounts.alias("transactionAmounts"))
+    docs = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("A"), "l_orderkey").alias("accession"), F.struct(F.concat(F.lit("P"), F.col("l_partkey") % 30).alias("issuerTradingSymbol")).alias("issuer"), F.struct(F.struct(F.concat(F.lit("S"), "l_suppkey").alias("rptOwnerName")).alias("reportingOwnerId")).alias("reportingOwner"),
+        F.struct(F.array(trade).alias("nonDerivativeTransaction")).alias("nonDerivativeTable"),
+    )
+    return readers.insider_days(readers.ownership_xml(spark, written(spark, "src09", docs, "xml", rootTag="all", rowTag="ownershipDocument")))

@@ -200,6 +200,24 @@ def short_interest(payloads: DataFrame, keep: Sequence[str], json: str = "payloa
     return out.filter("settled is not null")
 
 
+def company_facts(payloads: DataFrame, keep: Sequence[str], json: str = "payload", filing: str = "filing_id") -> DataFrame:
+    """``keep..., concept, unit, period_start, period_end, filed, value, scaled_unit`` of payloads of tagged facts.
+
+    Only facts of the payload's own filing count, without a segment and with a finite number.  Money and shares are in
+    millions.  ``companies.annual_facts`` picks concept, unit and periods.
+    """
+    entry = "struct<start:string,end:string,val:string,accn:string,filed:string,segment:string>"
+    schema = f"struct<facts:struct<`us-gaap`:map<string,struct<units:map<string,array<{entry}>>>>>>"
+    by_concept = payloads.select(*keep, filing, F.explode(F.from_json(json, schema)["facts"]["us-gaap"]).alias("concept", "c"))
+    flat = by_concept.select(*keep, filing, "concept", F.explode("c.units").alias("unit", "e")).select(*keep, filing, "concept", "unit", F.explode("e").alias("e"))
+    number = F.col("e.val").try_cast("double")
+    flat = flat.filter((F.col("e.accn") == F.col(filing)) & (F.coalesce("e.segment", F.lit("")) == "") & ~F.isnan(number) & (F.abs(number) < float("inf")))
+    money, shares = F.col("unit").rlike("^[A-Za-z]{3}$"), F.lower("unit") == "shares"
+    unit = F.when(money, F.concat("unit", F.lit("m"))).when(shares, "million shares").when(F.lower("unit").isin("usd/shares", "usd/share"), "USD/share").otherwise(F.col("unit"))
+    day = lambda c: F.try_to_date(f"e.{c}", "yyyy-MM-dd")
+    return flat.select(*keep, "concept", "unit", day("start").alias("period_start"), day("end").alias("period_end"), day("filed").alias("filed"), F.when(money | shares, number / 1_000_000).otherwise(number).alias("value"), unit.alias("scaled_unit"))
+
+
 def relevant(items: DataFrame, sections: Sequence[str], keywords: Sequence[str]) -> DataFrame:
     """Items whose URL has one of the sections or whose title one of the keywords as a word."""
     by_section = F.lit(False)
