@@ -30,7 +30,7 @@ UNCHANGED, EXCERPT = 0.98, 500
 
 def phrases(terms: Column) -> Column:
     """Distinct pairs of neighbouring words that differ, joined by a hyphen; none for fewer than two words."""
-    pairs = F.transform(terms, lambda w, i: F.when(w != F.get(terms, i + 1), F.concat_ws("-", w, F.get(terms, i + 1))))
+    pairs = F.zip_with(terms, F.slice(terms, F.lit(2), F.size(terms)), lambda a, b: F.when(a != b, F.concat_ws("-", a, b)))
     return F.array_distinct(F.array_compact(pairs))
 
 
@@ -98,7 +98,7 @@ def sections(text: Column, patterns: Mapping[str, str] = SECTIONS) -> Column:
 
 def word_pairs(text: Column) -> Column:
     words = F.split(text, " ")
-    return F.array_distinct(F.transform(words, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1))))
+    return F.array_distinct(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def filing_deltas(filings: DataFrame, patterns: Mapping[str, str] = SECTIONS, unchanged: float = UNCHANGED) -> DataFrame:
