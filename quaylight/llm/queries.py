@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylight.llm import byte_bpe, chat, language, licenses, media, near_dedup, packing, repetition, substring_dedup, url_filter
+from quaylight.llm import byte_bpe, chat, divergence, language, licenses, manifest, media, near_dedup, packing, repetition, simhash, substring_dedup, url_filter
 
 #: What both turns of the added conversation say.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -74,9 +74,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_digests(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.dataset_manifest(_table(spark, sf_dir, "documents"), manifest.changed_third(), manifest.small_letters())
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"), least_docs=3, top_terms=200)
+
+
+def op13_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_fingerprint_groups(_table(spark, sf_dir, "documents"), shingle_words=4, distance=4)
+
+
 QUERIES = (
     op1_curve_packing, op2_language_codes, op3_suffix_repetition, op4_chat_windows, op5_superminhash, op6_url_model,
     op7_license_sentences, op8_anchor_dedup, op9_media_tiles, op10_byte_bpe,
+    op11_merkle_manifest, op12_source_divergence, op13_gray_simhash,
 )
 
 
@@ -104,9 +117,55 @@ left_over AS (SELECT w.doc_id, count(*) AS n, count(g.i) AS n_removed, sha256(co
 SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept, sha256('')) AS kept_sha256 FROM documents d LEFT JOIN left_over l ON l.doc_id = d.doc_id"""
 
 
+#: Digest of a column's value in a leaf.
+_FIELD_SQL = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF_SQL = "sha256(" + " || ".join(_FIELD_SQL.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {text})"
+
+#: The levels of trees whose leaves are in ``{leaves}``: ``tree, level, place, h, n``.
+_RISE_SQL = """SELECT tree, 0 AS level, place, h, n FROM {leaves} UNION ALL
+  SELECT tree, level + 1, place // 8, sha256(string_agg(h, '' ORDER BY place)), (n + 7) // 8 FROM {name} WHERE n > 1 GROUP BY tree, level, place // 8, n"""
+
+OP11_SQL = f"""WITH RECURSIVE poly AS (SELECT list(v ORDER BY i) AS remainders FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) t(i))),
+digits AS (SELECT doc_id, list_transform(range(strlen(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i + 1, 1))::BIGINT) AS codes FROM documents),
+sums AS (SELECT doc_id, xor(list_reduce(codes, lambda c, b: xor(c >> 8, remainders[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS crc FROM digits, poly),
+rows_ AS (SELECT doc_id, lang AS tree, {_LEAF_SQL.format(text=_FIELD_SQL.format("text"))} AS h,
+  CASE WHEN crc % 3 = 0 THEN {_LEAF_SQL.format(text=_FIELD_SQL.format(f"translate(text, '{url_filter.UPPER}', '{url_filter.UPPER.lower()}')"))} END AS changed FROM documents JOIN sums USING (doc_id)),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM rows_),
+up AS ({_RISE_SQL.format(leaves="leaves", name="up")}),
+trees AS (SELECT tree AS lang, level AS top, h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS place, count(*) OVER () AS n, 'all' AS tree FROM up WHERE n = 1),
+over AS ({_RISE_SQL.format(leaves="trees", name="over")}),
+nodes AS (SELECT tree AS lang, level, place, place // 8 AS run, h FROM up WHERE n > 1
+  UNION ALL SELECT t.lang, t.top + o.level, o.place, o.place // 8, o.h FROM trees t JOIN over o ON o.n > 1),
+fold AS (SELECT l.doc_id, l.tree AS lang, 0 AS level, l.place, coalesce(l.changed, l.h) AS h, '' AS others FROM leaves l
+  UNION ALL SELECT f.doc_id, f.lang, f.level + 1, any_value(CASE WHEN f.level + 1 = t.top THEN t.place ELSE f.place // 8 END),
+    sha256(string_agg(CASE WHEN n.place = f.place THEN f.h ELSE n.h END, '' ORDER BY n.place)),
+    any_value(f.others) || coalesce(string_agg(n.h, '' ORDER BY n.place) FILTER (n.place <> f.place), '')
+  FROM (SELECT f.*, CASE WHEN f.level = 0 AND t.top = 0 THEN t.place ELSE f.place END AS at FROM fold f JOIN trees t ON t.lang IS NOT DISTINCT FROM f.lang) f
+  JOIN trees t ON t.lang IS NOT DISTINCT FROM f.lang JOIN nodes n ON n.lang IS NOT DISTINCT FROM f.lang AND n.level = f.level AND n.run = f.at // 8
+  GROUP BY f.doc_id, f.lang, f.level),
+ends AS (SELECT doc_id, arg_max(h, level) AS folded, arg_max(others, level) AS others FROM fold GROUP BY doc_id)
+SELECT l.doc_id, l.h AS leaf, t.h AS subroot, r.h AS root, sha256(e.others) AS proof_sha256, e.folded AS folded_root, e.folded = r.h AS verified
+FROM leaves l JOIN trees t ON t.lang IS NOT DISTINCT FROM l.tree JOIN ends e ON e.doc_id = l.doc_id, (SELECT h FROM over WHERE n = 1) r"""
+
+OP12_SQL = f"""WITH texts AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, row_number() OVER () AS doc FROM documents),
+words AS (SELECT lang, source, doc, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), '{url_filter.UPPER}', '{url_filter.UPPER.lower()}') AS term FROM texts),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT doc) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS size FROM kept GROUP BY lang),
+groups_ AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS size FROM (SELECT DISTINCT lang, source FROM texts) g LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+shares AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + {divergence.UNIT} * (coalesce(c.n, 0) + 1) // (g.size + l.v))::BIGINT AS p, (1 + {divergence.UNIT} * (k.n + 1) // (l.size + l.v))::BIGINT AS whole
+  FROM groups_ g JOIN langs l ON l.lang = g.lang JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM groups_ a JOIN groups_ b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - whole) * (p - whole) // whole)::BIGINT AS value FROM shares WHERE n > 0 AND p > whole),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_superminhash": OP5_SQL, "op7_license_sentences": licenses.scan_sql(), "op8_anchor_dedup": OP8_SQL}
+    return {"op5_superminhash": OP5_SQL, "op7_license_sentences": licenses.scan_sql(), "op8_anchor_dedup": OP8_SQL, "op11_merkle_manifest": OP11_SQL, "op12_source_divergence": OP12_SQL}
