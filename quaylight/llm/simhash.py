@@ -32,8 +32,8 @@ BITS = 64
 SEED = 42
 #: Blocks that a fingerprint is cut into besides as many as bits may differ: so many blocks agree at least.
 AGREEING = 2
-#: Fingerprints below a lowest node, and nodes below a higher one.
-LEAF, FANOUT = 16, 8
+#: Fingerprints below a lowest node, nodes below a higher one, and fingerprints of a bucket that needs no nodes.
+LEAF, FANOUT, SMALL = 4, 4, 16
 #: Pairs of nodes that are compared at once.
 PAIRS = 1 << 15
 #: Bytes of a text that are hashed at once, and sorted rows that a task holds, about.
@@ -206,9 +206,9 @@ def _links(prints: np.ndarray, reps: np.ndarray, distance: int) -> tuple[np.ndar
 
 
 def _small_links(bucket: np.ndarray, prints: np.ndarray, reps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within buckets that are a lowest node each, all at once; equal ``bucket`` numbers are neighbours."""
+    """Links within buckets of ``SMALL`` fingerprints at most, all at once; equal ``bucket`` numbers are neighbours."""
     a, b = [], []
-    for step in range(1, LEAF):
+    for step in range(1, SMALL):
         i = np.flatnonzero(bucket[step:] == bucket[:-step])
         if not len(i):
             break
@@ -226,9 +226,9 @@ def _runs(bucket: np.ndarray) -> np.ndarray:
 def _bucket_links(bucket: np.ndarray, prints: np.ndarray, reps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     at = _runs(bucket)
     size = np.diff(at)
-    small = np.repeat(size <= LEAF, size)
+    small = np.repeat(size <= SMALL, size)
     found = [_small_links(bucket[small], prints[small], reps[small], distance)]
-    for k in np.flatnonzero(size > LEAF):
+    for k in np.flatnonzero(size > SMALL):
         found.append(_links(prints[at[k] : at[k + 1]], reps[at[k] : at[k + 1]], distance))
     return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
