@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,3 +88,82 @@ def visible_text(html: Column) -> Column:
 def content_hash(*columns: str) -> Column:
     """SHA-256 of the named columns as JSON with sorted names."""
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that it names several times: the value's own expression is there once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _number_core(text: Column) -> Column:
+    """A printed number's digits and separators."""
+    core = F.regexp_replace(F.translate(text, "\u00a0", " "), r"^[() ]+|[() ]+$", "")
+    core = F.translate(F.regexp_replace(core, r"^[£$€¥]\s*", ""), "− ", "-")
+    return F.regexp_replace(core, r"^[+-]+", "")
+
+
+def report_number(text: Column) -> Column:
+    """A number of a report: brackets or a minus sign negate, a currency's sign goes; groups of thousands must be whole.
+
+    Dashes and ``n/a`` stand for no number, and so does anything else.
+    """
+    shown = F.trim(F.translate(F.replace(F.replace(text, F.lit("&nbsp;"), F.lit(" ")), F.lit("&#160;"), F.lit(" ")), "\u00a0", " "))
+
+    def read(s: Column) -> Column:
+        bare = F.translate(F.regexp_replace(F.regexp_replace(s, r"^[() ]+|[() ]+$", ""), r"^[£$€¥]\s*", ""), "− ", "-")
+        whole = lambda b: b.rlike(r"^[+-]*[^,]*$|^[+-]*[^,.]{0,3}(,[^,.]{3})*(\..*)?$")
+        digits = let(bare, lambda b: F.when(whole(b), F.translate(b, ",", "")))
+        number = let(digits, lambda d: F.when(d.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), d.try_cast("double")))
+        negative = s.startswith("(") & s.endswith(")")
+        return let(number, lambda n: F.when(F.abs(n) < float("inf"), F.when(negative, -n).otherwise(n)))
+
+    return let(shown, read)
+
+
+def _near(a: Column, b: Column) -> Column:
+    """Two values are within threefold of each other, or one is zero."""
+    return (a == 0) | (b == 0) | F.coalesce(F.try_divide(F.abs(a), F.abs(b)).between(1 / 3, 3.0), F.lit(True))
+
+
+def _mended(core: Column, value: Column, other_core: Column, other: Column) -> Column:
+    """The reading of a number without its separators that has the other's decimals and is near it, or null.
+
+    Zeros at its end that exceed the other's width are padding.
+    """
+    all_digits, width = F.translate(core, ",.", ""), F.length(F.translate(other_core, ",.", ""))
+    places = F.when(F.contains(other_core, F.lit(".")), F.length(F.regexp_replace(other_core, r"^[^.]*\.", ""))).otherwise(0)
+
+    def scaled(digits: Column) -> Column:
+        found = F.when(places <= F.length(digits), digits.try_cast("double") / F.pow(F.lit(10.0), places))
+        return let(found, lambda f: F.when(_near(f, other), F.when(value < 0, -f).otherwise(f)))
+
+    def unpadded(d: Column) -> Column:
+        return let(F.regexp_replace(d, "0+$", ""), lambda s: F.when((width > 0) & (F.length(d) > width) & (F.length(s) <= width), s).otherwise(d))
+
+    return let(let(all_digits, unpadded), scaled)
+
+
+def number_pair(current: Column, prior: Column) -> Column:
+    """``[current, prior]`` of two aligned columns, or null where a number can't be told.
+
+    Two values that are more than threefold apart may show a lost separator: a point before three digits or more in one of
+    them only, or a whole number beside one with groups and decimals.  It is mended from the other, or the pair is null.
+    """
+    has = lambda c, sign: F.contains(c, F.lit(sign))
+    lost = lambda c: ~has(c, ",") & c.rlike(r"^(?!0)[^.]*\.\d{3,}$")
+    whole = lambda c, other: ~has(c, ".") & ~has(c, ",") & has(other, ".") & has(other, ",")
+
+    def chosen(s: Column) -> Column:
+        a, b, x, y = s["a"], s["b"], s["x"], s["y"]
+        # which of the two, if one only, lost its separators
+        first = F.when(s["lost_a"] != s["lost_b"], s["lost_a"]).when(~s["lost_a"] & (s["whole_a"] != s["whole_b"]), s["whole_a"])
+
+        def pair(f: Column) -> Column:
+            return F.when(f.isNull(), F.array(a, b)).when(f, F.array(_mended(x, a, y, b), b)).otherwise(F.array(a, _mended(y, b, x, a)))
+
+        return F.when(_near(a, b), F.array(a, b)).otherwise(let(first, pair))
+
+    parts = F.struct(report_number(current).alias("a"), report_number(prior).alias("b"), _number_core(current).alias("x"), _number_core(prior).alias("y"))
+    flags = let(parts, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), p["x"].alias("x"), p["y"].alias("y"), lost(p["x"]).alias("lost_a"), lost(p["y"]).alias("lost_b"), whole(p["x"], p["y"]).alias("whole_a"), whole(p["y"], p["x"]).alias("whole_b")))
+    both = let(flags, lambda s: F.when(s["a"].isNotNull() & s["b"].isNotNull(), chosen(s)))
+    return let(both, lambda p: F.when(~F.exists(p, lambda v: v.isNull()), p))
