@@ -117,44 +117,50 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _added(held).combine_chunks().to_batches()
 
 
+def _starts(rows: pa.Table, columns: list[str]) -> np.ndarray:
+    """True where a row's columns differ from those of the row before; the first row's are new."""
+    out = np.ones(len(rows), bool)
+    out[1:] = False
+    for c in columns:
+        values = rows[c].combine_chunks()
+        out[1:] |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _scanned_runs(rows: pa.Table, least_docs: int) -> pa.RecordBatch:
+    """Whole runs of sorted rows: a row for each in ``least_docs`` documents or more."""
+    new_run = _starts(rows, ["lang", "term"])
+    new_source = new_run | _starts(rows, ["source"])
+    run, source = np.flatnonzero(new_run), np.flatnonzero(new_source)
+    kept = np.add.reduceat(rows["docs"].to_numpy(), run) >= least_docs
+    counts = np.add.reduceat(rows["n"].to_numpy(), source)
+    mine = kept[np.cumsum(new_run)[source] - 1]
+    ends = np.concatenate([[0], np.cumsum(np.add.reduceat(new_source.astype(np.int64), run)[kept])]).astype(np.int32)
+    first, each = pa.array(run[kept]), pa.array(source[mine])
+    lists = [pa.ListArray.from_arrays(ends, x) for x in (rows["source"].combine_chunks().take(each), pa.array(counts[mine]))]
+    return pa.RecordBatch.from_arrays([rows["lang"].combine_chunks().take(first), rows["term"].combine_chunks().take(first), *lists], names=["lang", "term", "sources", "counts"])
+
+
 def _sum_runs(least_docs: int):
     """Rows sorted by ``lang, term, source`` to one row a run of (lang, term) in ``least_docs`` documents or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
-        lang = term = source = None
-        docs, sources, counts = 0, [], []
-
-        def close() -> None:
-            if term is not None and docs >= least_docs:
-                kept.append((lang, term, sources, counts))
-
+        held = _COUNTS.empty_table()
         for batch in batches:
-            for x_lang, x_term, x_source, x_docs, x_n in zip(*(batch.column(c).to_pylist() for c in ("lang", "term", "source", "docs", "n")), strict=True):
-                if x_term != term or x_lang != lang:
-                    close()
-                    lang, term, source, docs, sources, counts = x_lang, x_term, None, 0, [], []
-                docs += x_docs
-                if x_source == source:
-                    counts[-1] += x_n
-                else:
-                    source = x_source
-                    sources.append(source)
-                    counts.append(x_n)
-            if len(kept) >= 5000:
-                yield _runs_batch(kept)
-                kept.clear()
-        close()
-        yield _runs_batch(kept)
+            if not batch.num_rows:
+                continue
+            rows = pa.concat_tables([held, pa.Table.from_batches([batch]).cast(_COUNTS)])
+            # the last run may go on in the next batch; a row for each of its sources is enough of it
+            last = int(np.flatnonzero(_starts(rows, ["lang", "term"]))[-1])
+            held = _added([rows.slice(last)]).sort_by("source")
+            if last:
+                yield _scanned_runs(rows.slice(0, last), least_docs)
+        if len(held):
+            yield _scanned_runs(held, least_docs)
 
     return run
 
 
-def _runs_batch(rows: list[tuple]) -> pa.RecordBatch:
-    lang, term, sources, counts = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(term, pa.string()), pa.array(sources, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], names=["lang", "term", "sources", "counts"])
-
-
 def _share(count: np.ndarray, size: np.ndarray) -> np.ndarray:
     """``1 + floor(UNIT * (count + 1) / size)``, exactly."""
     if len(count) and int(count.max()) >= (1 << 63) // UNIT - 1:
