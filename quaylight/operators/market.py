@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,16 +50,55 @@ def returns(bars: DataFrame, by: str = "symbol", ts: str = "bucket_s", price: st
     return bars.select(by, ts, simple_return(F.col(price), before).alias("ret")).filter("ret is not null")
 
 
-def pair_correlations(values: DataFrame, by: str = "symbol", ts: str = "bucket_s", value: str = "ret", least: int = 5) -> DataFrame:
+def _block_sums(frame: pd.DataFrame) -> pd.DataFrame:
+    """Sums over the shared times of each two symbols, one of each side: products of matrices of times by symbols."""
+    first, second = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
+    times, at = np.unique(frame["t"].to_numpy(), return_inverse=True)
+
+    def side(block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        mine = (frame["block"] == block).to_numpy()
+        names, which = np.unique(frame["symbol"].to_numpy(dtype=object)[mine], return_inverse=True)
+        there, values = (np.zeros((len(times), len(names))) for _ in range(2))
+        there[at[mine], which], values[at[mine], which] = 1.0, frame["x"].to_numpy()[mine]
+        return names, there, values
+
+    names_a, has_a, x = side(first)
+    names_b, has_b, y = (names_a, has_a, x) if first == second else side(second)
+    sums = {"n": has_a.T @ has_b, "sx": x.T @ has_b, "sy": has_a.T @ y, "sxx": (x * x).T @ has_b, "syy": has_a.T @ (y * y), "sxy": x.T @ y}
+    a, b = np.nonzero(sums["n"])
+    if first == second:
+        a, b = a[names_a[a] < names_a[b]], b[names_a[a] < names_a[b]]
+    else:
+        swap = names_a[a] > names_b[b]
+        sums = {k: v[a, b] for k, v in sums.items()}
+        for p, q in (("sx", "sy"), ("sxx", "syy")):
+            sums[p], sums[q] = np.where(swap, sums[q], sums[p]), np.where(swap, sums[p], sums[q])
+        return pd.DataFrame({"a": np.where(swap, names_b[b], names_a[a]), "b": np.where(swap, names_a[a], names_b[b]), **sums})
+    return pd.DataFrame({"a": names_a[a], "b": names_a[b], **{k: v[a, b] for k, v in sums.items()}})
+
+
+def pair_correlations(values: DataFrame, by: str = "symbol", ts: str = "bucket_s", value: str = "ret", least: int = 5, symbols: int = 256, times: int = 8192) -> DataFrame:
     """Correlation of each two symbols on shared times, with the reason where there is none.
 
-    The values of one time are gathered in a row, of one entry for each symbol, and paired there.
+    By blocks: symbols and times are dealt into blocks by their hashes, of about ``symbols`` and ``times``; a task has the
+    values of two blocks of symbols in one of times and gives the sums of each two of them, which add up over times.  A value
+    goes to as many tasks as there are blocks of symbols.  Values are taken from their symbol's mean, as sums of squares
+    of large prices would lose digits.  Values that aren't finite don't count; of several at one time the largest does.
     """
-    one = values.select(F.col(by).alias("a"), ts, F.col(value).alias("x"))
-    two = values.select(F.col(by).alias("b"), ts, F.col(value).alias("y"))
-    both = one.join(two, ts).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), pearson("x", "y", least).alias("correlation"))
+    good = values.filter(is_finite(value)).groupBy(F.col(by).alias("symbol"), F.col(ts).alias("t")).agg(F.max(value).alias("x"))
+    sizes = good.agg(F.approx_count_distinct("symbol").alias("symbols"), F.approx_count_distinct("t").alias("times")).first()
+    blocks, spans = -(-sizes["symbols"] // symbols) or 1, -(-sizes["times"] // times) or 1
+    means = good.groupBy("symbol").agg(F.avg("x").alias("mean"))
+    dealt = good.join(means, "symbol").select("symbol", F.xxhash64("t").alias("t"), (F.col("x") - F.col("mean")).alias("x"), F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int").alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = dealt.withColumn("other", other).select("symbol", "t", "x", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.pmod(F.col("t"), F.lit(spans)).alias("span"))
+    parts = dealt.groupBy("i", "j", "span").applyInPandas(_block_sums, "a string, b string, n double, sx double, sy double, sxx double, syy double, sxy double")
+    both = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    spread = (F.col("sxx") - sx * sx / n) * (F.col("syy") - sy * sy / n)
+    correlation = F.when((n >= least) & (spread > 1e-24), F.try_divide(F.col("sxy") - sx * sy / n, F.sqrt(F.greatest(spread, F.lit(0.0)))))
     reason = F.when(F.col("n") < least, "insufficient_paired_samples").when(F.col("correlation").isNull(), "constant_returns")
-    return both.withColumn("reason", reason)
+    return both.select("a", "b", n.cast("long").alias("n"), correlation.alias("correlation")).withColumn("reason", reason)
 
 
 def breadth(changes: DataFrame, by: str, change: str = "change") -> DataFrame:

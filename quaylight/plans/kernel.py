@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quaylight.functions.times import bucket, micros
 from quaylight.operators import asof, keys, market
 from quaylight.plans.base import TICKS_SQL, query, table, ticks
+from quaylight.sources.buckets import Buckets
+from quaylight.sources.scratch import Scratch
 
 
 def _ohlc_sql(seconds: int) -> str:
@@ -364,6 +366,21 @@ def snk01_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.upsert(s.filter("k % 3 <> 0"), s.filter("k % 2 = 0").withColumn("v", F.round(F.col("v") * 2, 2)), ["k"])
 
 
+@query("""WITH old AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders), new AS (SELECT o_orderkey AS k, o_totalprice * 2 AS v FROM orders WHERE o_orderkey % 50 = 1 UNION ALL SELECT -c_custkey, c_acctbal FROM customer WHERE c_custkey % 40 = 0 AND c_custkey > 0)
+SELECT k, v FROM (SELECT k, v FROM old WHERE k NOT IN (SELECT k FROM new) UNION ALL SELECT k, v FROM new) WHERE k < 0 OR k % 90 <> 0""")
+def snk01_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in buckets: written, a part replaced, new keys added, some deleted; a batch that is run twice counts once."""
+    orders, customers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v")), table(spark, sf_dir, "customer")
+    target = Buckets(spark, Scratch(spark, "snk01").path("t"), ["k"], 32)
+    target.upsert(orders, writer="load", batch=0)
+    more = orders.filter("k % 50 = 1").withColumn("v", F.col("v") * 2).unionByName(customers.filter("c_custkey % 40 = 0 and c_custkey > 0").select((-F.col("c_custkey")).alias("k"), F.col("c_acctbal").alias("v")))
+    target.upsert(more, writer="load", batch=1)
+    target.upsert(more.withColumn("v", F.lit(0.0)), writer="load", batch=1)
+    target.delete(orders.filter("k % 90 = 0"))
+    target.vacuum()
+    return target.read()
+
+
 @query("""WITH old AS (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier WHERE s_suppkey % 3 <> 0),
 new AS (SELECT s_suppkey AS k, 0.0 AS v FROM supplier WHERE s_suppkey % 2 = 0)
 SELECT k, v FROM old UNION ALL SELECT k, v FROM new ANTI JOIN old USING (k)""")

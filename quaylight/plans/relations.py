@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaylight.functions import text
 from quaylight.functions.numeric import finite, is_finite, percent_change, ratio, sign_state
-from quaylight.operators import keys
+from quaylight.operators import graphs, keys
 from quaylight.plans.base import SERIES_SQL, query, series, table
 from quaylight.sources import readers, sinks
 
@@ -323,24 +323,19 @@ def res08_case_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.orderBy(F.when(F.col("n") > 10, 0).otherwise(1), F.col("last").desc_nulls_last(), "c_custkey").limit(50)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS f, l_partkey % 100 + 1 AS t FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1), r(f, t) AS (SELECT f, t FROM e UNION SELECT r.f, e.t FROM r JOIN e ON r.t = e.f) SELECT DISTINCT f AS node FROM r WHERE f = t""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS f, l_partkey AS t FROM lineitem), inner_ AS (SELECT f, t FROM e WHERE t IN (SELECT f FROM e)), r(f, t) AS (SELECT f, t FROM inner_ UNION SELECT r.f, e.t FROM r JOIN inner_ e ON r.t = e.f)
+SELECT a.f AS node, min(a.t) AS component FROM r a JOIN r b ON a.f = b.t AND a.t = b.f GROUP BY a.f""")
 def res05_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes on a cycle: nodes without an edge in or out are peeled off, the rest is closed by doubling paths."""
-    from quaylight.sources.scratch import Scratch
-
-    scratch = Scratch(spark, "res05")
-    e = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.1").select(F.col("l_suppkey").alias("f"), (F.col("l_partkey") % 100 + 1).alias("t")).distinct()
-    now, before, step = scratch.put("edges0", e), -1, 0
-    while (n := now.count()) != before:
-        before, step = n, step + 1
-        inner = now.join(now.select(F.col("t").alias("f")).distinct(), "f", "left_semi")
-        now = scratch.put(f"edges{step}", inner.join(now.select(F.col("f").alias("t")).distinct(), "t", "left_semi"))
-    before = -1
-    while (n := now.count()) != before:
-        before, step = n, step + 1
-        far = now.join(now.select(F.col("f").alias("t"), F.col("t").alias("u")), "t").select("f", F.col("u").alias("t"))
-        now = scratch.put(f"edges{step}", now.unionByName(far).distinct())
-    return now.filter("f = t").select(F.col("f").alias("node"))
+    """Nodes on a cycle of all links from suppliers to parts, numbers being nodes, with the component they are in."""
+    return graphs.strong_components(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS f, (o_custkey * 7 + o_orderkey) % 2000 AS t FROM orders), r(f, t) AS (SELECT f, t FROM e UNION SELECT r.f, e.t FROM r JOIN e ON r.t = e.f)
+SELECT a.f AS node, min(a.t) AS component FROM r a JOIN r b ON a.f = b.t AND a.t = b.f GROUP BY a.f""")
+def res05_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of a sparser graph: each order is a link from its customer to another."""
+    moves = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("from_node"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 2000).alias("to_node"))
+    return graphs.strong_components(moves)
 
 
 @query("""WITH n AS (SELECT DISTINCT c_custkey, unnest(regexp_extract_all(c_name, '[0-9]+'))::BIGINT AS x FROM customer) SELECT c_custkey, x FROM n WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = x AND o_orderstatus = 'P')""")

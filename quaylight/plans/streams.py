@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from quaylight.functions import text
 from quaylight.operators import stories
-from quaylight.plans.base import TICKS_SQL, query
+from quaylight.plans.base import TICKS_SQL, query, table, ticks
+from quaylight.sources import quotes
+from quaylight.sources.buckets import Buckets
 from quaylight.sources.scratch import Scratch
-from quaylight.sources.sinks import Table
-from quaylight.streaming import streams
+from quaylight.streaming import streams, windows
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,9 +42,38 @@ def stm07_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, arg_max(event_id, ts) AS event_id, arg_max(value, ts) AS value FROM events GROUP BY user_id""")
 def stm09_last_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "stm09")
-    quotes = Table(spark, scratch.path("quotes"))
-    streams.keep_last(_events(spark, sf_dir).select("user_id", "event_id", "ts", "value"), quotes, ["user_id"], "ts", scratch.path("state"))
-    return quotes.read().select("user_id", "event_id", "value")
+    latest = Buckets(spark, scratch.path("quotes"), ["user_id"], 16)
+    streams.keep_last(_events(spark, sf_dir).select("user_id", "event_id", "ts", "value"), latest, [F.desc("ts")], scratch.path("state"))
+    return latest.read().select("user_id", "event_id", "value")
+
+
+@query("""SELECT 'fx:' || event_type AS symbol, max(ts) AS at, arg_max(value, ts) AS price FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_type <> 'error' GROUP BY event_type""")
+def src06_latest_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a log of price messages, read as a stream; heartbeats, unknown instruments and prices of one side don't count."""
+    scratch, k = Scratch(spark, "src06"), F.col("event_id")
+    side = F.array(F.struct(F.col("value").cast("string").alias("price"), F.lit(1).alias("liquidity")))
+    message = F.to_json(F.struct(F.when(k % 7 == 0, "HEARTBEAT").otherwise("PRICE").alias("type"), F.upper("event_type").alias("instrument"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'000Z'").alias("time"), side.alias("bids"), F.when(k % 11 != 0, side).alias("asks")))
+    table(spark, sf_dir, "events").select(F.when(k % 13 == 0, F.concat(message, F.lit("\n{not json"))).otherwise(message).alias("value")).write.text(scratch.path("log"))
+    latest = Buckets(spark, scratch.path("quotes"), ["symbol"], 8)
+    symbols = {name: f"fx:{name.lower()}" for name in ("VIEW", "SIGNUP", "PURCHASE", "CLICK")}
+    streams.keep_last(quotes.quotes(spark, scratch.path("log"), symbols), latest, [F.desc("at"), F.desc("log"), F.desc("line")], scratch.path("state"))
+    return latest.read().select("symbol", F.col("at").cast("timestamp_ntz").alias("at"), "price")
+
+
+@query(f"""WITH {TICKS_SQL}, w AS (SELECT event_id AS window_id, symbol, ts + INTERVAL 1 HOUR AS target_at FROM ticks WHERE event_id % 20 = 0),
+f AS (SELECT window_id, max(t.ts) AS tick_at, arg_max(close, (t.ts, close)) AS price FROM w JOIN ticks t ON t.symbol = w.symbol AND t.ts <= target_at AND t.ts >= target_at - INTERVAL 30 MINUTE GROUP BY window_id)
+SELECT window_id, symbol, target_at, tick_at, price, CASE WHEN target_at >= (SELECT max(ts) FROM ticks) - INTERVAL 1 HOUR THEN 'pending' WHEN price IS NULL THEN 'unresolved' ELSE 'resolved' END AS status FROM w LEFT JOIN f USING (window_id)""")
+def stm04_window_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows as a stream of ticks and windows in four batches; state holds the open ones and ends with them."""
+    scratch, t = Scratch(spark, "stm04"), ticks(spark, sf_dir)
+    tick = t.select(F.lit("tick").alias("kind"), F.lit(None).cast("long").alias("window_id"), "symbol", "ts", "close", F.col("ts").alias("at"))
+    asked = t.filter("event_id % 20 = 0").select(F.lit("window").alias("kind"), F.col("event_id").alias("window_id"), "symbol", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"), F.lit(None).cast("double").alias("close"), F.col("ts").alias("at"))
+    rows, days = tick.unionByName(asked), ("2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2030-01-01")
+    for a, b in zip(days, days[1:], strict=False):
+        rows.filter(f"at >= TIMESTAMP_NTZ '{a}' AND at < TIMESTAMP_NTZ '{b}'").drop("at").coalesce(1).write.mode("append").parquet(scratch.path("rows"))
+    state = windows.PendingWindows(spark, scratch.path("state"), 1800, 3600, 8)
+    windows.run_windows(streams.stream(spark, scratch.path("rows"), files_per_batch=1), state, scratch.path("checkpoint"))
+    return state.result()
 
 
 @query()

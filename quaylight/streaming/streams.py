@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quaylight.operators import keys, stories
+from quaylight.operators import stories
+from quaylight.sources.buckets import Buckets
 from quaylight.sources.scratch import Scratch
-from quaylight.sources.sinks import Table
 
 
 def stream(spark: SparkSession, path: str, ts: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -54,13 +54,14 @@ def run_into(df: DataFrame, scratch: Scratch, name: str, mode: str = "append") -
     return scratch.spark.read.schema(df.schema).parquet(scratch.path(name))
 
 
-def keep_last(df: DataFrame, table: Table, by: Sequence[str], ts: str, state: str) -> None:
-    """Runs a stream into a table with the latest row of each key; a batch that is run again changes nothing."""
+def keep_last(df: DataFrame, table: Buckets, order: Sequence[Column], state: str, writer: str = "stream") -> None:
+    """Runs a stream into a table with the first row of each key by ``order``.
 
-    def merge(batch: DataFrame, _: int) -> None:
-        new = keys.latest_by(batch, by, [F.desc(ts)])
-        old = table.read()
-        table.write(new if old is None else keys.latest_by(old.unionByName(new), by, [F.desc(ts)]))
+    A batch rewrites the buckets that its keys are in; one that is run again changes nothing.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        table.keep_latest(batch, order, writer, number)
 
     df.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
