@@ -14,8 +14,10 @@ from quaylight.llm.words import buffers
 
 #: Orders of the n-grams, in bytes; cells of the hash table, half for hosts and half for paths.
 ORDERS, CELLS = (3, 4, 5), 1 << 14
-#: Strength of the ridge penalty, and steps of gradient descent.
-RIDGE, STEPS = 1e-3, 400
+#: Strength of the ridge penalty, steps of gradient descent and their rate.
+RIDGE, STEPS, RATE = 1e-4, 1000, 12.0
+#: Part of URLs that are taken to be blocked ones, whatever their part of the table.
+BLOCKED_SHARE = 0.35
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: The small labelled table: URLs to block and to allow, with paths in four languages.  Some allowed ones speak of what
@@ -56,9 +58,29 @@ football-club.org/fixtures/season  chess-federation.org/ratings/juniors  tierhei
 """
 
 
+#: Domains that each host is given besides its own, names before it and paths that say nothing, so that none tells the labels apart.
+DOMAINS = ("com", "org", "net")
+PREFIXES = ("m.", "www.", "blog.")
+PLAIN_PATHS = ("/en/12", "/de/155.html", "/fr/105?page=2", "/es/98#top", "/", "/index.html?id=7", "/2021/05/12", "/a/b/3")
+
+
+def _forms(url: str, number: int) -> list[str]:
+    """A URL of the table under several domains, with its own path and with plain ones, and once as a mobile page."""
+    host, slash, path = url.partition("/")
+    name, _, own = host.rpartition(".")
+    domains = [*DOMAINS, own if own not in DOMAINS else "info"]
+    plain_ = [PLAIN_PATHS[(number + k) % len(PLAIN_PATHS)] for k in range(len(domains))]
+    forms = [f"https://{name}.{d}{slash}{path}" for d in domains] + [f"https://{name}.{d}{p}" for d, p in zip(domains, plain_, strict=True)]
+    return [*forms, *(f"http://{PREFIXES[number % len(PREFIXES)]}{name}.{d}{slash}{path}" for d in DOMAINS)]
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """``url, blocked``: the small table to fit on, each URL in two forms."""
-    rows = [(f"{head}{url}", kind) for kind, urls in ((1, BLOCKED), (0, ALLOWED)) for url in urls.split() for head in ("https://", "http://m.")]
+    """``url, blocked``: the small table to fit on.
+
+    Each host comes under all ``DOMAINS`` and with plain paths, whatever its label, so a domain or a path's shape alone
+    says nothing.
+    """
+    rows = [(form, kind) for kind, urls in ((1, BLOCKED), (0, ALLOWED)) for k, url in enumerate(urls.split()) for form in _forms(url, k)]
     return spark.createDataFrame(rows, "url string, blocked int")
 
 
@@ -139,17 +161,20 @@ def fit_urls(labelled: DataFrame, url: str = "url", label: str = "blocked") -> U
     """Fits on a small table, which is brought to the driver whole; null URLs or labels are left out."""
     table = labelled.select(host_of(F.col(url)).alias("h"), path_of(F.col(url)).alias("p"), F.col(label).cast("int").alias("y")).filter("y is not null").orderBy("h", "p", "y").toArrow().combine_chunks()
     y = table.column("y").to_numpy().astype(float)
-    x = np.zeros((len(y), CELLS))
+    x = np.zeros((len(y), CELLS), np.float32)
     for name, base in (("h", 0), ("p", CELLS // 2)):
         column = table.column(name)
         docs, cells = _cells(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, base)
         np.add.at(x, (docs, cells), 1)
     x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    w, b = np.zeros(CELLS), 0.0
+    # the weights stay sums of rows, so descent needs the rows' products only
+    near, a, b = (x @ x.T).astype(float), np.zeros(len(y)), 0.0
+    share = np.where(y == 1, BLOCKED_SHARE / max(1, (y == 1).sum()), (1 - BLOCKED_SHARE) / max(1, (y == 0).sum()))
     for _ in range(STEPS if len(y) else 0):
-        gap = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
-        w -= 4.0 * (x.T @ gap / len(y) + RIDGE * w)
-        b -= 4.0 * gap.mean()
+        gap = (1 / (1 + np.exp(-np.clip(near @ a + b, -30, 30))) - y) * share
+        a -= RATE * (gap + RIDGE * a)
+        b -= RATE * gap.sum()
+    w = a @ x
     return UrlModel(w.astype(np.float32), float(b))
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -121,6 +124,43 @@ def test_urls_of_unseen_words(spark):
     assert url_filter.judge_urls(clash, model, queries.URL_RULES).count() == 4 and url_filter.judge_urls(clash.limit(0), model, queries.URL_RULES).count() == 0
 
 
+def _split(url):
+    m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url)
+    return (plain.lower(m[1]), m[2]) if m else ("", "")
+
+
+def test_no_domain_decides_alone(spark):
+    """With another top-level domain a page is judged as before, and plain hosts of all domains are let through."""
+    model = url_filter.fit_urls(url_filter.labelled_urls(spark))
+    urls = [_split(r["url"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url").collect()]
+    score = lambda pairs: model.scores(pa.array([h for h, _ in pairs]), pa.array([p for _, p in pairs]))
+    own = score(urls) >= 0.5
+    for domain in ("com", "org", "net"):
+        swapped = score([(re.sub(r"[^.]+$", domain, h), p) for h, p in urls]) >= 0.5
+        assert (swapped != own).mean() <= 0.01
+    names = ["harbour", "lindenau", "maplewood", "brookside", "tanager", "corvane", "eastfield", "ollery", "brindle", "quenby", "morland", "stavely", "wexcombe", "farrow", "gildas", "penhallow"]
+    hosts = [(f"{name}.{d}", path) for name in names for d in ("com", "org", "net") for path in ("/", "/en/7", "/about/contact", "/2020/11/3")]
+    assert (score(hosts) >= 0.5).mean() <= 0.05
+
+
+def test_score_by_hand(spark):
+    """A score is the mean weight of a URL's n-grams, summed by plain Python."""
+    model = url_filter.fit_urls(url_filter.labelled_urls(spark))
+    for host, path in (("www.casino-x.example.org", "/en/é/bonus"), ("", ""), ("a", "/"), ("b" * 300, "/c" * 200)):
+        total, count = 0.0, 0
+        for text, base in ((host, 0), (path, url_filter.CELLS // 2)):
+            data = b"\x01" + text.encode() + b"\x01"
+            for order in url_filter.ORDERS:
+                for i in range(len(data) - order + 1):
+                    key = order
+                    for c in data[i : i + order]:
+                        key = (key * 257 + c) % 2**64
+                    cell = (key * 0x9E3779B97F4A7C15 % 2**64) >> (64 - (url_filter.CELLS // 2).bit_length() + 1)
+                    total, count = total + float(model.weights[base + cell]), count + 1
+        want = 1 / (1 + np.exp(-(total / np.sqrt(max(count, 1)) + model.intercept)))
+        assert model.scores(pa.array([host]), pa.array([path]))[0] == pytest.approx(want, rel=1e-9)
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs
