@@ -166,7 +166,9 @@ class LanguageModel:
         return known
 
     def losses(self, texts: pa.Array) -> np.ndarray:
-        return np.logaddexp(0, -self.code[None] * self.logits(texts)[:, None, :]) @ self.trust
+        """(texts, languages): a bit has one loss where a codeword has it and another where it doesn't."""
+        z = self.logits(texts)
+        return np.logaddexp(0, -z) @ (self.trust * (self.code == 1)).T + np.logaddexp(0, z) @ (self.trust * (self.code == -1)).T
 
     def decode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the language, or -1; score; whether the two nearest codewords are close) of each text."""

@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quaylight.llm import language
@@ -51,3 +54,40 @@ def test_edges(spark):
     assert got == [(0, "de"), (1, "und"), (1, "und"), (2, "en"), (2, "en"), (3, "und")]
     assert language.keep_known(docs, model).columns == docs.columns
     assert language.predict_language(docs.limit(0), model).count() == 0 and language.keep_known(docs.limit(0), model).count() == 0
+
+
+def test_decoder_by_hand():
+    """Losses of each codeword, bit by bit in plain Python, and the nearest one with its share."""
+    rng = np.random.default_rng(3)
+    code = language.codewords(7)
+    bits = code.shape[1]
+    weights = rng.normal(size=(language.CELLS + 1, bits)).astype(np.float32)
+    trust = rng.random(bits) + 0.1
+    none = np.zeros((7, language.CELLS + 1), np.float32)
+    model = language.LanguageModel(tuple("abcdefg"), code, weights, rng.random(bits), rng.normal(size=bits), trust, none, np.zeros(7), np.zeros(7))
+    texts = pa.array(["some words here", "é", "1 2", "", None, "Other WORDS " * 40])
+    z = model.logits(texts)
+    want = [[sum(trust[b] * np.log1p(np.exp(-code[c, b] * z[i, b])) for b in range(bits)) for c in range(7)] for i in range(len(texts))]
+    assert np.allclose(model.losses(texts), want, rtol=1e-9)
+    best, score, _ = model.decode(texts)
+    for i, text in enumerate(texts.to_pylist()):
+        if any(c.isalpha() for c in text or ""):
+            assert best[i] == int(np.argmin(want[i]))
+            assert score[i] == pytest.approx(1 / sum(np.exp(min(want[i]) - w) for w in want[i]))
+        else:
+            assert best[i] == -1 and score[i] == 0
+
+
+def test_memory_of_many_languages():
+    """The losses of a batch take texts times languages and texts times bits, never all three."""
+    import tracemalloc
+
+    code = language.codewords(300)
+    bits = code.shape[1]
+    model = language.LanguageModel(tuple(map(str, range(300))), code, np.ones((language.CELLS + 1, bits), np.float32), np.ones(bits), np.zeros(bits), np.ones(bits), np.zeros((300, 1), np.float32), np.zeros(300), np.zeros(300))
+    texts = pa.array([f"text {i}" for i in range(5000)])
+    tracemalloc.start()
+    model.losses(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * 5000 * (300 + bits) * 8
