@@ -82,9 +82,11 @@ def lane(tokens: Column, tags: Column, watched: Column, confidence: Column, sour
     )
 
 
-def story_key(title: Column, day: Column) -> Column:
-    """Hash of a story's day and of up to 16 of its sorted words."""
-    return F.sha2(F.to_json(F.struct(day.cast("string").alias("date"), F.slice(F.array_sort(title_tokens(title)), 1, 16).alias("tokens"))), 256)
+def story_key(title: Column, day: Column, entities: Column, markets: Column) -> Column:
+    """``story:`` and the hash of a story's day, up to 16 of its sorted words, and its sorted entities and markets."""
+    ids = lambda c: F.array_sort(F.array_distinct(F.transform(F.filter(c, lambda x: x.isNotNull() & (x != "")), F.lower)))
+    identity = F.struct(day.cast("string").alias("date"), ids(entities).alias("entities"), ids(markets).alias("markets"), F.slice(F.array_sort(title_tokens(title)), 1, 16).alias("tokens"))
+    return F.concat(F.lit("story:"), F.sha2(F.to_json(identity), 256))
 
 
 class Clusters:

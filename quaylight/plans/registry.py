@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaylight.plans import calls, desk, domains, evidence, files, filings, kernel, reactions, relations, replay, states, streams, texts  # noqa: F401
+from quaylight.plans import book, calls, desk, domains, evidence, files, filings, kernel, reactions, relations, replay, states, streams, texts  # noqa: F401
 from quaylight.plans.base import ORACLES, QUERIES, Query
 
 

@@ -70,9 +70,13 @@ def sty03_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles(spark, sf_dir).select(k, stories.lane(F.col("tokens"), tags, watched, (k % 10) / 10.0, k % 4, (k % 7) / 7.0).alias("lane"), stories.is_denial(F.col("title"), tags).alias("denial"))
 
 
-@query(f"""WITH {TITLES_SQL} SELECT id, sha256('{{"date":"2024-01-01","tokens":[' || array_to_string(list_transform(list_slice(list_sort(tokens), 1, 16), lambda w: '"' || w || '"'), ',') || ']}}') AS story_key FROM tok""")
+@query(f"""WITH {TITLES_SQL} SELECT id, 'story:' || sha256('{{"date":"' || (DATE '2024-01-01' + (id // 100)::INT) || '","entities":[' || array_to_string(list_transform(list_sort(list_filter([source, 'lang:' || lang], lambda x: x IS NOT NULL)), lambda w: '"' || w || '"'), ',')
+  || '],"markets":[' || coalesce('"' || lang || '"', '') || '],"tokens":[' || array_to_string(list_transform(list_slice(list_sort(tokens), 1, 16), lambda w: '"' || w || '"'), ',') || ']}}') AS story_key FROM tok""")
 def sty04_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return titles(spark, sf_dir).select("id", stories.story_key(F.col("title"), F.lit("2024-01-01")).alias("story_key"))
+    """Keys of stories: two of a day with the same words but other entities or markets differ."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.floor(F.col("id") / 100).cast("int"))
+    key = stories.story_key(F.col("title"), day, F.array("source", F.concat(F.lit("lang:"), "lang"), F.col("source")), F.array("lang"))
+    return titles(spark, sf_dir).select("id", key.alias("story_key"))
 
 
 @query("""WITH r AS (SELECT md5(coalesce(text, '')) AS h, doc_id, source, source IN ('src1', 'src2', 'src3') AS prim FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY prim DESC, doc_id) AS rn FROM r),
