@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quaylight.functions.numeric import clamp, finite, is_finite, pearson, ratio, simple_return
 from quaylight.functions.times import bucket
+from quaylight.sources.buckets import Buckets
 
 
 def ohlc(ticks: DataFrame, seconds: int) -> DataFrame:
@@ -155,6 +156,41 @@ def features(ticks: DataFrame, as_of: str, trend_ticks: int = 20) -> DataFrame:
     )
 
 
+#: Figures of a snapshot, by the reason that explains a missing one: no price to take it from, or a range of zero.
+_FIGURES = ("last", "previous_close", "change", "session_open", "session_high", "session_low", "position", "return_1m", "return_5m", "return_30m", "return_1440m", "realized_volatility")
+
+
+def snapshots(ticks: DataFrame, as_of: str, source_event_id: str, high_volatility: float, trend_ticks: int = 20, volatility_ticks: int = 30) -> DataFrame:
+    """``symbol, as_of, source_event_id, features, labels, unavailable, provenance`` of each symbol at a moment.
+
+    ``features`` maps figures to values, ``unavailable`` those that are missing to why, ``labels`` names trend, break and the
+    level of volatility, which is that of the last ``volatility_ticks`` prices.  ``provenance`` is what the snapshot was made
+    with.  A symbol without a finite price by then has no snapshot.
+    """
+    out = features(ticks, as_of, trend_ticks)
+    known = ticks.filter(is_finite("close") & (F.col("ts") <= F.lit(as_of).cast("timestamp_ntz"))).select("symbol", "ts", "close")
+    last = known.withColumn("__rank", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).filter(F.col("__rank") <= volatility_ticks)
+    out = out.join(realized_volatility(last, ts="ts").select("symbol", F.col("volatility").alias("realized_volatility")), "symbol", "left")
+    pairs = F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).cast("double").alias("value")) for n in _FIGURES])
+    flat = F.col("session_high") == F.col("session_low")
+    reason = lambda n: F.when(flat, "zero_denominator").otherwise("missing_data") if n == "position" else F.lit("non_positive_or_missing_data" if n == "realized_volatility" else "missing_data")
+    missing = F.array(*[F.when(F.col(n).isNull(), F.struct(F.lit(n).alias("key"), reason(n).alias("value"))) for n in _FIGURES])
+    level = F.when(F.col("realized_volatility").isNull(), "unavailable").when(F.col("realized_volatility") >= high_volatility, "high").otherwise("normal")
+    there = lambda c: F.filter(c, lambda x: x["value"].isNotNull())
+    return out.select(
+        "symbol", F.lit(as_of).cast("timestamp_ntz").alias("as_of"), F.lit(source_event_id).alias("source_event_id"), F.map_from_entries(there(pairs)).alias("features"),
+        F.create_map(F.lit("trend"), "trend", F.lit("session_break"), "session_break", F.lit("volatility_level"), level).alias("labels"), F.map_from_entries(F.filter(missing, lambda x: x.isNotNull())).alias("unavailable"),
+        F.create_map(F.lit("trend_ticks"), F.lit(str(trend_ticks)), F.lit("volatility_ticks"), F.lit(str(volatility_ticks)), F.lit("high_volatility"), F.lit(str(high_volatility))).alias("provenance"),
+    )
+
+
+def save_snapshots(made: DataFrame, table: Buckets, writer: str | None = None, batch: int | None = None) -> None:
+    """Writes snapshots; one of the same symbol, moment and event is replaced.  ``table`` is by those three columns."""
+    if list(table.by) != ["symbol", "as_of", "source_event_id"]:
+        raise ValueError("snapshots are kept by symbol, as_of and source_event_id")
+    table.upsert(made.filter("symbol is not null and source_event_id <> ''"), writer=writer, batch=batch)
+
+
 def grid(ticks: DataFrame, bars: DataFrame, recent: int = 12) -> DataFrame:
     """``symbol, last, ago_5m, day_open, samples, vol_state``: a watch list's row for each symbol.
 

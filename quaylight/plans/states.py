@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quaylight.functions.numeric import band, percent_change, return_metric, sign_state
 from quaylight.operators import keys, market
 from quaylight.plans.base import BARS_SQL, DAYS_SQL, SERIES_SQL, TICKS_SQL, query, series, table, ticks
+from quaylight.sources.buckets import Buckets
+from quaylight.sources.scratch import Scratch
 
 AS_OF = "2024-01-20 12:00:00"
 HOUR, DAY = 3600, 86400
@@ -117,7 +119,7 @@ def mkt11_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 _B = {m: f"arg_max(close, ts) FILTER (ts <= TIMESTAMP '{AS_OF}' - INTERVAL {m} MINUTE)" for m in (1, 5, 30, 1440)}
 
 
-@query(f"""WITH {TICKS_SQL}, t AS (SELECT symbol, ts, close FROM ticks WHERE ts <= TIMESTAMP '{AS_OF}'),
+FEATURES_SQL = f"""WITH {TICKS_SQL}, t AS (SELECT symbol, ts, close FROM ticks WHERE ts <= TIMESTAMP '{AS_OF}'),
 g AS (SELECT symbol, arg_max(close, ts) AS last, arg_max(close, ts) FILTER (ts < DATE '2024-01-20') AS previous_close, arg_min(close, ts) FILTER (ts >= DATE '2024-01-20') AS session_open,
   max(close) FILTER (ts >= DATE '2024-01-20') AS session_high, min(close) FILTER (ts >= DATE '2024-01-20') AS session_low,
   max(close) FILTER (ts < DATE '2024-01-20') AS prior_high, min(close) FILTER (ts < DATE '2024-01-20') AS prior_low,
@@ -128,12 +130,33 @@ SELECT symbol, last, previous_close, round(last - previous_close, 8) AS change,
   {", ".join(f"round(last / nullif(at_{m}m, 0) - 1, 8) AS return_{m}m" for m in _B)},
   CASE WHEN slope > 0 THEN 'up' WHEN slope < 0 THEN 'down' WHEN slope = 0 THEN 'flat' END AS trend,
   CASE WHEN session_high IS NULL OR prior_high IS NULL THEN 'unknown' WHEN session_high > prior_high THEN 'breakout_up' WHEN session_low < prior_low THEN 'breakout_down' ELSE 'inside' END AS session_break
-FROM g JOIN s USING (symbol)""")
+FROM g JOIN s USING (symbol)"""
+
+
+@query(FEATURES_SQL)
 def mkt12_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = market.features(ticks(spark, sf_dir), AS_OF)
     return f.withColumns({c: F.round(c, 8) for c in ("change", "position", "return_1m", "return_5m", "return_30m", "return_1440m")})
 
 
+_MISSING_SQL = " || ".join(f"CASE WHEN {n} IS NULL THEN '{n}=' || " + ("CASE WHEN session_high = session_low THEN 'zero_denominator' ELSE 'missing_data' END" if n == "position" else "'missing_data'") + " || ';' ELSE '' END" for n in ("change", "position", "previous_close", "return_1440m", "return_1m", "return_30m", "return_5m", "session_high", "session_low", "session_open"))
+
+
+@query(f"""WITH f AS ({FEATURES_SQL}), recent AS (SELECT event_type AS symbol, value AS close, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS rn FROM events WHERE ts <= TIMESTAMP '{AS_OF}'),
+r AS (SELECT symbol, close, lead(close) OVER (PARTITION BY symbol ORDER BY rn) AS prev FROM recent WHERE rn <= 30), v AS (SELECT symbol, CASE WHEN count(*) >= 2 AND min(close) > 0 THEN sqrt(sum(pow(ln(close / prev), 2))) END AS volatility FROM r GROUP BY symbol)
+SELECT symbol, TIMESTAMP '{AS_OF}' AS as_of, 'event-' || k AS source_event_id, last, trend, CASE WHEN volatility IS NULL THEN 'unavailable' WHEN volatility >= 4.0 THEN 'high' ELSE 'normal' END AS volatility_level, round(volatility, 6) AS volatility,
+  {_MISSING_SQL} || CASE WHEN volatility IS NULL THEN 'realized_volatility=non_positive_or_missing_data;' ELSE '' END AS unavailable FROM f JOIN v USING (symbol), (SELECT unnest([1, 2]) AS k)""")
+def mkt15_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of two events, saved, one of them twice, and read back."""
+    kept = Buckets(spark, Scratch(spark, "mkt15").path("t"), ["symbol", "as_of", "source_event_id"], 4)
+    for event, threshold in (("event-1", 1.0), ("event-2", 4.0), ("event-1", 4.0)):
+        market.save_snapshots(market.snapshots(ticks(spark, sf_dir), AS_OF, event, threshold), kept)
+    rows, figure = kept.read(), lambda n: F.col("features")[n]
+    missing = F.array_join(F.transform(F.array_sort(F.map_entries("unavailable")), lambda e: F.concat(e["key"], F.lit("="), e["value"], F.lit(";"))), "")
+    late = F.concat(F.regexp_replace(missing, "realized_volatility=[a-z_]*;", ""), F.regexp_extract(missing, "realized_volatility=[a-z_]*;", 0))
+    return rows.select("symbol", "as_of", "source_event_id", figure("last").alias("last"), F.col("labels")["trend"].alias("trend"), F.col("labels")["volatility_level"].alias("volatility_level"), F.round(figure("realized_volatility"), 6).alias("volatility"), late.alias("unavailable"))
+
+
 @query(f"""WITH {DAYS_SQL}, p AS (SELECT symbol, day, lag(close) OVER (PARTITION BY symbol ORDER BY day) AS prev, high - low AS span FROM days),
 r AS (SELECT symbol, day, 'returns.daily' AS path, CASE WHEN prev IS NULL THEN 'missing_data' END AS reason FROM p
   UNION ALL SELECT symbol, day, 'position', CASE WHEN span = 0 THEN 'zero_denominator' END FROM p)
