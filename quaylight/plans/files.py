@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaylight.functions import text
 from quaylight.plans.base import query, table
-from quaylight.sources import readers, sinks
+from quaylight.sources import feeds, readers, sinks
 from quaylight.sources.scratch import Scratch
 
 
@@ -164,3 +164,28 @@ def src09_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.array(trade).alias("nonDerivativeTransaction")).alias("nonDerivativeTable"),
     )
     return readers.insider_days(readers.ownership_xml(spark, written(spark, "src09", docs, "xml", rootTag="all", rowTag="ownershipDocument")))
+
+
+@query("""SELECT 'u' || user_id AS feed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place, list_extract(['rss', 'atom', 'jsonld', 'html'], (user_id % 4)::INT + 1) AS form, event_type || ' & ' || event_id AS title, 'https://feed.example/' || event_id AS url,
+  date_trunc('second', ts) AS published_at, CASE WHEN user_id % 4 = 1 THEN 'updated' WHEN user_id % 4 > 1 AND event_id % 2 = 0 THEN 'dateModified' END AS published_from, 'value ' || event_id AS content, CASE WHEN user_id % 4 > 1 THEN 'desk' END AS publisher FROM events""")
+def src14_mixed_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed for each user in one of four forms, read together: RSS, Atom, a JSON-LD graph, and a page with item lists."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    title, link = F.concat(F.col("event_type"), F.lit(" & "), k), F.concat(F.lit("HTTPS://Feed.example/"), k, F.lit("?utm_source=x#top"))
+    mail, iso = F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    escaped, tag = F.replace(title, F.lit("&"), F.lit("&amp;")), lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    value = F.concat(F.lit("value "), k)
+    rss = tag("item", F.concat(tag("title", escaped), tag("link", F.replace(link, F.lit("&"), F.lit("&amp;"))), tag("pubDate", mail), tag("description", F.concat(F.lit("&lt;p&gt;"), value, F.lit("&lt;/p&gt;")))))
+    atom = tag("entry", F.concat(tag("title", escaped), F.lit("<link href='"), link, F.lit("'/>"), tag("updated", iso), tag("summary", value)))
+    document = F.struct(F.lit("https://schema.org/NewsArticle").alias("@type"), title.alias("headline"), F.struct(link.alias("@id")).alias("mainEntityOfPage"), F.when(k % 2 == 1, iso).alias("datePublished"), F.when(k % 2 == 0, iso).alias("dateModified"), value.alias("description"), F.struct(F.lit("desk").alias("name")).alias("publisher"))
+    item = F.when(F.col("user_id") % 4 == 0, rss).when(F.col("user_id") % 4 == 1, atom).when(F.col("user_id") % 4 == 2, F.to_json(document)).otherwise(F.to_json(F.struct(F.lit("ListItem").alias("@type"), document.alias("item"))))
+    users = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", item.alias("x")))).alias("all")).select("user_id", "all.x")
+    joined = lambda by: F.array_join("x", by)
+    body = (
+        F.when(F.col("user_id") % 4 == 0, F.concat(F.lit("<?xml version='1.0'?><rss><channel>"), joined(""), F.lit("</channel></rss>"))).when(F.col("user_id") % 4 == 1, F.concat(F.lit("<feed>"), joined(""), F.lit("</feed>")))
+        .when(F.col("user_id") % 4 == 2, F.concat(F.lit('{"@context":"https://schema.org","@graph":['), joined(","), F.lit("]}")))
+        .otherwise(F.concat(F.lit('<html><script type="application/ld+json">[{"@type":"WebSite","name":"x"},{"@type":"ItemList","itemListElement":['), joined(","), F.lit("]}]</script></html>")))
+    )
+    path = written(spark, "src14_mixed", users.select(F.concat(F.lit("u"), "user_id").alias("feed"), body.alias("body")), "json")
+    found = feeds.feed_items(spark.read.schema("feed string, body string").json(path))
+    return found.select("feed", "place", "form", "title", "url", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "published_from", "content", "publisher")
