@@ -65,16 +65,34 @@ def asof_until(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str,
     return _last_tick(events, ticks, by, ts, values, seconds, offset_seconds, least=True)
 
 
-def nearest(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], seconds: int, offset_seconds: int | Column = 0) -> DataFrame:
-    """The tick nearest to ``offset_seconds`` after each event within ``seconds``; of two as near, the earlier."""
-    columns, added = events.columns, ("tick_ts", *values)
-    before = _last_tick(events, ticks, by, ts, values, seconds, offset_seconds, least=True)
-    before = before.select(*columns, F.struct(*added).alias("__before"))
-    both = _last_tick(before, ticks, by, ts, values, seconds, offset_seconds, forward=True, least=True).withColumn("__after", F.struct(*added))
-    at = micros(ts) + offset_seconds * 1_000_000
-    gap = lambda t: F.abs(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {t}.tick_ts)") - at)
-    earlier = F.col("__before.tick_ts").isNotNull() & (F.col("__after.tick_ts").isNull() | (gap("__before") <= gap("__after")))
-    return both.withColumn("__tick", F.when(earlier, F.col("__before")).otherwise(F.col("__after"))).select(*columns, *[F.col("__tick")[c].alias(c) for c in added])
+def nearest(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], seconds: int, offset_seconds: int | Column = 0, bucket_seconds: int = DAY) -> DataFrame:
+    """The tick nearest to ``offset_seconds`` after each event within ``seconds``; of two as near, the earlier.
+
+    Both neighbours come from one union of ticks and events, dealt once and sorted along time and against it, and from one
+    summary with the ends of each bucket.
+    """
+    by, size, columns = list(by), bucket_seconds * 1_000_000, events.columns
+    tick = ticks.select(*by, micros(ts).alias("__at"), F.struct(F.col(ts).alias("tick_ts"), *values).alias("__tick")).groupBy(*by, "__at").agg(F.min("__tick").alias("__tick"))
+    tick = tick.withColumn("__bucket", F.floor(F.col("__at") / size))
+    event = events.withColumns({"__at": micros(ts) + offset_seconds * 1_000_000, "__row": F.struct(*columns)}).withColumn("__bucket", F.floor(F.col("__at") / size))
+    kind = tick.schema["__tick"].dataType
+    no_tick, no_row = F.lit(None).cast(kind), F.lit(None).cast(event.schema["__row"].dataType)
+    both = tick.select(*by, "__bucket", "__at", "__tick", F.lit(0).alias("__side"), no_row.alias("__row")).unionByName(event.select(*by, "__bucket", "__at", no_tick.alias("__tick"), F.lit(1).alias("__side"), "__row"))
+    # a tick at the event's own time sorts before it: it is found from there and is nearest
+    inside, up_to = Window.partitionBy(*by, "__bucket"), (Window.unboundedPreceding, 0)
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    found = both.withColumns({"__before": last("__tick", inside.orderBy("__at", "__side").rowsBetween(*up_to)), "__after": last("__tick", inside.orderBy(F.desc("__at"), F.desc("__side")).rowsBetween(*up_to))}).filter(F.col("__row").isNotNull())
+    ends = tick.groupBy(*by, "__bucket").agg(F.max_by("__tick", "__at").alias("__last"), F.min_by("__tick", "__at").alias("__first")).withColumn("__asks", F.lit(False))
+    ends = ends.unionByName(event.select(*by, "__bucket").distinct().withColumns({"__last": no_tick, "__first": no_tick, "__asks": F.lit(True)}))
+    key, others = Window.partitionBy(*by), (Window.unboundedPreceding, -1)
+    carried = ends.withColumns({"__earlier": last("__last", key.orderBy("__bucket").rangeBetween(*others)), "__later": last("__first", key.orderBy(-F.col("__bucket")).rangeBetween(*others))}).filter("__asks")
+    carried = carried.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate([*by, "__bucket"])], "__earlier", "__later")
+    out = found.join(carried, [F.col(c).eqNullSafe(F.col(f"__c{i}")) for i, c in enumerate([*by, "__bucket"])], "left")
+    gap = lambda t: F.abs(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {t}.tick_ts)") - F.col("__at"))
+    out = out.withColumns({"__before": F.coalesce("__before", "__earlier"), "__after": F.coalesce("__after", "__later")}).withColumns({"__gap_before": gap("__before"), "__gap_after": gap("__after")})
+    least = F.least("__gap_before", "__gap_after")
+    chosen = F.when(least <= seconds * 1_000_000, F.when(F.col("__gap_before") <= F.coalesce("__gap_after", "__gap_before"), F.col("__before")).otherwise(F.col("__after")))
+    return out.withColumn("__tick", chosen).select(*[F.col("__row")[c].alias(c) for c in columns], *[F.col("__tick")[c].alias(c) for c in ("tick_ts", *values)])
 
 
 def ticks_before(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, values: Sequence[str], seconds: int) -> DataFrame:
