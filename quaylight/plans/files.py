@@ -189,3 +189,48 @@ def src14_mixed_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = written(spark, "src14_mixed", users.select(F.concat(F.lit("u"), "user_id").alias("feed"), body.alias("body")), "json")
     found = feeds.feed_items(spark.read.schema("feed string, body string").json(path))
     return found.select("feed", "place", "form", "title", "url", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "published_from", "content", "publisher")
+
+
+@query("""WITH d AS (SELECT l_suppkey AS k, epoch_us(l_shipdate) // 1000000 AS s, max(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT 'S' || k AS symbol, 'dividend' AS action, make_timestamp(s * 1000000)::DATE AS effective, q::DOUBLE AS amount, NULL::DOUBLE AS numerator, NULL::DOUBLE AS denominator, NULL AS description FROM d WHERE n = 1 AND q > 5
+UNION ALL SELECT 'S' || k, 'split', make_timestamp(s * 1000000)::DATE, NULL, n::DOUBLE, 0.5, CASE WHEN k % 2 = 0 THEN 'for ' || n ELSE n || ':0.5' END FROM d WHERE n > 1""")
+def src11_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chart payload for each supplier; amounts below 0 and keys that are no time don't count."""
+    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).cast("string").alias("s")).agg(F.max("l_quantity").alias("q"), F.count("*").alias("n"))
+    dividend = F.when(F.col("n") == 1, F.struct("s", F.struct(F.when(F.col("q") > 5, F.col("q")).otherwise(-F.col("q")).alias("amount"))))
+    split = F.when(F.col("n") > 1, F.struct("s", F.struct(F.col("n").cast("double").alias("numerator"), F.lit(0.5).alias("denominator"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("for "), "n")).alias("splitRatio"))))
+    g = d.groupBy("k").agg(F.map_from_entries(F.collect_list(dividend)).alias("dividends"), F.map_from_entries(F.concat(F.collect_list(split), F.array(F.struct(F.lit("never").alias("s"), F.struct(F.lit(1.0).alias("numerator"), F.lit(1.0).alias("denominator"), F.lit("x").alias("splitRatio")).alias("col2"))))).alias("splits"))
+    payload = F.to_json(F.struct(F.struct(F.array(F.struct(F.struct(F.concat(F.lit(" s"), "k").alias("symbol")).alias("meta"), F.struct("dividends", "splits").alias("events"))).alias("result")).alias("chart")))
+    return readers.corporate_actions(g.select(payload.alias("payload"))).drop("at")
+
+
+@query("""SELECT sha256('release ' || o_orderkey || '|usd|' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '-05:00') AS event_id, 'release ' || o_orderkey AS title, 'USD' AS country, o_orderdate + INTERVAL 5 HOUR AS scheduled_at,
+  CASE o_orderkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'unknown' END AS impact, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey || '%' END AS forecast, NULL AS previous FROM orders""")
+def src05_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An economic calendar's export: zones, colours for weights, blank figures."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("release "), k).alias("title"), F.lit("usd").alias("country"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("-05:00")).alias("date"),
+        F.when(k % 4 == 0, " Red ").when(k % 4 == 1, "medium").when(k % 4 == 2, "YELLOW").otherwise("grey").alias("impact"), F.when(k % 3 > 0, F.concat(k.cast("string"), F.lit("%"))).otherwise(" ").alias("forecast"), F.lit("").alias("previous"),
+    )
+    return readers.calendar_json(spark, written(spark, "src05", rows, "json"), lines=True).withColumn("scheduled_at", F.col("scheduled_at").cast("timestamp_ntz"))
+
+
+@query("""SELECT 'https://news.example/' || CASE WHEN event_id % 3 = 0 THEN 'markets' ELSE 'sport' END || '/' || event_id AS url, event_type || ' of the ' || CASE WHEN event_id % 5 = 0 THEN 'Fed' ELSE 'federation' END AS title, date_trunc('second', ts) AS published_at FROM events WHERE event_id % 3 = 0 OR event_id % 5 = 0""")
+def src18_relevant_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site maps of news, kept by section or by a keyword as a word of its own."""
+    k = F.col("event_id")
+    tag = lambda name, *c: F.concat(F.lit(f"<{name}>"), *c, F.lit(f"</{name}>"))
+    where = tag("loc", F.lit("https://news.example/"), F.when(k % 3 == 0, "markets").otherwise("sport"), F.lit("/"), k.cast("string"))
+    title = tag("news:news", tag("news:title", F.col("event_type"), F.lit(" of the "), F.when(k % 5 == 0, "Fed").otherwise("federation")))
+    rows = table(spark, sf_dir, "events").select("user_id", tag("url", where, tag("lastmod", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")), title).alias("x"))
+    maps = rows.groupBy(F.col("user_id").alias("feed")).agg(tag("urlset", F.array_join(F.collect_list("x"), "\n")).alias("body"))
+    found = readers.relevant(feeds.feed_items(maps), ["markets"], ["fed"])
+    return found.select("url", "title", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+
+
+@query("""SELECT count(*) AS n FROM lineitem WHERE l_shipdate::DATE >= (SELECT max(l_shipdate)::DATE - 30 FROM lineitem)""")
+def src03_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run reads again: from the latest stored day less the days that may still be revised."""
+    lines = table(spark, sf_dir, "lineitem").select("l_shipdate")
+    return lines.filter(F.to_date("l_shipdate") >= readers.latest_start(lines, "l_shipdate", 30, "1990-01-01")).agg(F.count("*").alias("n"))

@@ -49,9 +49,9 @@ def latest_start(stored: DataFrame, ts: str, revision_days: int, first: str) ->
     return last or first
 
 
-def calendar_json(spark: SparkSession, path: str) -> DataFrame:
-    """``event_id, title, country, scheduled_at, impact, forecast, previous`` of an economic calendar's export."""
-    rows = spark.read.schema("title string, country string, date string, impact string, forecast string, previous string").json(path, multiLine=True)
+def calendar_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``event_id, title, country, scheduled_at, impact, forecast, previous`` of an economic calendar's export, a list or one event a line."""
+    rows = spark.read.schema("title string, country string, date string, impact string, forecast string, previous string").json(path, multiLine=not lines)
     impact = F.lower(F.trim("impact"))
     level = F.when(impact.isin("high", "red"), "high").when(impact.isin("medium", "orange"), "medium").when(impact.isin("low", "yellow"), "low").otherwise("unknown")
     at = F.coalesce(F.try_to_timestamp("date", F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")), F.try_to_timestamp("date"))
@@ -140,6 +140,29 @@ def equity_bars_json(spark: SparkSession, path: str) -> DataFrame:
     return bars.select("symbol", F.to_date(F.timestamp_seconds("b.timestamp")).alias("day"), "b.open", "b.high", "b.low", "b.close", "b.volume").filter("close is not null and not isnan(close)")
 
 
+_DIVIDEND, _SPLIT = "struct<amount:double>", "struct<numerator:double,denominator:double,splitRatio:string>"
+_CHART = f"struct<chart:struct<result:array<struct<meta:struct<symbol:string>,events:struct<dividends:map<string,{_DIVIDEND}>,splits:map<string,{_SPLIT}>>>>>>"
+
+
+def corporate_actions(payloads: DataFrame, keep: Sequence[str] = (), json: str = "payload") -> DataFrame:
+    """``keep..., symbol, action, effective, at, amount, numerator, denominator, description`` of chart payloads: dividends and splits.
+
+    An event's key is its time in seconds.  Events without a time, or whose amount or parts aren't above 0 and finite, go.  A
+    split without a text of its own is described by its parts.
+    """
+    rows = payloads.select(*keep, F.explode(F.from_json(json, _CHART)["chart"]["result"]).alias("r")).select(*keep, F.upper(F.trim("r.meta.symbol")).alias("symbol"), "r.events")
+    none, number = F.lit(None).cast("double"), lambda c: F.when((F.col(c) > 0) & (F.col(c) < float("inf")), F.col(c))
+    plain = lambda c: F.regexp_replace(F.format_number(c, 6), r"(,|\.?0+$)", "")
+    at = F.timestamp_seconds(F.col("k").try_cast("long"))
+    parts = []
+    for action, bucket in (("dividend", "dividends"), ("split", "splits")):
+        each = rows.select(*keep, "symbol", F.explode(f"events.{bucket}").alias("k", "e")).withColumn("at", at)
+        amount, up, down = (number("e.amount"), none, none) if action == "dividend" else (none, number("e.numerator"), number("e.denominator"))
+        shown = F.lit(None).cast("string") if action == "dividend" else F.coalesce(F.nullif(F.trim("e.splitRatio"), F.lit("")), F.concat(plain(up), F.lit(":"), plain(down)))
+        parts.append(each.select(*keep, "symbol", F.lit(action).alias("action"), F.to_date("at").alias("effective"), "at", amount.alias("amount"), up.alias("numerator"), down.alias("denominator"), shown.alias("description")))
+    return parts[0].unionByName(parts[1]).filter("at is not null and symbol <> '' and (amount is not null or (numerator is not null and denominator is not null))")
+
+
 def feed_items(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """``id, title, url, published_at, summary`` of RSS (``rss``) or Atom (``atom``) files or a news site map (``sitemap``)."""
     if kind == "rss":
