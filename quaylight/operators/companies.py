@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Companies whose peers one call may ask for: they are sent to every task.
-MAX_SUBJECTS = 100_000
+#: Tasks among which the companies of one industry are dealt.
+LOTS = 16
 
 
 def dcf(cash: Column, growth: Column, discount: Column, terminal: Column, years: int = 5) -> Column:
@@ -48,14 +48,13 @@ def peer_distance(metrics: dict[str, float], least: int = 3) -> Column:
 def peers(companies: DataFrame, subjects: DataFrame, industry: str, key: str, metrics: dict[str, float], nearest: int = 8) -> DataFrame:
     """``subject, peer, distance, place``: each subject's nearest companies of its industry.
 
-    ``subjects`` is a stated set of at most ``MAX_SUBJECTS`` companies that is compared with all; each task keeps the
-    nearest of what it has seen before anything is shuffled.
+    ``subjects`` is a stated set that is compared with all companies.  They meet by industry and lot: a large industry's
+    companies are dealt to ``LOTS`` tasks, each with a copy of the subjects, and a task keeps the nearest of what it has
+    seen before anything more is shuffled.
     """
-    if subjects.count() > MAX_SUBJECTS:
-        raise ValueError(f"more than {MAX_SUBJECTS} subjects: ask in several calls")
-    s = subjects.select(F.col(key).alias("subject"), F.col(industry).alias("__industry"), *[F.col(m).alias(f"s_{m}") for m in metrics])
-    p = companies.select(F.col(key).alias("peer"), F.col(industry).alias("__industry"), *[F.col(m).alias(f"p_{m}") for m in metrics])
-    both = p.join(F.broadcast(s), "__industry").filter("subject <> peer").withColumn("distance", peer_distance(metrics))
+    s = subjects.select(F.col(key).alias("subject"), F.col(industry).alias("__industry"), *[F.col(m).alias(f"s_{m}") for m in metrics]).withColumn("__lot", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))))
+    p = companies.select(F.col(key).alias("peer"), F.col(industry).alias("__industry"), *[F.col(m).alias(f"p_{m}") for m in metrics]).withColumn("__lot", F.pmod(F.xxhash64("peer"), F.lit(LOTS)).cast("int"))
+    both = p.join(s, ["__industry", "__lot"]).filter("subject <> peer").withColumn("distance", peer_distance(metrics)).drop("__lot")
     w = Window.partitionBy("subject").orderBy("distance", "peer")
     return both.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= nearest)
 

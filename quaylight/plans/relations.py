@@ -370,9 +370,9 @@ def ops13_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter("ts >= TIMESTAMP_NTZ'2024-01-29'").groupBy("event_type", age.alias("age")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, lang, CASE WHEN list_has_any(string_split(lower(substring(coalesce(text, ''), 1, 200)), ' '), ['the', 'and']) THEN 'english' WHEN lang IS NULL THEN 'unknown' ELSE 'other' END AS lane FROM documents""")
+@query("""SELECT doc_id, lang, CASE WHEN list_has_any(string_split(lower(coalesce(text, '')), ' '), ['the', 'and']) THEN 'english' WHEN lang IS NULL THEN 'unknown' ELSE 'other' END AS lane FROM documents""")
 def sty11_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.split(F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 200)), " ")
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), " ")
     lane = F.when(F.arrays_overlap(words, F.array(F.lit("the"), F.lit("and"))), "english").when(F.col("lang").isNull(), "unknown").otherwise("other")
     return table(spark, sf_dir, "documents").select("doc_id", "lang", lane.alias("lane"))
 

@@ -94,16 +94,24 @@ def dup02_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("item").agg(F.max("doc_id").alias("doc_id"), F.max_by("source", "doc_id").alias("source"))
 
 
-@query(f"""WITH {TITLES_SQL}, k AS (SELECT id, source, unnest(list_slice(list_sort(list_distinct(tokens)), 1, 20)) AS key FROM tok)
+#: Words of whole texts.
+WORDS_SQL = f"words AS (SELECT doc_id AS id, source, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN ({STOP}))) AS tokens FROM documents WHERE text IS NOT NULL)"
+
+
+def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), "source", text.title_tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"""WITH {WORDS_SQL}, k AS (SELECT id, source, unnest(list_slice(list_sort(list_distinct(tokens)), 1, 20)) AS key FROM words)
 SELECT key, count(*) AS items, count(DISTINCT source) AS sources, min(id) AS first_id, max(id) AS last_id FROM k GROUP BY key HAVING count(*) >= 3 AND count(DISTINCT source) > 1""")
 def res02_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stories.block_keys(titles(spark, sf_dir), F.col("tokens"), 3)
+    return stories.block_keys(whole_texts(spark, sf_dir), F.col("tokens"), 3)
 
 
-@query(f"""WITH {TITLES_SQL}, k AS (SELECT id, source, unnest(tokens) AS key FROM tok), m AS (SELECT key, (min(id) + max(id)) / 2 AS mid FROM k GROUP BY key)
+@query(f"""WITH {WORDS_SQL}, k AS (SELECT id, source, unnest(tokens) AS key FROM words), m AS (SELECT key, (min(id) + max(id)) / 2 AS mid FROM k GROUP BY key)
 SELECT key, count(*) AS mentions, count(*) FILTER (id > mid) - count(*) FILTER (id <= mid) AS acceleration FROM k JOIN m USING (key) GROUP BY key""")
 def res03_acceleration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = titles(spark, sf_dir).select("id", F.explode("tokens").alias("key"))
+    k = whole_texts(spark, sf_dir).select("id", F.explode("tokens").alias("key"))
     m = k.groupBy("key").agg(((F.min("id") + F.max("id")) / 2).alias("mid"))
     late = F.count_if(F.col("id") > F.col("mid")) - F.count_if(F.col("id") <= F.col("mid"))
     return k.join(m, "key").groupBy("key").agg(F.count("*").alias("mentions"), late.alias("acceleration"))
