@@ -184,3 +184,30 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in pieces} == set(after)
     whole = corpus_pipeline.run(spark, SF).collect()
     assert sorted(map(tuple, whole)) == sorted(map(tuple, pieces))
+
+
+def test_pipeline_on_edge_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and extra columns pass through all stages; so does an empty table."""
+    from tests.llm.test_documents import EDGE
+
+    docs = spark.createDataFrame([(d, t, lang, None if (d or 0) % 3 else "s", None if t is None else len(t)) for d, t, lang in [*EDGE, *EDGE[8:10], (None, EDGE[8][1], "en")]], "doc_id long, text string, lang string, source string, n_chars long").withColumn("Score", F.lit("clash"))
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, kept, SF).write.parquet(str(tmp_path / name))
+        kept = spark.read.parquet(str(tmp_path / name))
+        assert kept.columns == docs.columns
+        none = stage(spark, docs.limit(0), SF)
+        assert none.count() == 0 and none.columns == docs.columns
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs.limit(0), SF).count() == 0
+    packed = last(spark, kept, SF).collect()
+    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in kept.select("doc_id").collect()}
+
+
+def test_chat_with_other_columns(spark):
+    clash = {c: F.lit("clash") for c in ("window_id", "tokens", "mask", "start", "formatted", "n", "piece")}
+    turns = [(1, 0, "system", "be brief"), (1, 1, "user", "hi"), (1, 2, "assistant", None), (2, 0, "user", ""), (None, 0, "user", "x")]
+    plain_ = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    want = sorted(map(str, chat.chat_digests(chat.chat_windows(plain_)).collect()))
+    assert sorted(map(str, chat.chat_digests(chat.chat_windows(plain_.withColumns(clash))).collect())) == want
+    assert chat.chat_digests(chat.chat_windows(plain_.limit(0))).count() == 0
