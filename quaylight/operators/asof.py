@@ -104,3 +104,33 @@ def ticks_before(events: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str
     tick = ticks.select(*by, micros(ts).alias("__tick_at"), F.col(ts).alias("tick_ts"), *values).withColumn("__bucket", F.floor(F.col("__tick_at") / size))
     joined = event.join(tick, [*by, "__bucket"]).filter((F.col("__tick_at") < F.col("__at")) & (F.col("__tick_at") >= F.col("__at") - size))
     return joined.select(*[F.col("__row")[c].alias(c) for c in events.columns], "tick_ts", *values)
+
+
+def slot_lasts(events: DataFrame, ticks: DataFrame, by: Sequence[str], ids: Sequence[str], ts: str, value: str, seconds: int, slot_seconds: int) -> DataFrame:
+    """``ids..., slot, value``: the last known value of each slot of time in the ``seconds`` before each event.
+
+    The event's own time is left out; a slot without ticks in there has no row, one whose values are all null has null.
+    Slots count from 1970.  Events of equal ``ids`` (``by`` among them) are one, with all their stretches.  Ticks are cut to
+    one row for each slot first; an event reads those of the slots before its own, and only its own slot as of its time.
+    """
+    keys, ids, size, back = list(by), list(ids), slot_seconds * 1_000_000, seconds * 1_000_000
+    slot = lambda at: F.floor(at / size)
+    tick = ticks.filter(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(F.max(value).alias("__v")).withColumn("__at", micros(ts)).withColumn("__slot", slot(F.col("__at")))
+    so_far = Window.partitionBy(*keys, "__slot").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.last(F.when(F.col("__v").isNotNull(), F.struct("__at", F.col("__v").alias("v"))), ignorenulls=True).over(so_far)
+    tick = tick.withColumn("__known", known)
+    last = tick.groupBy(*keys, "__slot").agg(F.max_by(F.struct("__at", "__known"), "__at").alias("__last"))
+    asked = asof_before(events.select(*ids, ts).distinct(), tick.select(*keys, ts, "__known"), keys, ts, ["__known"], seconds=seconds)
+    asked = asked.select(*ids, F.struct(micros(ts).alias("at"), micros("tick_ts").alias("tick_at"), F.col("__known").alias("known")).alias("__w")).filter("__w.at is not null")
+    asked = asked.groupBy(*ids).agg(F.collect_list("__w").alias("__w"))
+    slots = F.array_distinct(F.flatten(F.transform("__w", lambda w: F.sequence(slot(w["at"] - back), slot(w["at"] - 1)))))
+    both = asked.withColumn("__slot", F.explode(slots)).join(last, [*keys, "__slot"])
+
+    def seen(w: Column) -> Column:
+        since, here = w["at"] - back, slot(w["at"]) == F.col("__slot")
+        found = F.when(here, F.struct(w["tick_at"].alias("__at"), w["known"].alias("__known"))).otherwise(F.col("__last"))
+        inside = (found["__at"] >= since) & (slot(found["__at"]) == F.col("__slot")) & (slot(w["at"]) >= F.col("__slot"))
+        return F.when(inside, F.struct(F.when(found["__known"]["__at"] >= since, found["__known"]).alias("k")))
+
+    best = both.withColumn("__best", F.array_max(F.transform("__w", seen))).filter("__best is not null")
+    return best.select(*ids, F.col("__slot").alias("slot"), F.col("__best.k.v").alias(value))

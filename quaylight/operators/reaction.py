@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaylight.functions.numeric import percent_change
+from quaylight.functions.times import micros
 from quaylight.operators import asof
 
 #: Minutes after an event at which its reaction is read.
@@ -138,6 +140,83 @@ def matched_volatility(samples: DataFrame, by: Sequence[str], horizon_seconds: i
     return samples.groupBy(*keys).applyInPandas(run, f"{types}, pairs long, volatility double")
 
 
+def _middle(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The median of ``values[low:high]`` of each range, none of them empty.
+
+    Ranks are split by their bits from the highest on, as in a wavelet matrix, and all ranges go down together, so the
+    cost of a range doesn't depend on its length.
+    """
+    levels, rank = np.unique(values, return_inverse=True)
+    count = high - low
+    a, b = np.tile(low, 2), np.tile(high, 2)
+    k = np.concatenate([(count - 1) // 2, count // 2])
+    found = np.zeros(len(k), dtype=np.int64)
+    for bit in reversed(range(max(1, int(len(levels) - 1).bit_length()))):
+        zero = (rank >> bit) & 1 == 0
+        before = np.concatenate([[0], np.cumsum(zero)])
+        left, right = before[a], before[b]
+        low_half = k < right - left
+        found = np.where(low_half, found, found | (1 << bit))
+        k = np.where(low_half, k, k - (right - left))
+        a, b = np.where(low_half, left, before[-1] + a - left), np.where(low_half, right, before[-1] + b - right)
+        rank = np.concatenate([rank[zero], rank[~zero]])
+    middle = levels[found]
+    return (middle[: len(count)] + middle[len(count) :]) / 2
+
+
+def _matched_windows(prices: np.ndarray, times: np.ndarray, low: np.ndarray, high: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, volatility, nan if null): ``_matched`` of each window ``low:high`` of the samples; all windows step together."""
+    pairs, volatility = np.zeros(len(low), dtype=np.int64), np.full(len(low), np.nan)
+    to = np.searchsorted(times, times + horizon)
+    slack = np.where(to < len(times), times[np.minimum(to, len(times) - 1)] - times - horizon, np.inf)
+    window = np.flatnonzero(high - low >= 2)
+    if not len(window):
+        return pairs, volatility
+    at, end, gap = low[window], high[window], _middle(np.diff(times), low[window], high[window] - 1)
+    owners, moves = [], []
+    while len(window):
+        inside = (at < end) & (to[np.minimum(at, len(times) - 1)] < end)
+        window, at, end, gap = window[inside], at[inside], end[inside], gap[inside]
+        fits = (slack[at] <= gap) & (prices[at] != 0)
+        owners.append(window[fits])
+        moves.append((prices[to[at[fits]]] / prices[at[fits]] - 1) * 100)
+        at = np.where(fits, to[at], at + 1)
+    owner, move = np.concatenate(owners), np.concatenate(moves)
+    pairs = np.bincount(owner, minlength=len(low))
+    mean = np.bincount(owner, move, len(low)) / np.maximum(pairs, 1)
+    square = np.bincount(owner, (move - mean[owner]) ** 2, len(low)) / np.maximum(pairs, 1)
+    return pairs, np.where(pairs >= 2, np.sqrt(square), np.nan)
+
+
+def matched_volatility_before(asks: DataFrame, ticks: DataFrame, by: Sequence[str], ts: str, seconds: int, horizon_seconds: int) -> DataFrame:
+    """``asks`` with ``pairs, volatility`` of the ``seconds`` before each one's time, as of ``matched_volatility``.
+
+    ``ticks``: ``by..., ts, close``; a tick at the ask's own time is left out, asks without a tick have no row, equal rows
+    of ``asks`` count once.  Asks meet ticks by stretches of ``seconds``: a task holds two stretches of one key's ticks and
+    reads each window where it lies, so windows are never written out.
+    """
+    keys, size, columns = list(by), seconds * 1_000_000, asks.columns
+    finite = F.col("close").isNotNull() & ~F.isnan("close") & (F.abs("close") < float("inf"))
+    tick = ticks.filter(finite).groupBy(*keys, micros(ts).alias("__at")).agg(F.min(F.col("close").cast("double")).alias("__close"))
+    slot = F.floor(F.col("__at") / size)
+    tick = tick.select(*keys, "__at", "__close", F.explode(F.array(slot, slot + 1)).alias("__slot"))
+    ask = asks.distinct().withColumn("__at", micros(ts)).withColumn("__slot", slot)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+    def run(group: pd.DataFrame, samples: pd.DataFrame) -> pd.DataFrame:
+        samples = samples.sort_values("__at")
+        at, moment = samples["__at"].to_numpy(), group["__at"].to_numpy()
+        low, high = np.searchsorted(at, moment - size), np.searchsorted(at, moment)
+        some = high > low
+        group, low, high = group[some], low[some], high[some]
+        pairs, volatility = _matched_windows(samples["__close"].to_numpy(), at / 1_000_000, low, high, horizon_seconds)
+        return group[columns].assign(pairs=pairs, volatility=volatility)
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asks.schema)
+    groups = [df.groupBy(*keys, "__slot") for df in (ask.filter(known), tick.filter(known))]
+    return groups[0].cogroup(groups[1]).applyInPandas(run, f"{types}, pairs long, volatility double")
+
+
 def easter(year: int) -> dt.date:
     """Easter Sunday of the Gregorian calendar, from the golden number, the century's epact and the Sunday letter."""
     golden, century = year % 19, year // 100

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylight.functions.times import business_days, bucket, micros, week_window
+from quaylight.functions.times import business_days, micros, week_window
 from quaylight.operators import asof, reaction
 from quaylight.plans.base import CALENDAR_SQL, TICKS_SQL, query, table, ticks
 
@@ -87,16 +87,16 @@ def rxn08_path_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, symbol, slot * 900 AS slot_s, arg_max(close, ts) AS close FROM s GROUP BY ALL""")
 def rxn09_bucket_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     asks = events(spark, sf_dir).crossJoin(F.broadcast(instruments(spark)))
-    s = asof.ticks_before(asks, ticks(spark, sf_dir).select("symbol", "ts", "close"), ["symbol"], "ts", ["close"], 3 * 3600)
-    return s.groupBy("event_id", "symbol", bucket("tick_ts", 900).alias("slot_s")).agg(F.max_by("close", "tick_ts").alias("close"))
+    s = asof.slot_lasts(asks, ticks(spark, sf_dir).select("symbol", "ts", "close"), ["symbol"], ["event_id", "symbol"], "ts", "close", 3 * 3600, 900)
+    return s.select("event_id", "symbol", (F.col("slot") * 900).alias("slot_s"), "close")
 
 
 @query()
 def rxn10_matched_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spread of non-overlapping hourly moves before each event: greedy pairing has no SQL form; tests hold it to a loop."""
     asks = events(spark, sf_dir).crossJoin(F.broadcast(instruments(spark)))
-    s = asof.ticks_before(asks, ticks(spark, sf_dir).select("symbol", "ts", "close"), ["symbol"], "ts", ["close"], 24 * 3600)
-    return reaction.matched_volatility(s.select("event_id", "symbol", (micros("tick_ts") / 1_000_000).alias("at"), "close"), ["event_id", "symbol"], 3600)
+    found = reaction.matched_volatility_before(asks, ticks(spark, sf_dir).select("symbol", "ts", "close"), ["symbol"], "ts", 24 * 3600, 3600)
+    return found.select("event_id", "symbol", "pairs", "volatility")
 
 
 @query(f"""WITH {MOVES_SQL} SELECT missing_reason, horizon, count(*) AS n FROM moves GROUP BY ALL""")
