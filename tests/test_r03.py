@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 
-from quaylight.operators import asof, reaction
+from quaylight.operators import asof, pointintime, reaction
 
 BEGIN = dt.datetime(2024, 1, 1)
 
@@ -57,3 +57,14 @@ def test_slot_lasts(spark):
     want = duckdb.sql("SELECT event_id, a.symbol, epoch_us(t.ts) // 900000000, arg_max(close, t.ts) FROM asks_df a JOIN (SELECT symbol, ts, CASE WHEN isnan(close) THEN NULL ELSE close END AS close FROM ticks_df) t ON t.symbol = a.symbol AND t.ts < a.ts AND t.ts >= a.ts - INTERVAL 3 HOUR GROUP BY ALL").fetchall()
     assert got == sorted(want, key=str)
     assert any(r[3] is None for r in got)
+
+
+def test_equal_versions(spark):
+    """Of rows that key, time and version leave equal, a replay takes the same one whatever their order."""
+    rows = [(1, 1, BEGIN, "b", 7), (1, 1, BEGIN, "a", 9), (1, 1, BEGIN, None, 8), (2, 1, BEGIN, "x", 2), (2, 1, BEGIN, "x", 1)]
+    a = pointintime.Adapter("f", "t", ["k"], "at", [], ["x"], "x", {"e": "y"}, identity=["k"], version="v")
+    found = []
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        t = spark.createDataFrame(order, "k int, v int, at timestamp_ntz, x string, y int")
+        found.append(sorted((r["content"], *r["entities"]) for r in pointintime.collect({"t": t}, [a], "2024-01-05", 30).collect()))
+    assert found[0] == found[1] == found[2] == [('{"x":"a"}', "e:9"), ('{"x":"x"}', "e:1")]
