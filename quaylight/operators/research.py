@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from quaylight.functions.text import collapse_space, jaccard
-from quaylight.operators.stories import SALTS, rare_tokens
+from quaylight.functions.text import collapse_space
 
 #: A number in a claim, with what may follow it, after no letter.
 NUMBER = r"(?:^|[^A-Za-z0-9.,])([-+]?[0-9][0-9,.]*(?:%|bps|bp)?)"
+#: Names and asked sets that meet in one task, and cells of a table of shared tokens that it holds at once.
+NAMES, ASKED, CELLS = 50_000, 8_192, 2_000_000
 #: Words by which a source tells how its last attempt went; fixed values.
 STATUSES = {
     "rate_limited": ("rate_limited", "rate-limited", "ratelimited", "throttled", "throttle"),
@@ -39,22 +41,60 @@ def nfkc_tokens(texts: pd.Series) -> pd.Series:
     return texts.map(words)
 
 
+def _nearest_sets(threshold: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The most similar set of ``names`` for each asked one, from the threshold on; of equal ones the least case."""
+
+    def run(asked: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"id": asked["id"], "case_id": pd.Series(0, index=asked.index, dtype="int64"), "score": 0.0})
+        if not len(asked) or not len(names):
+            return out.iloc[:0]
+        names = names.sort_values("case_id")
+        flat, sizes = np.concatenate(asked["tokens"].to_list()), asked["tokens"].str.len().to_numpy()
+        words, place = np.unique(flat, return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        owner = np.repeat(np.arange(len(asked)), sizes)[order]
+        begin = np.searchsorted(place[order], np.arange(len(words) + 1))
+        best, case = np.zeros(len(asked)), np.zeros(len(asked), dtype=np.int64)
+        step = max(1, CELLS // len(asked))
+        for k in range(0, len(names), step):
+            part = names.iloc[k : k + step]
+            own, token = part["tokens"].str.len().to_numpy(), np.concatenate(part["tokens"].to_list())
+            row, at = np.repeat(np.arange(len(part)), own), np.minimum(np.searchsorted(words, token), len(words) - 1)
+            row, at = row[words[at] == token], at[words[at] == token]
+            many = begin[at + 1] - begin[at]
+            # all asked sets that hold a token, for each token of each name
+            where = np.arange(many.sum()) + np.repeat(begin[at] - np.cumsum(many) + many, many)
+            shared = np.bincount(np.repeat(row, many) * len(asked) + owner[where], minlength=len(part) * len(asked)).reshape(len(part), len(asked))
+            score = shared / (own[:, None] + sizes[None, :] - shared)
+            # names ascend by case, so the first of equal scores has the least one
+            first = score.argmax(axis=0)
+            top = score[first, np.arange(len(asked))]
+            better = top > best
+            best, case = np.where(better, top, best), np.where(better, part["case_id"].to_numpy()[first], case)
+        return out.assign(case_id=case, score=best)[(best >= threshold) & (best > 0)]
+
+    return run
+
+
 def match_cases(asked: DataFrame, cases: DataFrame, threshold: float) -> DataFrame:
     """``id, case_id, how, score``: the least case of an asked pattern's fingerprint, else the most similar from the threshold on.
 
     ``asked``: ``id, fingerprint, tokens``; ``cases``: ``case_id, fingerprint, names`` with a token set for the title and
-    each alias, of which the nearest counts.  A null fingerprint is none.  Sets meet at the rarest tokens of a name, one of
-    which a name as near as ``threshold`` shares.
+    each alias, of which the nearest counts.  A null fingerprint is none.  Every asked set is held against every name: names
+    of one token set are one, ``NAMES`` of them and ``ASKED`` asked sets meet in a task, which counts shared tokens by
+    their hashes and gives one row for each asked set, so pairs are never written.
     """
-    exact = asked.join(cases.groupBy("fingerprint").agg(F.min("case_id").alias("case_id")), "fingerprint").select("id", "case_id")
-    names = cases.select("case_id", F.posexplode("names").alias("place", "tokens")).filter(F.size("tokens") > 0)
-    names = rare_tokens(names.select("case_id", F.concat_ws(":", "case_id", "place").alias("id"), F.array_distinct("tokens").alias("tokens")), threshold)
-    one = asked.join(exact, "id", "left_anti").select("id", F.array_distinct("tokens").alias("tokens"))
-    right = names.select(F.col("id").alias("name"), F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt"), F.explode("rare").alias("token"))
-    left = one.select("id", F.explode("tokens").alias("token")).withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
-    pairs = right.join(left, ["token", "salt"]).select("id", "name").distinct()
-    scored = pairs.join(one, "id").join(names.select(F.col("id").alias("name"), F.col("tokens").alias("others"), "case_id"), "name")
-    scored = scored.select("id", "case_id", jaccard(F.col("tokens"), F.col("others")).alias("score")).filter(F.col("score") >= threshold)
+    exact = asked.join(cases.groupBy("fingerprint").agg(F.min("case_id").alias("case_id")), "fingerprint").groupBy("id").agg(F.min("case_id").alias("case_id"))
+    hashed = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda t: F.xxhash64(t)))).alias("tokens")
+    names = cases.select("case_id", F.explode("names").alias("tokens")).filter(F.size("tokens") > 0).select("case_id", hashed(F.col("tokens")))
+    names = names.groupBy("tokens").agg(F.min("case_id").alias("case_id"))
+    one = asked.filter(F.size("tokens") > 0).join(exact, "id", "left_anti").select("id", hashed(F.col("tokens")))
+    n, m = cases.count() * 2, asked.count()
+    parts, lots = -(-n // NAMES) or 1, -(-m // ASKED) or 1
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = one.withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(lots)).cast("int")).withColumn("part", each(parts))
+    right = names.withColumn("part", F.pmod(F.xxhash64("case_id", F.size("tokens")), F.lit(parts)).cast("int")).withColumn("lot", each(lots))
+    scored = left.groupBy("part", "lot").cogroup(right.groupBy("part", "lot")).applyInPandas(_nearest_sets(threshold), "id long, case_id long, score double")
     best = scored.groupBy("id").agg(F.max_by(F.struct("case_id", "score"), F.struct("score", -F.col("case_id"))).alias("m"))
     return exact.select("id", "case_id", F.lit("fingerprint").alias("how"), F.lit(1.0).alias("score")).unionByName(best.select("id", "m.case_id", F.lit("similarity").alias("how"), "m.score"))
 

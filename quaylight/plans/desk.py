@@ -155,9 +155,9 @@ p AS (SELECT a.id, c.id AS case_id, greatest(len(list_intersect(a.tokens, c.toke
 b AS (SELECT id, arg_max(case_id, (score, -case_id)) AS case_id, max(score) AS score FROM p WHERE score >= 0.12 GROUP BY 1)
 SELECT id, case_id, 'fingerprint' AS how, 1.0 AS score FROM exact UNION ALL SELECT id, case_id, 'similarity', round(score, 8) FROM b""")
 def res04_case_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), text.title_tokens(F.substring_index("text", "\n", -1)).alias("other"))
-    print_ = F.concat(F.coalesce("lang", F.lit("")), F.lit(":"), F.array_join(F.slice(F.array_sort("tokens"), 1, 12), " "))
-    c = titles(spark, sf_dir).join(last, "id").withColumn("fingerprint", print_)
+    line = lambda n: text.title_tokens(F.substring_index("text", "\n", n))
+    d = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), "lang", line(1).alias("tokens"), line(-1).alias("other"))
+    c = d.withColumn("fingerprint", F.concat(F.coalesce("lang", F.lit("")), F.lit(":"), F.array_join(F.slice(F.array_sort("tokens"), 1, 12), " ")))
     found = research.match_cases(c.filter("id % 100 = 0").select("id", "fingerprint", "tokens"), c.filter("id % 100 <> 0").select(F.col("id").alias("case_id"), "fingerprint", F.array("tokens", "other").alias("names")), 0.12)
     return found.withColumn("score", F.round("score", 8))
 

@@ -154,7 +154,10 @@ def src20_company_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(*) FILTER (l_linenumber % 3 = 2) AS other, coalesce(sum(l_quantity * 2) FILTER (l_linenumber % 3 = 0), 0) - coalesce(sum(l_quantity * 2) FILTER (l_linenumber % 3 = 1), 0) AS net_value,
   coalesce(sum(l_quantity) FILTER (l_linenumber % 3 = 0), 0) - coalesce(sum(l_quantity) FILTER (l_linenumber % 3 = 1), 0) AS net FROM lineitem GROUP BY ALL""")
 def src09_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ownership documents in XML, one for each line of an order: bought, sold or granted."""
+    """Ownership documents in XML, one for each line of an order: bought, sold or granted.
+
+    Their names and spaces take 60 times their values, so the files are compressed; several of them, as none can be split.
+    """
     n = F.col("l_linenumber") % 3
     value = lambda c, name: F.struct(c.cast("string").alias("value")).alias(name)
     amounts = F.struct(value(F.col("l_quantity"), "transactionShares"), value(F.lit(2), "transactionPricePerShare"), value(F.when(n == 1, "D").otherwise("A"), "transactionAcquiredDisposedCode"))
@@ -163,7 +166,7 @@ def src09_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("A"), "l_orderkey").alias("accession"), F.struct(F.concat(F.lit("P"), F.col("l_partkey") % 30).alias("issuerTradingSymbol")).alias("issuer"), F.struct(F.struct(F.concat(F.lit("S"), "l_suppkey").alias("rptOwnerName")).alias("reportingOwnerId")).alias("reportingOwner"),
         F.struct(F.array(trade).alias("nonDerivativeTransaction")).alias("nonDerivativeTable"),
     )
-    return readers.insider_days(readers.ownership_xml(spark, written(spark, "src09", docs, "xml", rootTag="all", rowTag="ownershipDocument")))
+    return readers.insider_days(readers.ownership_xml(spark, written(spark, "src09", docs, "xml", rootTag="all", rowTag="ownershipDocument", compression="gzip", maxRecordsPerFile="200000")))
 
 
 @query("""SELECT 'u' || user_id AS feed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place, list_extract(['rss', 'atom', 'jsonld', 'html'], (user_id % 4)::INT + 1) AS form, event_type || ' & ' || event_id AS title, 'https://feed.example/' || event_id AS url,

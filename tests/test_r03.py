@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import pathlib
 
 import duckdb
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
-from quaylight.operators import asof, pointintime, reaction
+from quaylight.operators import asof, pointintime, reaction, research
+from quaylight.plans import files
+from quaylight.sources.scratch import shared_folder
 
 BEGIN = dt.datetime(2024, 1, 1)
 
@@ -68,3 +72,26 @@ def test_equal_versions(spark):
         t = spark.createDataFrame(order, "k int, v int, at timestamp_ntz, x string, y int")
         found.append(sorted((r["content"], *r["entities"]) for r in pointintime.collect({"t": t}, [a], "2024-01-05", 30).collect()))
     assert found[0] == found[1] == found[2] == [('{"x":"a"}', "e:9"), ('{"x":"x"}', "e:1")]
+
+
+def test_case_pairs_are_not_written(spark):
+    """2,000 patterns and 3,000 cases that share their commonest words: six million pairs, of which one for each pattern comes out."""
+    word = lambda n: F.concat(F.lit("w"), (F.col("id") * 7919 % n).cast("string"))
+    tokens = F.array(F.lit("the"), F.lit("and"), word(13), word(101), word(997))
+    asked = spark.range(2000).select("id", F.concat(F.lit("a"), "id").alias("fingerprint"), tokens.alias("tokens"))
+    cases = spark.range(2000, 5000).select(F.col("id").alias("case_id"), F.lit("b").alias("fingerprint"), F.array(tokens, F.array(F.lit("the"))).alias("names"))
+    got = {r["id"]: (r["case_id"], r["score"]) for r in research.match_cases(asked, cases, 0.3).collect()}
+    plain = {r["id"]: set(r["tokens"]) for r in spark.range(5000).select("id", tokens.alias("tokens")).collect()}
+    assert len(got) == 2000
+    for i in range(0, 2000, 97):
+        scores = [(len(plain[i] & s) / len(plain[i] | s), -k) for k in range(2000, 5000) for s in (plain[k], {"the"})]
+        assert got[i] == (-max(scores)[1], max(scores)[0])
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(research.match_cases(asked, cases, 0.3)._jdf.queryExecution(), "simple")
+    assert "CoGroup" in plan and plan.count("Generate explode(rare") == 0
+
+
+def test_ownership_files_are_compressed(spark):
+    files.src09_ownership(spark, "/root/testdata/sf0.001")
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file://"))
+    names = [p.name for p in folder.glob("src09-*/src09/part-*")]
+    assert names and all(n.endswith(".xml.gz") for n in names)
