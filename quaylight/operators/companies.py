@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tasks among which the companies of one industry are dealt.
-LOTS = 16
+#: Lots among which the companies of one industry are dealt, and distances that a task holds at once.
+LOTS, CELLS = 16, 2_000_000
+#: Metrics that two companies must have for a distance.
+LEAST_METRICS = 3
 
 
 def dcf(cash: Column, growth: Column, discount: Column, terminal: Column, years: int = 5) -> Column:
@@ -31,7 +35,7 @@ def sensitivity(companies: DataFrame, key: str, discount_step: float = 0.01, ter
     return all_.withColumn("__v", value).groupBy(key).agg(F.min("__v").alias("low"), F.max("__v").alias("high"), F.count("__v").alias("cells"))
 
 
-def peer_distance(metrics: dict[str, float], least: int = 3) -> Column:
+def peer_distance(metrics: dict[str, float], least: int = LEAST_METRICS) -> Column:
     """Mean of scaled differences of ``metrics`` (name: least scale) between ``s_`` and ``p_`` columns.
 
     The scale is the larger magnitude, a part is 2 at most, each missing metric adds 0.15; with fewer than ``least``
@@ -45,18 +49,56 @@ def peer_distance(metrics: dict[str, float], least: int = 3) -> Column:
     return F.when(known < least, 10.0).otherwise(F.try_divide(total, known.cast("double")) + (len(metrics) - known) * 0.15)
 
 
+def _nearest(metrics: dict[str, float], nearest: int, types: list[str]) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The nearest peers of each subject in two blocks, by ``peer_distance`` and the peer's key."""
+
+    def run(subjects: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        others = others.sort_values("peer")
+        found = []
+        step = max(1, CELLS // max(1, len(others)))
+        for k in range(0, len(subjects) if len(others) else 0, step):
+            part = subjects.iloc[k : k + step]
+            total = np.zeros((len(part), len(others)))
+            for name, floor in metrics.items():
+                a, b = (x.to_numpy(dtype=float)[i] for x, i in ((part[f"s_{name}"], np.s_[:, None]), (others[f"p_{name}"], np.s_[None, :])))
+                with np.errstate(all="ignore"):
+                    # as in Spark, the least of a number and null is the number
+                    total += np.fmin(2.0, np.abs(a - b) / np.maximum(np.maximum(np.abs(a), np.abs(b)), floor))
+            distance = total / len(metrics) if len(metrics) >= LEAST_METRICS else np.full_like(total, 10.0)
+            distance[part["subject"].to_numpy()[:, None] == others["peer"].to_numpy()[None, :]] = np.inf
+            last = min(nearest, len(others)) - 1
+            row, col = np.nonzero(distance <= np.partition(distance, last, axis=1)[:, last, None])
+            value = distance[row, col]
+            order = np.lexsort((col, value, row))
+            row, col, value = row[order], col[order], value[order]
+            kept = (np.arange(len(row)) - np.searchsorted(row, row) < nearest) & (value < np.inf)
+            row, col = row[kept], col[kept]
+            left, right = part.iloc[row].reset_index(drop=True), others.iloc[col].reset_index(drop=True)
+            found.append(pd.concat([left, right.drop(columns=["__industry"])], axis=1).assign(distance=value[kept])[types])
+        return pd.concat(found) if found else subjects.iloc[:0].reindex(columns=types)
+
+    return run
+
+
 def peers(companies: DataFrame, subjects: DataFrame, industry: str, key: str, metrics: dict[str, float], nearest: int = 8) -> DataFrame:
     """``subject, peer, distance, place``: each subject's nearest companies of its industry.
 
-    ``subjects`` is a stated set that is compared with all companies.  They meet by industry and lot: a large industry's
-    companies are dealt to ``LOTS`` tasks, each with a copy of the subjects, and a task keeps the nearest of what it has
-    seen before anything more is shuffled.
+    ``subjects`` may be all companies, or a part of them.  Subjects and companies of an industry are dealt to ``LOTS`` lots
+    each, and each pair of lots meets in a task that keeps its nearest, so pairs are never written.  All pairs of an industry
+    are compared: the work grows with the square of its size, memory and what is shuffled with its size.
     """
-    s = subjects.select(F.col(key).alias("subject"), F.col(industry).alias("__industry"), *[F.col(m).alias(f"s_{m}") for m in metrics]).withColumn("__lot", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))))
-    p = companies.select(F.col(key).alias("peer"), F.col(industry).alias("__industry"), *[F.col(m).alias(f"p_{m}") for m in metrics]).withColumn("__lot", F.pmod(F.xxhash64("peer"), F.lit(LOTS)).cast("int"))
-    both = p.join(s, ["__industry", "__lot"]).filter("subject <> peer").withColumn("distance", peer_distance(metrics)).drop("__lot")
+    lot = lambda c: F.pmod(F.xxhash64(c), F.lit(LOTS)).cast("int")
+    every = F.explode(F.array(*[F.lit(k) for k in range(LOTS)]))
+    kind = companies.schema[key].dataType.simpleString()
+    s = subjects.filter(F.col(industry).isNotNull()).select(F.col(key).alias("subject"), F.col(industry).alias("__industry"), *[F.col(m).cast("double").alias(f"s_{m}") for m in metrics])
+    p = companies.filter(F.col(industry).isNotNull()).select(F.col(key).alias("peer"), F.col(industry).alias("__industry"), *[F.col(m).cast("double").alias(f"p_{m}") for m in metrics])
+    s = s.filter("subject is not null").withColumn("__lot", lot("subject")).withColumn("__other", every)
+    p = p.filter("peer is not null").withColumn("__other", lot("peer")).withColumn("__lot", every)
+    types = {"__industry": companies.schema[industry].dataType.simpleString(), "subject": kind, "peer": kind, **{f"{x}_{m}": "double" for x in "sp" for m in metrics}, "distance": "double"}
+    by = ["__industry", "__lot", "__other"]
+    found = s.groupBy(*by).cogroup(p.groupBy(*by)).applyInPandas(_nearest(metrics, nearest, list(types)), ", ".join(f"`{n}` {t}" for n, t in types.items()))
     w = Window.partitionBy("subject").orderBy("distance", "peer")
-    return both.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= nearest)
+    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= nearest)
 
 
 def compare_with_peers(near: DataFrame, metric: str) -> DataFrame:

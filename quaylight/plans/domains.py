@@ -425,14 +425,14 @@ def inv16_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 PEER_METRICS = {"growth": 10.0, "margin": 10.0, "price": 100.0}
 PEERS_SQL = FACTS_SQL + """, m AS (SELECT company, industry, growth, margin, price FROM co),
 d AS (SELECT s.company AS subject, p.company AS peer, s.growth AS sg, p.growth AS pg, """ + ", ".join(f"least(2, abs(s.{m} - p.{m}) / greatest(abs(s.{m}), abs(p.{m}), {f})) AS d{i}" for i, (m, f) in enumerate(PEER_METRICS.items())) + """
-  FROM m s JOIN m p ON s.industry = p.industry AND s.company <> p.company WHERE s.company % 100 = 0),
+  FROM m s JOIN m p ON s.industry = p.industry AND s.company <> p.company),
 k AS (SELECT subject, peer, sg, pg, CASE WHEN d0 IS NULL OR d1 IS NULL OR d2 IS NULL THEN 10.0 ELSE (d0 + d1 + d2) / 3 END AS distance FROM d),
 n AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY distance, peer) AS place FROM k), near AS (SELECT * FROM n WHERE place <= 8)"""
 
 
 def near_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = company_facts(spark, sf_dir)
-    return companies.peers(f, f.filter("company % 100 = 0"), "industry", "company", PEER_METRICS)
+    return companies.peers(f, f, "industry", "company", PEER_METRICS)
 
 
 @query(f"WITH {PEERS_SQL} SELECT subject, peer, round(distance, 6) AS distance, place FROM near")

@@ -10,8 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quaylight.operators import asof, pointintime, reaction, research
-from quaylight.plans import files
+from quaylight.operators import asof, companies, pointintime, reaction, research
+from quaylight.plans import domains, files
 from quaylight.sources.scratch import shared_folder
 
 BEGIN = dt.datetime(2024, 1, 1)
@@ -95,3 +95,20 @@ def test_ownership_files_are_compressed(spark):
     folder = pathlib.Path(shared_folder(spark).removeprefix("file://"))
     names = [p.name for p in folder.glob("src09-*/src09/part-*")]
     assert names and all(n.endswith(".xml.gz") for n in names)
+
+
+def test_all_companies_have_peers(spark):
+    """Every company is a subject; missing metrics, ties, null industries and an industry of one."""
+    rows = [(k, k % 3 if k % 11 else None, float(k % 7) if k % 5 else None, float(k % 13), float(k * k % 101)) for k in range(1, 200)] + [(500, 9, 1.0, 1.0, 1.0)]
+    metrics = {"growth": 10.0, "margin": 10.0, "price": 100.0}
+    f = spark.createDataFrame(rows, "company long, industry int, growth double, margin double, price double")
+    got = {(r["subject"], r["place"]): (r["peer"], r["distance"], r["p_growth"]) for r in companies.peers(f, f, "industry", "company", metrics).collect()}
+    s, p = (f.select(F.col("company").alias(n), "industry", *[F.col(m).alias(f"{x}_{m}") for m in metrics]) for n, x in (("subject", "s"), ("peer", "p")))
+    pairs = s.join(p, "industry").filter("subject <> peer").withColumn("distance", companies.peer_distance(metrics)).collect()
+    want = {}
+    for subject in {r["subject"] for r in pairs}:
+        near = sorted((((r["distance"], r["peer"]), r["p_growth"]) for r in pairs if r["subject"] == subject), key=lambda x: x[0])[:8]
+        want |= {(subject, k + 1): (key[1], key[0], growth) for k, (key, growth) in enumerate(near)}
+    assert got == want
+    d = "/root/testdata/sf0.001"
+    assert domains.inv17_peer_distance(spark, d).select("subject").distinct().count() == domains.company_facts(spark, d).count() > 1
