@@ -164,7 +164,8 @@ def relationships(facts: DataFrame) -> DataFrame:
     """
     known = facts.filter("value is not null")
     pick = lambda m: F.max(F.when(F.col("metric") == m, F.concat_ws(":", "period", "value")))
-    one = known.groupBy("company").agg(*[pick(m).alias(m) for m in ("revenue_growth", "revenue", "net_income_growth", "net_income", "operating_cash_flow", "capex", "cash_paid_for_property_and_equipment")])
+    # text is aggregated by sorting: dealt by company first, no task sorts a whole split of the input
+    one = known.repartition("company").groupBy("company").agg(*[pick(m).alias(m) for m in ("revenue_growth", "revenue", "net_income_growth", "net_income", "operating_cash_flow", "capex", "cash_paid_for_property_and_equipment")])
     named = lambda name, *cs: F.concat(F.lit(f"{name}:"), F.coalesce(*cs))
     growth = F.concat(F.lit("rel:top_bottom:"), named("revenue", "revenue_growth", "revenue"), F.lit(":"), named("net_income", "net_income_growth", "net_income"))
     cash = F.concat(F.lit("rel:cash_gen:"), named("operating_cash_flow", F.col("operating_cash_flow")), F.lit(":"), named("capex", "capex", "cash_paid_for_property_and_equipment"))

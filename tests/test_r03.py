@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quaylight.operators import asof, companies, pointintime, reaction, research
+from quaylight.operators import asof, companies, evidence, pointintime, reaction, research
 from quaylight.plans import domains, files
 from quaylight.sources.scratch import shared_folder
 
@@ -112,3 +112,18 @@ def test_all_companies_have_peers(spark):
     assert got == want
     d = "/root/testdata/sf0.001"
     assert domains.inv17_peer_distance(spark, d).select("subject").distinct().count() == domains.company_facts(spark, d).count() > 1
+
+
+def test_words_go_back_in_parts():
+    """Texts of one Arrow batch give their words a few texts at a time."""
+    texts = pd.Series(["Ｆull wide word", None, ""] * 1000)
+    parts = list(research.nfkc_tokens.func(iter([texts])))
+    assert max(map(len, parts)) <= research.TEXTS and pd.concat(parts).to_list() == [["full", "wide", "word"], [], []] * 1000
+
+
+def test_relationships_deal_facts_first(spark):
+    """The companies' rows are dealt before they are sorted, so no split of the input is sorted whole."""
+    facts = spark.createDataFrame([(1, "revenue", "FY", "5", None), (1, "net_income", "FY", "2", None)], "company long, metric string, period string, value string, role string")
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(evidence.relationships(facts)._jdf.queryExecution(), "simple")
+    assert plan.count("Exchange hashpartitioning(company") >= 1 and plan.index("Sort [company") < plan.index("Exchange hashpartitioning(company")
+    assert [tuple(r)[1] for r in evidence.relationships(facts).collect()] == ["rel:top_bottom:revenue:FY:5:net_income:FY:2"]
