@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,8 @@ from quaylight.functions.text import collapse_space
 NUMBER = r"(?:^|[^A-Za-z0-9.,])([-+]?[0-9][0-9,.]*(?:%|bps|bp)?)"
 #: Names and asked sets that meet in one task, and cells of a table of shared tokens that it holds at once.
 NAMES, ASKED, CELLS = 50_000, 8_192, 2_000_000
+#: Texts whose words are held at once.
+TEXTS = 256
 #: Words by which a source tells how its last attempt went; fixed values.
 STATUSES = {
     "rate_limited": ("rate_limited", "rate-limited", "ratelimited", "throttled", "throttle"),
@@ -27,10 +29,11 @@ STATUSES = {
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def nfkc_tokens(texts: pd.Series) -> pd.Series:
+def nfkc_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Distinct words of ``[a-z0-9]`` after NFKC and case folding, of four characters or more, not all digits, in order.
 
-    Spark has no NFKC; a null text has no words.
+    Spark has no NFKC; a null text has no words.  Words go back for ``TEXTS`` texts at a time, as those of a whole batch
+    take many times its size.
     """
 
     def words(text: str | None) -> list[str]:
@@ -38,7 +41,9 @@ def nfkc_tokens(texts: pd.Series) -> pd.Series:
         split = "".join(c if c.isascii() and c.isalnum() else " " for c in plain).split()
         return list(dict.fromkeys(w for w in split if len(w) >= 4 and not w.isdigit()))
 
-    return texts.map(words)
+    for texts in batches:
+        for k in range(0, len(texts), TEXTS):
+            yield texts.iloc[k : k + TEXTS].map(words)
 
 
 def _nearest_sets(threshold: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
