@@ -69,10 +69,11 @@ def stm04_window_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     tick = t.select(F.lit("tick").alias("kind"), F.lit(None).cast("long").alias("window_id"), "symbol", "ts", "close", F.col("ts").alias("at"))
     asked = t.filter("event_id % 20 = 0").select(F.lit("window").alias("kind"), F.col("event_id").alias("window_id"), "symbol", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"), F.lit(None).cast("double").alias("close"), F.col("ts").alias("at"))
     rows, days = tick.unionByName(asked), ("2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2030-01-01")
-    for a, b in zip(days, days[1:], strict=False):
-        rows.filter(f"at >= TIMESTAMP_NTZ '{a}' AND at < TIMESTAMP_NTZ '{b}'").drop("at").coalesce(1).write.mode("append").parquet(scratch.path("rows"))
     state = windows.PendingWindows(spark, scratch.path("state"), 1800, 3600, 8)
-    windows.run_windows(streams.stream(spark, scratch.path("rows"), files_per_batch=1), state, scratch.path("checkpoint"))
+    for a, b in zip(days, days[1:], strict=False):
+        # all files that have come since the last run are one batch
+        rows.filter(f"at >= TIMESTAMP_NTZ '{a}' AND at < TIMESTAMP_NTZ '{b}'").drop("at").write.mode("append").parquet(scratch.path("rows"))
+        windows.run_windows(streams.stream(spark, scratch.path("rows")), state, scratch.path("checkpoint"))
     return state.result()
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaylight.sources.buckets import Buckets
+from quaylight.sources.scratch import Scratch
 from quaylight.sources.sinks import Table
 
 WINDOW = "window_id long, symbol string, target_at timestamp_ntz"
@@ -45,10 +46,20 @@ class PendingWindows:
         return F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (1_000_000 * self.seconds)).cast("long")
 
     def _matched(self, windows: DataFrame, ticks: DataFrame) -> DataFrame:
-        """``window_id, best``: the last tick of each window, by (time, price); they meet by symbol and stretch of time."""
-        asked = windows.select("window_id", "symbol", "target_at", F.explode(F.array(self._slot("target_at"), self._slot("target_at") - 1)).alias("slot"))
-        inside = (F.col("tick_at") <= F.col("target_at")) & (F.col("tick_at") >= F.col("target_at") - F.make_dt_interval(secs=F.lit(self.seconds).cast("decimal(18,6)")))
-        return asked.join(ticks, ["symbol", "slot"]).filter(inside).groupBy("window_id").agg(F.max(F.struct("tick_at", "price")).alias("best"))
+        """Windows with ``best``, their last tick by (time, price), or null.
+
+        Ticks and windows lie in one line for each symbol and stretch of time, which begins with the last tick of the stretch
+        before; so no window is paired with ticks, and each tick is one row however many windows hold it.
+        """
+        dealt = ticks.repartition("symbol", "slot").groupBy("symbol", "slot", "tick_at").agg(F.max("price").alias("price"))
+        last = dealt.groupBy("symbol", F.col("slot") + 1).agg(F.max_by("price", "tick_at").alias("price"), F.max("tick_at").alias("tick_at")).toDF("symbol", "slot", "price", "tick_at")
+        known = dealt.unionByName(last).select("symbol", "slot", F.col("tick_at").alias("at"), F.struct("tick_at", "price").alias("tick"))
+        asked = windows.select("symbol", self._slot("target_at").alias("slot"), F.col("target_at").alias("at"), F.struct(*windows.columns).alias("window"))
+        # a tick at the target itself counts, so ticks come first
+        line = Window.partitionBy("symbol", "slot").orderBy("at", F.col("window").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = known.unionByName(asked, allowMissingColumns=True).withColumn("best", F.last("tick", ignorenulls=True).over(line)).filter("window is not null")
+        inside = F.col("best.tick_at") >= F.col("at") - F.make_dt_interval(secs=F.lit(self.seconds).cast("decimal(18,6)"))
+        return rows.select("window.*", F.when(inside, F.col("best")).alias("best"))
 
     def advance(self, batch: int, ticks: DataFrame, windows: DataFrame) -> None:
         """``ticks``: ``symbol, ts, close``; ``windows``: ``WINDOW``.  A window that is known already stays as it is."""
@@ -56,7 +67,10 @@ class PendingWindows:
         if batch <= last:
             return
         fresh = ticks.filter("symbol is not null and ts is not null and close is not null").select("symbol", F.col("ts").cast("timestamp_ntz").alias("tick_at"), F.col("close").alias("price"))
-        fresh = fresh.withColumn("slot", self._slot("tick_at")).distinct()
+        # dealt before repeated ticks go, so a task holds its own stretches and not its split of the input
+        fresh = fresh.withColumn("slot", self._slot("tick_at")).repartition("symbol", "slot").groupBy("symbol", "slot", "tick_at").agg(F.max("price").alias("price"))
+        step = Scratch(self.spark, "windows")
+        fresh = step.put("ticks", fresh)
         seen = fresh.agg(F.max("tick_at").alias("t")).first()["t"]
         waiting, done = self.waiting.read(), self.settled.read()
         new = windows.filter("window_id is not null and symbol is not null and target_at is not null").dropDuplicates(["window_id"]).select("window_id", "symbol", F.col("target_at").cast("timestamp_ntz").alias("target_at"))
@@ -67,22 +81,21 @@ class PendingWindows:
         blank = new.withColumns({"tick_at": F.lit(None).cast("timestamp_ntz"), "price": F.lit(None).cast("double"), "new": F.lit(True)})
         state = (empty if waiting is None else waiting.select(*empty.columns)).withColumn("new", F.lit(False)).unionByName(blank)
         kept = self.ticks.read()
-        # new ticks are held against all windows, old ones only against new windows
-        hits = self._matched(state, fresh)
-        if kept is not None:
-            hits = hits.unionByName(self._matched(new, kept)).groupBy("window_id").agg(F.max("best").alias("best"))
-        better = F.greatest(F.struct("tick_at", "price"), F.col("best"))
-        found = state.join(hits, "window_id", "left").withColumn("b", F.when(F.col("tick_at").isNull(), F.col("best")).otherwise(F.coalesce(better, F.struct("tick_at", "price"))))
-        found = found.select("window_id", "symbol", "target_at", F.col("b.tick_at").alias("tick_at"), F.col("b.price").alias("price"), (F.col("new") | F.col("best").isNotNull()).alias("changed"))
+        found = self._matched(state, fresh if kept is None else fresh.unionByName(kept.select(*fresh.columns)))
+        held = F.struct("tick_at", "price")
+        better = F.col("best").isNotNull() & (F.col("tick_at").isNull() | (F.col("best") > held))
+        found = found.withColumn("better", better).withColumn("b", F.when(F.col("better"), F.col("best")).otherwise(held))
+        found = found.select("window_id", "symbol", "target_at", F.col("b.tick_at").alias("tick_at"), F.col("b.price").alias("price"), (F.col("new") | F.col("better")).alias("changed"))
         time = max((t for t in (clock, seen and seen - timedelta(seconds=self.late)) if t is not None), default=None)
         due = F.lit(False) if time is None else F.col("target_at") < F.lit(time).cast("timestamp_ntz")
-        # what the batch changes: new windows, those with a tick, those that end
-        found = found.withColumn("due", due).filter("changed or due").drop("changed")
+        # what the batch changes: new windows, those with a later tick, those that end
+        found = step.put("found", found.withColumn("due", due).filter("changed or due").drop("changed"))
         ended = found.filter("due").drop("due").withColumn("status", F.when(F.col("price").isNull(), "unresolved").otherwise("resolved"))
         self.settled.keep_latest(ended, [F.col("tick_at").desc_nulls_last(), F.col("price").desc_nulls_last()], "windows", batch)
         self._replace(found, batch)
         self.ticks.change(fresh, lambda old, rows: self._pruned(rows if old is None else old.unionByName(rows).distinct(), time), "windows", batch)
         self.clock.write(self.spark.createDataFrame([(time, batch)], _CLOCK).coalesce(1))
+        step.drop("ticks", "found")
 
     def _pruned(self, ticks: DataFrame, time: datetime | None) -> DataFrame:
         return ticks if time is None else ticks.filter(F.col("tick_at") >= F.lit(time - timedelta(seconds=self.seconds)).cast("timestamp_ntz"))

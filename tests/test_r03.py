@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quaylight.operators import asof, companies, evidence, pointintime, reaction, research
 from quaylight.plans import domains, files
 from quaylight.sources.scratch import shared_folder
+from quaylight.streaming import windows
 
 BEGIN = dt.datetime(2024, 1, 1)
 
@@ -127,3 +128,23 @@ def test_relationships_deal_facts_first(spark):
     plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(evidence.relationships(facts)._jdf.queryExecution(), "simple")
     assert plan.count("Exchange hashpartitioning(company") >= 1 and plan.index("Sort [company") < plan.index("Exchange hashpartitioning(company")
     assert [tuple(r)[1] for r in evidence.relationships(facts).collect()] == ["rel:top_bottom:revenue:FY:5:net_income:FY:2"]
+
+
+def test_waiting_windows_meet_no_pairs(spark, tmp_path):
+    """20,000 ticks and 4,000 windows in one hour of a symbol: 60 million pairs if they were joined; ties, both edges, two batches."""
+    state = windows.PendingWindows(spark, f"file://{tmp_path}/s", 1800, 3600, 2)
+    at = lambda c: f"TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, 0, 0, cast({c} AS decimal(18,6)))"
+    ticks = spark.range(20_000).selectExpr("id", "'a' AS symbol", f"{at('id div 2 * 0.36')} AS ts", "cast(id * 7919 % 1009 AS double) AS close")
+    asks = spark.range(4000).selectExpr("id AS window_id", "'a' AS symbol", f"{at('id * 1.8')} AS target_at")
+    for k in range(2):
+        state.advance(k, ticks.filter(f"id div 2 % 2 = {k}").drop("id"), asks.filter(f"window_id % 2 = {k}"))
+    got = {r["window_id"]: (r["tick_at"], r["price"]) for r in state.result().collect()}
+    closes = [max(2 * k * 7919 % 1009, (2 * k + 1) * 7919 % 1009) for k in range(10_000)]
+    want = {}
+    for w in range(4000):
+        k = min(w * 5, 9999)
+        inside = w * 1.8 - k * 0.36 <= 1800 + 1e-9
+        want[w] = (BEGIN + dt.timedelta(microseconds=k * 360_000), float(closes[k])) if inside else (None, None)
+    assert got == want
+    now = state._matched(asks, ticks.selectExpr("symbol", "0L AS slot", "ts AS tick_at", "close AS price"))
+    assert "Join" not in now._jdf.queryExecution().optimizedPlan().toString()
