@@ -54,8 +54,8 @@ def mail_or_iso_time(text: Column) -> Column:
     """A time as mail headers (with or without the day's name) or ISO 8601 write it, in UTC; without a zone it is UTC; else null."""
     zone = F.regexp_replace(F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", ""), r"(GMT|UTC|UT|Z)$", "+0000")
     mail = [F.try_to_timestamp(zone, F.lit(f"d MMM yyyy HH:mm{s} Z")) for s in (":ss", "")]
-    iso = F.when(F.trim(text).rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.trim(text)))
-    return F.coalesce(*mail, iso)
+    # only one way is tried, as a time that doesn't parse costs most
+    return F.when(F.trim(text).rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.trim(text))).otherwise(F.coalesce(*mail))
 
 
 def loose_number(text: Column) -> Column:
@@ -80,9 +80,11 @@ def visible_text(html: Column) -> Column:
     """Text of a page: scripts, styles, comments and tags go, common entities are resolved, white space collapses."""
     bare = F.regexp_replace(html, r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>", " ")
     bare = F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
+    bare = F.when(F.contains(html, F.lit("<")), bare).otherwise(html)
+    signs = bare
     for entity, sign in ENTITIES.items():
-        bare = F.replace(bare, F.lit(f"&{entity};"), F.lit(sign))
-    return collapse_space(bare)
+        signs = F.replace(signs, F.lit(f"&{entity};"), F.lit(sign))
+    return collapse_space(F.when(F.contains(html, F.lit("&")), signs).otherwise(bare))
 
 
 def content_hash(*columns: str) -> Column:

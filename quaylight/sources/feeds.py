@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +25,7 @@ def feed_form(body: Column) -> Column:
     root = F.regexp_extract(start, r"(?s)^(?:<\?xml[^>]*\?>)?\s*(?:<!--.*?-->\s*|<!doctype[^>]*>\s*)*<([a-z:]+)", 1)
     return (
         F.when(start.rlike(r"^[\[{]"), "jsonld").when(root.isin("rss", "rdf:rdf"), "rss").when(root == "feed", "atom").when(root == "urlset", "sitemap")
-        .when(F.lower(body).rlike(r"(?s)<script[^>]*application/ld\+json"), "html")
+        .when(body.rlike(r"(?is)<script[^>]*application/ld\+json"), "html")
     )
 
 
@@ -39,36 +37,53 @@ def _https(url: Column) -> Column:
     return F.when(url.rlike(r"(?i)^https?://[^/\s]+"), url)
 
 
-def _xml_items(bodies: DataFrame, key: str, form: str) -> DataFrame:
-    schema, items = {"rss": (_RSS, "x.channel.item"), "atom": (_ATOM, "x.entry"), "sitemap": (_MAP, "x.url")}[form]
-    # prefixes of names don't matter to a site map's news
-    body = F.regexp_replace("body", r"<(/?)news:", "<$1") if form == "sitemap" else F.col("body")
-    rows = bodies.filter(F.col("form") == form).select(key, F.from_xml(body, schema).alias("x")).select(key, F.posexplode(items).alias("place", "i"))
+def _xml_items(bodies: DataFrame, key: str) -> DataFrame:
+    """Items of the forms in XML, in one read of the bodies."""
     none = F.lit(None).cast("string")
-    if form == "rss":
-        parts = {"title": F.col("i.title"), "url": F.col("i.link"), "guid": F.col("i.guid"), "published": F.col("i.pubDate"), "updated": none, "from": none, "content": F.col("i.description"), "author": F.col("i.author")}
-    elif form == "atom":
-        own = F.filter("i.link", lambda link: F.coalesce(link["_rel"], F.lit("alternate")) == "alternate")
-        published = _text(F.col("i.published"))
-        parts = {"title": F.col("i.title"), "url": F.coalesce(F.get(own, F.lit(0))["_href"], F.col("i.link")[0]["_href"]), "guid": F.col("i.id"), "published": F.coalesce(published, "i.updated"), "updated": F.col("i.updated"), "from": F.when(published.isNull(), "updated"), "content": F.coalesce(_text(F.col("i.summary")), "i.content"), "author": F.col("i.author.name")}
-    else:
-        parts = {"title": F.col("i.news.title"), "url": F.col("i.loc"), "guid": none, "published": F.coalesce(_text(F.col("i.news.publication_date")), "i.lastmod"), "updated": F.col("i.lastmod"), "from": F.when(_text(F.col("i.news.publication_date")).isNull(), "lastmod"), "content": none, "author": none}
-    return rows.select(key, F.lit(form).alias("form"), F.array("place").alias("at"), *[c.alias(n) for n, c in parts.items()], none.alias("publisher"))
+    names = ("title", "url", "guid", "published", "updated", "from", "content", "author")
+    part = lambda *columns: F.struct(*[c.alias(n) for n, c in zip(names, columns, strict=True)])
+
+    def rss(i: Column) -> Column:
+        return part(i["title"], i["link"], i["guid"], i["pubDate"], none, none, i["description"], i["author"])
+
+    def atom(i: Column) -> Column:
+        own = F.filter(i["link"], lambda link: F.coalesce(link["_rel"], F.lit("alternate")) == "alternate")
+        published = _text(i["published"])
+        url = F.coalesce(F.get(own, F.lit(0))["_href"], i["link"][0]["_href"])
+        return part(i["title"], url, i["id"], F.coalesce(published, i["updated"]), i["updated"], F.when(published.isNull(), "updated"), F.coalesce(_text(i["summary"]), i["content"]), i["author"]["name"])
+
+    def sitemap(i: Column) -> Column:
+        published = _text(i["news"]["publication_date"])
+        return part(i["news"]["title"], i["loc"], none, F.coalesce(published, i["lastmod"]), i["lastmod"], F.when(published.isNull(), "lastmod"), none, none)
+
+    # prefixes of names don't matter to a site map's news
+    plain = F.regexp_replace("body", r"<(/?)news:", "<$1")
+    items = (
+        F.when(F.col("form") == "rss", F.transform(F.from_xml("body", _RSS)["channel"]["item"], rss)).when(F.col("form") == "atom", F.transform(F.from_xml("body", _ATOM)["entry"], atom))
+        .when(F.col("form") == "sitemap", F.transform(F.from_xml(plain, _MAP)["url"], sitemap))
+    )
+    rows = bodies.filter("form in ('rss', 'atom', 'sitemap')").select(key, "form", F.posexplode(items).alias("place", "i"))
+    return rows.select(key, "form", F.array("place").alias("at"), *[F.col(f"i.{n}").alias(n) for n in names], none.alias("publisher"))
 
 
 def _at(v: str | Column, name: str, kind: str = "string") -> Column:
     return F.try_variant_get(F.col(v) if isinstance(v, str) else v, f"$['{name}']", kind)
 
 
-def _held(name: str) -> Column:
-    """Whether a member is a list or an object."""
-    return F.coalesce(F.schema_of_variant(name).rlike("^(ARRAY|OBJECT)"), F.lit(False))
+def _list(v: str) -> Column:
+    """Members of a list, or null.  Unlike the schema of a variant, they don't merge the types of all members."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
 
+def _is_object(v: str) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
-def _string(v: str, name: str) -> Column:
-    """A member that is a string with something in it, or null."""
-    member = _at(v, name, "variant")
-    return F.when(F.schema_of_variant(member) == "STRING", _text(_at(v, name)))
+
+def _strings(v: str) -> Column:
+    """An object's members that are strings with something in them, bare, by name."""
+    member = F.try_variant_get(v, "$", "map<string,variant>")
+    texts = F.transform_values(F.map_filter(member, lambda _, m: F.schema_of_variant(m) == "STRING"), lambda _, m: F.trim(F.try_variant_get(m, "$", "string")))
+    return F.map_filter(texts, lambda _, t: t != "")
 
 
 def _types(v: str) -> Column:
@@ -83,10 +98,13 @@ def jsonld_documents(values: DataFrame, key: str, value: str = "v") -> DataFrame
     now = values.select(key, F.col(value).alias("v"), F.array(F.lit(0)).alias("at"), F.lit(False).alias("done"))
     none = F.array().cast("array<variant>")
     for _ in range(DEPTH):
-        now = now.withColumns({"kind": F.schema_of_variant("v"), "graph": _at("v", "@graph", "variant"), "listed": _at("v", "itemListElement", "variant"), "wrapped": _at("v", "item", "variant"), "types": _types("v")})
-        now = now.withColumns({"in_graph": _held("graph"), "in_list": F.array_contains("types", "ItemList") | F.col("listed").isNotNull(), "in_item": _held("wrapped"), "is_list": F.col("kind").startswith("ARRAY"), "is_object": F.col("kind").startswith("OBJECT")})
+        # what is an item already is looked into no more
+        open_ = {"listed": _at("v", "itemListElement", "variant"), "graph": _at("v", "@graph", "variant"), "wrapped": _at("v", "item", "variant"), "types": _types("v"), "members": _list("v"), "is_object": _is_object("v")}
+        now = now.withColumns({name: F.when(~F.col("done"), c) for name, c in open_.items()})
+        held = lambda name: F.col(name).isNotNull() & (_list(name).isNotNull() | _is_object(name))
+        now = now.withColumns({"in_graph": held("graph"), "in_list": F.array_contains("types", "ItemList") | F.col("listed").isNotNull(), "in_item": held("wrapped"), "is_list": F.col("members").isNotNull()})
         members = (
-            F.when(F.col("done"), F.array("v")).when(F.col("is_list"), F.try_variant_get("v", "$", "array<variant>")).when(~F.col("is_object"), none).when(F.col("in_graph"), F.array("graph"))
+            F.when(F.col("done"), F.array("v")).when(F.col("is_list"), F.col("members")).when(~F.col("is_object"), none).when(F.col("in_graph"), F.array("graph"))
             .when(F.col("in_list"), F.when(F.col("listed").isNotNull(), F.array("listed")).otherwise(none)).when(F.col("in_item"), F.array("wrapped"))
             .when(F.arrays_overlap("types", F.array(*[F.lit(d) for d in DOCUMENTS])), F.array("v")).otherwise(none)
         )
@@ -100,14 +118,17 @@ def _jsonld_items(bodies: DataFrame, key: str) -> DataFrame:
     texts = bodies.filter("form in ('jsonld', 'html')").select(key, "form", F.posexplode(F.when(F.col("form") == "html", blocks).otherwise(F.array("body"))).alias("block", "text"))
     values = texts.select(F.struct(key, "form", "block").alias("of"), F.try_parse_json(F.regexp_replace("text", r"^\x{FEFF}", "")).alias("v")).filter("v is not null")
     found = jsonld_documents(values, "of")
-    first = lambda *names: F.coalesce(*[_string("v", n) for n in names])
-    named = lambda n: F.coalesce(_string("v", n), _text(F.try_variant_get("v", f"$['{n}']['name']", "string")))
-    links = [F.coalesce(_https(_string("v", n)), *[_https(F.try_variant_get("v", f"$['{n}']['{s}']", "string")) for s in ("@id", "url")]) for n in ("url", "mainEntityOfPage", "@id")]
+    # each member is read once
+    found = found.select("of", "at", "v", _strings("v").alias("texts"))
+    own = lambda n: F.col("texts")[n]
+    first = lambda *names: F.coalesce(*[own(n) for n in names])
+    named = lambda n: F.coalesce(own(n), _text(F.try_variant_get("v", f"$['{n}']['name']", "string")))
+    links = [F.coalesce(_https(own(n)), *[_https(F.try_variant_get("v", f"$['{n}']['{s}']", "string")) for s in ("@id", "url")]) for n in ("url", "mainEntityOfPage", "@id")]
     dates = ("datePublished", "dateCreated", "dateModified")
-    origin = F.coalesce(*[F.when(_string("v", n).isNotNull(), n) for n in dates])
+    origin = F.coalesce(*[F.when(own(n).isNotNull(), n) for n in dates])
     return found.select(
-        F.col(f"of.{key}").alias(key), F.col("of.form").alias("form"), F.concat(F.array("of.block"), "at").alias("at"), first("headline", "name", "title").alias("title"), F.coalesce(*links).alias("url"), _string("v", "@id").alias("guid"), first(*dates).alias("published"),
-        _string("v", "dateModified").alias("updated"), F.when(origin != "datePublished", origin).alias("from"), first("description", "articleBody", "text").alias("content"), named("author").alias("author"), named("publisher").alias("publisher"),
+        F.col(f"of.{key}").alias(key), F.col("of.form").alias("form"), F.concat(F.array("of.block"), "at").alias("at"), first("headline", "name", "title").alias("title"), F.coalesce(*links).alias("url"), own("@id").alias("guid"), first(*dates).alias("published"),
+        own("dateModified").alias("updated"), F.when(origin != "datePublished", origin).alias("from"), first("description", "articleBody", "text").alias("content"), named("author").alias("author"), named("publisher").alias("publisher"),
     )
 
 
@@ -119,9 +140,13 @@ def feed_items(bodies: DataFrame, key: str = "feed", body: str = "body") -> Data
     and JSON that can't be read.
     """
     told = bodies.select(key, F.col(body).alias("body")).withColumn("form", feed_form(F.col("body"))).filter("form is not null")
-    raw = reduce(DataFrame.unionByName, [*(_xml_items(told, key, f) for f in ("rss", "atom", "sitemap")), _jsonld_items(told, key)])
-    out = raw.select(
-        key, "form", "at", _text(visible_text(F.col("title"))).alias("title"), canonical_url(_https(F.trim("url"))).alias("url"), _text(F.col("guid")).alias("guid"), mail_or_iso_time(F.col("published")).alias("published_at"), mail_or_iso_time(F.col("updated")).alias("updated_at"),
+    raw = _xml_items(told, key).unionByName(_jsonld_items(told, key))
+    title, url = _text(visible_text(F.col("title"))), canonical_url(_https(F.trim("url")))
+    # as a list of one or none, since a filter on its columns would clean each title and address twice
+    told = raw.withColumn("told", F.array(F.struct(title.alias("title"), url.alias("url"))))
+    kept = told.withColumn("told", F.explode(F.filter("told", lambda t: t["title"].isNotNull() & t["url"].isNotNull())))
+    out = kept.select(
+        key, "form", "at", "told.title", "told.url", _text(F.col("guid")).alias("guid"), mail_or_iso_time(F.col("published")).alias("published_at"), mail_or_iso_time(F.col("updated")).alias("updated_at"),
         F.col("from").alias("published_from"), _text(visible_text(F.col("content"))).alias("content"), _text(F.col("publisher")).alias("publisher"), _text(F.col("author")).alias("author"),
-    ).filter("title is not null and url is not null")
+    )
     return out.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1).select(key, "place", *ITEM)

@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from quaylight.plans import files
 from quaylight.sources import feeds
 
 RSS = "<?xml version='1.0'?>\n<!-- c --><rss version='2.0'><channel><title>T</title><item><title>One &amp; all</title><link>HTTPS://A.com/1?utm_source=x</link><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate><description>&lt;p&gt;Body&lt;/p&gt;</description></item><item><title> </title><link>https://a.com/2</link></item></channel></rss>"
@@ -30,3 +31,19 @@ def test_forms_in_one_read(spark):
         ("json", 0): ("Three", "https://a.com/three", at(5), "dateCreated", None, "Q", "P", "g3"), ("json", 1): ("Four", "https://a.com/4", at(7), None, "d", None, None, None), ("page", 0): ("Five", "https://a.com/5", None, None, None, None, None, "https://a.com/5"),
     }
     assert feeds.feed_items(df.limit(0)).count() == 0
+
+
+def test_items_are_cleaned_once(spark):
+    """The forms in XML are parsed in one read, and no filter cleans titles and addresses a second time."""
+    plan = feeds.feed_items(spark.createDataFrame([("a", RSS)], "feed string, body string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(CASE WHEN") >= 1 and sum("from_xml" in line for line in plan.splitlines()) <= 1
+    assert not [line for line in plan.splitlines() if "Filter" in line and "&nbsp;" in line]
+
+
+def test_members_of_other_kinds(spark):
+    """Members that aren't strings, are blank or null don't count; empty lists and objects, values in lists and items deep in lists."""
+    item = {"@type": "Report", "headline": 5, "name": " ", "title": " Deep ", "url": ["https://a.com/no"], "mainEntityOfPage": {"url": "https://a.com/d"}, "datePublished": None, "dateModified": "2024-01-06", "description": {"x": 1}, "articleBody": "b", "publisher": {"name": ""}}
+    values = [[], {}, 7, None, "x", {"@graph": "x", "@type": "Thing"}, {"@graph": []}, {"item": "y", "type": "Article", "title": "Own", "@id": "https://a.com/o"}, [[[[[item]]]]], [[[[[[[[item]]]]]]]]]
+    rows = feeds.feed_items(spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(values)], "feed int, body string")).collect()
+    got = {(r["feed"], r["title"], r["url"], r["published_at"], r["published_from"], r["content"], r["publisher"]) for r in rows}
+    assert got == {(7, "Own", "https://a.com/o", None, None, None, None), (8, "Deep", "https://a.com/d", dt.datetime(2024, 1, 6), "dateModified", "b", None)}
