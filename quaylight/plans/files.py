@@ -227,7 +227,9 @@ def src18_relevant_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = tag("loc", F.lit("https://news.example/"), F.when(k % 3 == 0, "markets").otherwise("sport"), F.lit("/"), k.cast("string"))
     title = tag("news:news", tag("news:title", F.col("event_type"), F.lit(" of the "), F.when(k % 5 == 0, "Fed").otherwise("federation")))
     rows = table(spark, sf_dir, "events").select("user_id", tag("url", where, tag("lastmod", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")), title).alias("x"))
-    maps = rows.groupBy(F.col("user_id").alias("feed")).agg(tag("urlset", F.array_join(F.collect_list("x"), "\n")).alias("body"))
+    # so many tasks as the session has: a map's text is small in a shuffle and long in the reading, so its size tells little
+    dealt = rows.withColumnRenamed("user_id", "feed").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "feed")
+    maps = dealt.groupBy("feed").agg(tag("urlset", F.array_join(F.collect_list("x"), "\n")).alias("body"))
     found = readers.relevant(feeds.feed_items(maps), ["markets"], ["fed"])
     return found.select("url", "title", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
 

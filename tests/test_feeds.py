@@ -47,3 +47,10 @@ def test_members_of_other_kinds(spark):
     rows = feeds.feed_items(spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(values)], "feed int, body string")).collect()
     got = {(r["feed"], r["title"], r["url"], r["published_at"], r["published_from"], r["content"], r["publisher"]) for r in rows}
     assert got == {(7, "Own", "https://a.com/o", None, None, None, None), (8, "Deep", "https://a.com/d", dt.datetime(2024, 1, 6), "dateModified", "b", None)}
+
+
+def test_site_maps_are_dealt_to_the_sessions_tasks(spark):
+    """Maps that are small in a shuffle are still read in as many tasks as the session has."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(files.src18_relevant_news(spark, "/root/testdata/sf0.001")._jdf.queryExecution(), "simple")
+    assert "hashpartitioning(feed#" in plan and f", {n}), REPARTITION_BY_NUM" in plan
