@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaylight.functions.text import collapse_space
+from quaylight.functions.text import collapse_space, let
 from quaylight.operators import asof, keys
+from quaylight.sources.scratch import Scratch
 
 #: Ranks of the kinds of blocking keys; fixed values.
 KINDS = {"story": 5, "entity": 4, "industry": 3, "phrase": 2, "term": 1}
@@ -24,6 +26,18 @@ SECTIONS = {
     "commitments": r"(?:commitments? and contingencies?|material contracts?)",
     "management_language": r"(?:management'?s discussion|md&a|strategic review|operating review)",
 }
+#: For each alternative of a heading's pattern a part of it that every match has, in small letters; fixed values.
+LITERALS = {
+    SECTIONS["guidance"]: ("outlook", "guidance", "forward"),
+    SECTIONS["risk_language"]: ("risk factor",),
+    SECTIONS["segments"]: ("segment ",),
+    SECTIONS["margins_cashflow"]: ("liquidity and capital resources", "cash flow", "operating results", "margin"),
+    SECTIONS["capex"]: ("capital expenditure",),
+    SECTIONS["balance_sheet"]: ("balance sheet", "indebtedness", "financial position"),
+    SECTIONS["capital_allocation"]: ("capital allocation", "dividend", "share repurchase", "buyback"),
+    SECTIONS["commitments"]: ("commitment", "material contract"),
+    SECTIONS["management_language"]: ("discussion", "md&a", "strategic review", "operating review"),
+}
 #: Share of equal word pairs from which two versions of a section count as unchanged, and the length of an excerpt.
 UNCHANGED, EXCERPT = 0.98, 500
 
@@ -88,12 +102,23 @@ def lineage(links: DataFrame, by: str, at: str, columns: Sequence[str], most: in
 def sections(text: Column, patterns: Mapping[str, str] = SECTIONS) -> Column:
     """Map of category to the text after its first heading, up to the next heading of any kind; plain and in small letters.
 
-    Whole texts are read; a category without a heading has no entry.
+    Whole texts are read; a category without a heading has no entry.  Only patterns of which a text has one of the
+    ``LITERALS`` are looked for in it, as plain words are found far faster than patterns.
     """
-    any_ = "(?i)" + "|".join(patterns.values())
     plain = lambda t: F.lower(collapse_space(t))
-    parts = [F.struct(F.lit(c).alias("key"), plain(F.split(F.get(F.split(text, f"(?i){p}", 2), F.lit(1)), any_, 2)[0]).alias("value")) for c, p in patterns.items()]
-    return F.map_from_entries(F.filter(F.array(*parts), lambda x: x["value"].isNotNull()))
+
+    def candidates(low: Column) -> Column:
+        may = lambda p: reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in LITERALS[p]]) if p in LITERALS else F.lit(True)
+        return F.array_compact(F.array(*[F.when(may(p), F.struct(F.lit(c).alias("key"), F.lit(p).alias("pattern"))) for c, p in patterns.items()]))
+
+    def bodies(s: Column) -> Column:
+        any_ = F.concat(F.lit("(?i)"), s["any"])
+        after = lambda p: F.get(F.split(s["text"], F.concat(F.lit("(?i)"), p), 2), F.lit(1))
+        return F.transform(s["found"], lambda x: F.struct(x["key"].alias("key"), plain(F.split(after(x["pattern"]), any_, 2)[0]).alias("value")))
+
+    found = let(F.lower(text), candidates)
+    parts = let(found, lambda f: let(F.struct(text.alias("text"), f.alias("found"), F.array_join(f["pattern"], "|").alias("any")), bodies))
+    return F.map_from_entries(F.filter(parts, lambda x: x["value"].isNotNull()))
 
 
 def word_pairs(text: Column) -> Column:
@@ -112,13 +137,14 @@ def filing_deltas(filings: DataFrame, patterns: Mapping[str, str] = SECTIONS, un
     by = [F.col("company").alias("__company"), F.col("document_type").alias("__type"), F.col("report_date").alias("__date")]
     last = filings.filter("report_date is not null").groupBy(*by).agg(F.max_by("document_id", F.struct("created_at", "document_id")).alias("last_id"))
     last = last.withColumn("previous_id", F.lag("last_id").over(Window.partitionBy("__company", "__type").orderBy("__date"))).filter("previous_id is not null")
-    parts = filings.select("document_id", F.explode(sections(F.col("text"), patterns)).alias("category", "body"))
+    # on disk, as both sides of the comparison read them
+    parts = Scratch(filings.sparkSession, "deltas").put("parts", filings.select("document_id", F.explode(sections(F.col("text"), patterns)).alias("category", "body")))
     same_day = F.col("company").eqNullSafe(F.col("__company")) & F.col("document_type").eqNullSafe(F.col("__type")) & (F.col("report_date") == F.col("__date"))
     before = filings.select("document_id", "company", "document_type", "report_date").join(last, same_day, "left").select("document_id", "previous_id")
     old = before.filter("previous_id is not null").join(parts.select(F.col("document_id").alias("previous_id"), "category", F.col("body").alias("old")), "previous_id")
     both = parts.join(old.drop("previous_id"), ["document_id", "category"], "full").join(before, "document_id")
-    a, b = word_pairs(F.col("old")), word_pairs(F.col("body"))
-    alike = 2 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
+    pairs = F.struct(word_pairs(F.col("old")).alias("a"), word_pairs(F.col("body")).alias("b"))
+    alike = let(pairs, lambda p: 2 * F.size(F.array_intersect(p["a"], p["b"])) / (F.size(p["a"]) + F.size(p["b"])))
     change = F.when(F.col("body").isNull(), "removed").when(F.col("old").isNull(), "new").when((F.col("old") == F.col("body")) | (alike >= unchanged), "unchanged").otherwise("changed")
     fresh = F.array_join(F.array_except(F.split("body", " "), F.split(F.coalesce("old", F.lit("")), " ")), " ")
     excerpt = F.left(F.when(F.coalesce("old", F.lit("")) == "", F.col("body")).when(fresh != "", fresh).otherwise(F.col("body")), F.lit(EXCERPT))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import pathlib
+import re
 
 import duckdb
 import numpy as np
@@ -148,3 +149,29 @@ def test_waiting_windows_meet_no_pairs(spark, tmp_path):
     assert got == want
     now = state._matched(asks, ticks.selectExpr("symbol", "0L AS slot", "ts AS tick_at", "close AS price"))
     assert "Join" not in now._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sections_by_literals(spark):
+    """Headings in any letters, side by side, inside one another and cut short give what plain patterns give; own patterns too."""
+    rng = np.random.default_rng(5)
+    words = ["Outlook", "guidance", "FORWARD-looking statement", "forwardlooking", "Risk  factors", "risk factor", "business segment", " reporting", "segment results", "margin", "Margins", "cash flow", "OPERATING results", "capital expenditure", "s", "Balance Sheet", "indebtedness", "financial position", "Dividends", "buyback", "share repurchase", "commitment and contingency", "commitments", "material contracts", "managements discussion", "Management's Discussion", "MD&A", "strategic review", "K", "İ", " ", "\n", " x 5% ", "capital", " allocation"]
+    texts = ["".join(rng.choice(words, rng.integers(0, 14))) for _ in range(600)] + [None, ""]
+    for patterns in (evidence.SECTIONS, {"a": "outlook|x", "risk_language": r"risk\s+factors?"}):
+        got = [r["s"] for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", evidence.sections(F.col("t"), patterns).alias("s")).orderBy("k").collect()]
+        for t, s in zip(texts, got, strict=True):
+            want = {}
+            for c, p in patterns.items() if t is not None else ():
+                m = re.search(p, t, re.I | re.A)
+                if m:
+                    rest = t[m.end() :]
+                    n = re.search("|".join(patterns.values()), rest, re.I | re.A)
+                    want[c] = re.sub(r"[ \t\r\n\f]+", " ", rest[: n.start()] if n else rest).strip(" ").lower()
+            assert (s or {}) == want, t
+
+
+def test_sections_are_read_once(spark):
+    """Both sides of a comparison read parts from disk, so no text is cut twice."""
+    filings = spark.createDataFrame([(1, "c", "q", 1, 1, "Outlook: good"), (2, "c", "q", 2, 1, "Outlook: bad")], "document_id long, company string, document_type string, report_date long, created_at long, text string")
+    deltas = evidence.filing_deltas(filings)
+    assert "Generate" not in spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(deltas._jdf.queryExecution(), "simple")
+    assert {(r["document_id"], r["change"]) for r in deltas.collect()} == {(1, "new"), (2, "changed")}
